@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysed application has no streams, watermarks or stateful processing:
+every screen re-reads its tables. Nothing here is needed; edits arrive as
+batches and are applied by the set-based write operators
+(`ridgeline.operators.writes`).
+"""
