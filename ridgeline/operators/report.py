@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import lookups as L
-from .aggs import first_attendance
+from ..session import materialize
 from .filters import non_ex_summary
 from .joins import activity_attendees
 
@@ -58,16 +58,34 @@ def activity_digest(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> Da
         "date", "title", "headcount", "album_url", "birth_year", "name", "n")
 
 
-def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> tuple[DataFrame, DataFrame]:
-    """(per-group headcount + album URL, per-group name multiplicities)."""
+def name_key() -> Column:
+    """Text key ordering attendees by (birth_year, name), NULLs last."""
+    return F.concat(F.when(F.col("birth_year").isNull(), "1").otherwise("0"),
+                    F.coalesce(_pad(F.col("birth_year"), 11), F.lit("")),
+                    F.when(F.col("name").isNull(), "1").otherwise("0"),
+                    F.coalesce(F.col("name"), F.lit("")))
+
+
+def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str,
+                 materialized: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(per-group headcount / album URL / last name key, per-group name multiplicities).
+
+    The month's attendance is reduced once to (date, title, birth_year, name)
+    counts — bounded by distinct attendees, not by records — and, because two
+    consumers read it, checkpointed so the attendance scan is not repeated.
+    Group figures are derived from those counts.
+    """
     j = activity_attendees(a, at, m, month)
-    first_key = F.struct(*_name_order(), F.col("event_id"))
-    grp = j.groupBy("date", "title").agg(
-        F.count(F.lit(1)).cast("bigint").alias("headcount"),
-        F.min_by("album_url", first_key).alias("album_url"),
-    )
-    names = j.groupBy("date", "title", "birth_year", "name").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return grp, names
+    names = j.groupBy("date", "title", "birth_year", "name").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.min_by("album_url", F.col("event_id")).alias("_album"))
+    if materialized:
+        names = materialize(names)
+    grp = names.groupBy("date", "title").agg(
+        F.sum("n").cast("bigint").alias("headcount"),
+        F.min_by("_album", F.struct(*_name_order())).alias("album_url"),
+        F.max(name_key()).alias("_last"))
+    return grp, names.drop("_album")
 
 
 def milestones(summary: DataFrame) -> DataFrame:
@@ -106,29 +124,21 @@ def _pad(c: Column, width: int = 20) -> Column:
     return F.lpad(c.cast("string"), width, "0")
 
 
-def _row(df: DataFrame, section: int, part: int, line: Column, k1: Column | None = None,
-         k2: Column | None = None, k3: Column | None = None) -> DataFrame:
+def _frag(section: int, part: int, line: Column, k1: Column | None = None, k2: Column | None = None,
+          k3: Column | None = None, when: Column | None = None) -> Column:
     empty = F.lit("")
-    return df.select(
-        F.lit(section).alias("section"), F.lit(part).alias("part"),
-        (k1 if k1 is not None else empty).alias("k1"),
-        (k2 if k2 is not None else empty).alias("k2"),
-        (k3 if k3 is not None else empty).alias("k3"),
-        line.alias("line"))
-
+    st = F.struct(F.lit(section).alias("section"), F.lit(part).alias("part"),
+                  (k1 if k1 is not None else empty).alias("k1"),
+                  (k2 if k2 is not None else empty).alias("k2"),
+                  (k3 if k3 is not None else empty).alias("k3"),
+                  line.alias("line"))
+    return st if when is None else F.when(when, st)
 
-def _list_fragments(items: DataFrame, group: list[str], sort_key: Column, text: Column,
-                    sep: str, end: str) -> DataFrame:
-    """Items of a joined list as fragments: text + sep, the last one text + end.
 
-    The last item per group is found with a max aggregate (partial, bounded
-    output: one row per group) joined back — no collected list.
-    """
-    keyed = items.withColumn("_sk", sort_key)
-    last = keyed.groupBy(*group).agg(F.max("_sk").alias("_last"))
-    j = keyed.join(last, group)
-    is_last = F.col("_sk") == F.col("_last")
-    return j.withColumn("_frag", F.concat(text, F.when(is_last, F.lit(end)).otherwise(F.lit(sep))))
+def _explode(df: DataFrame, frags: list[Column]) -> DataFrame:
+    """One output row per non-NULL fragment struct of each input row."""
+    return (df.select(F.explode(F.array(*frags)).alias("_f"))
+            .filter(F.col("_f").isNotNull()).select("_f.*"))
 
 
 def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame, month: str,
@@ -137,82 +147,90 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
 
     Columns (section, part, k1, k2, k3, line); the text is the concatenation
     of `line` in that order. `plain` drops the '**' markup.
+
+    Plan: the summary and the month's attendee counts are each computed once
+    and checkpointed; every per-member fragment (milestones, first
+    attendance, warnings, score table) then comes from one pass over the
+    summary, every per-activity fragment from one pass over the group table,
+    and the end-of-list / empty-section markers from two small aggregates.
     """
     spark = summary.sparkSession
-    one = spark.range(1)
     br = L.BR + _NL
+    s = materialize(summary.select("user_no", F.col("name").alias("_name"), "member_label", "status",
+                                   "gained_score", "current_point", "first_date"))
+    grp, names = digest_parts(a, at, m, month)
     out = []
 
+    # constant lines
     head = (L.RPT_RULES_HEAD.format(club=club) + br + rules + br + _NL
             + L.RPT_TITLE.format(month=month) + br + L.RULE + br + _NL)
-    out.append(_row(one, 0, 0, F.lit(head)))
-
-    # 1. activities of the month
-    out.append(_row(one, 1, 0, F.lit(L.RPT_ACTIVITY_HEAD + br)))
-    groups, dig = digest_parts(a, at, m, month)
-    gkey = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("|"), F.col("title"))
-    out.append(_row(groups, 1, 1, fmt(L.RPT_ACTIVITY_LINE + br, date=F.date_format("date", "yyyy-MM-dd"),
-                                      title=F.col("title")), k1=gkey, k2=F.lit("0")))
-    out.append(_row(groups, 1, 1, fmt(L.RPT_ATTENDEES, n=F.col("headcount")), k1=gkey, k2=F.lit("1")))
-    name_key = F.concat(F.when(F.col("birth_year").isNull(), "1").otherwise("0"),
-                        F.coalesce(_pad(F.col("birth_year"), 11), F.lit("")),
-                        F.when(F.col("name").isNull(), "1").otherwise("0"),
-                        F.coalesce(F.col("name"), F.lit("")))
-    nm = F.coalesce(F.col("name"), F.lit("None"))
-    repeated = F.concat(F.repeat(F.concat(nm, F.lit(", ")), (F.col("n") - 1).cast("int")), nm)
-    frags = _list_fragments(dig.withColumn("_g", gkey), ["_g"], name_key, repeated, ", ", br)
-    out.append(_row(frags, 1, 1, F.col("_frag"), k1=F.col("_g"), k2=F.lit("1"), k3=F.col("_sk")))
+    consts = [(0, 0, head), (1, 0, L.RPT_ACTIVITY_HEAD + br), (2, 0, L.RPT_AWARD_HEAD + br),
+              (3, 0, L.RPT_FIRST_HEAD + br), (4, 0, L.RPT_WARN_HEAD + br),
+              (4, 1, L.RPT_WARN_DORMANT + "  " + _NL), (4, 4, L.RPT_WARN_NEW + "  " + _NL),
+              (5, 0, L.RPT_SCORE_HEAD + br + L.RPT_SCORE_COLUMNS + br + L.RPT_SCORE_ALIGN + br),
+              (6, 0, _NL + L.RULE + br + L.RPT_CLOSING)]
+    out.append(_explode(spark.range(1), [_frag(sec, part, F.lit(t)) for sec, part, t in consts]))
+
+    # 1. activities: per group, then per attendee name
+    day = F.date_format("date", "yyyy-MM-dd")
+    gkey = F.concat(day, F.lit("|"), F.col("title"))
     album = X.blank_to_null(F.col("album_url"))
-    out.append(_row(groups.filter(album.isNotNull()), 1, 1,
-                    F.concat(F.lit(L.RPT_ALBUM), F.col("album_url"), F.lit(br)), k1=gkey, k2=F.lit("2")))
-    out.append(_row(groups, 1, 1, F.lit(_NL), k1=gkey, k2=F.lit("3")))
-    n_groups = groups.agg(F.count(F.lit(1)).alias("_c"))
-    out.append(_row(n_groups.filter(F.col("_c") == 0), 1, 2, F.lit(L.RPT_NO_ACTIVITY + br + _NL)))
-
-    # 2. milestones
-    out.append(_row(one, 2, 0, F.lit(L.RPT_AWARD_HEAD + br)))
-    ms = milestones(summary)
-    rank = F.when(F.col("threshold") == L.MILESTONES[0][0], "0")
-    for i, (t, _) in enumerate(L.MILESTONES[1:], start=1):
-        rank = rank.when(F.col("threshold") == t, str(i))
-    out.append(_row(ms, 2, 1, F.concat(F.col("line"), F.lit(br)), k1=F.col("member_label"),
-                    k2=_pad(F.col("user_no")), k3=rank))
-    n_ms = ms.agg(F.count(F.lit(1)).alias("_c"))
-    out.append(_row(n_ms, 2, 2, F.when(F.col("_c") == 0, F.lit(L.RPT_NONE_APPLICABLE + br + _NL))
-                    .otherwise(F.lit(_NL))))
-
-    # 3. first attendance
-    out.append(_row(one, 3, 0, F.lit(L.RPT_FIRST_HEAD + br)))
-    fa = first_attendance(a, at, m, month)
-    out.append(_row(fa, 3, 1, F.concat(fmt(L.RPT_FIRST_LINE, name=F.coalesce(F.col("name"), F.lit("None"))),
-                                       F.lit(br)), k1=F.coalesce(F.col("name"), F.lit("")),
-                    k2=_pad(F.col("user_no"))))
-    n_fa = fa.agg(F.count(F.lit(1)).alias("_c"))
-    out.append(_row(n_fa, 3, 2, F.when(F.col("_c") == 0, F.lit(L.RPT_NONE + br + _NL)).otherwise(F.lit(_NL))))
-
-    # 4. warnings
-    out.append(_row(one, 4, 0, F.lit(L.RPT_WARN_HEAD + br)))
-    warn = inactivity_warnings(summary)
-    wkey = F.concat(F.col("member_label"), F.lit("\u0000"), _pad(F.col("user_no")))
-    for part, status, title, end in ((1, "dormant_warn", L.RPT_WARN_DORMANT, br),
-                                     (4, "new_warn", L.RPT_WARN_NEW, br + _NL)):
-        out.append(_row(one, 4, part, F.lit(title + "  " + _NL)))
-        items = warn.filter(F.col("status") == status)
-        fr = _list_fragments(items, ["status"], wkey, F.col("member_label"), ", ", end)
-        out.append(_row(fr, 4, part + 1, F.col("_frag"), k1=F.col("member_label"), k2=_pad(F.col("user_no"))))
-        cnt = items.agg(F.count(F.lit(1)).alias("_c"))
-        out.append(_row(cnt.filter(F.col("_c") == 0), 4, part + 2, F.lit(L.RPT_NONE + end)))
-
-    # 5. score table
-    out.append(_row(one, 5, 0, F.lit(L.RPT_SCORE_HEAD + br + L.RPT_SCORE_COLUMNS + br + L.RPT_SCORE_ALIGN + br)))
-    st = score_table(summary)
-    out.append(_row(st, 5, 1, F.concat(fmt(L.RPT_SCORE_LINE, label=F.col("member_label"),
-                                           gained=F.col("gained_score"), current=F.col("current_point"),
-                                           status=F.coalesce(F.col("status"), F.lit("None"))), F.lit(br)),
-                    k1=F.col("member_label"), k2=_pad(F.col("user_no"))))
-
-    # 6. closing
-    out.append(_row(one, 6, 0, F.lit(_NL + L.RULE + br + L.RPT_CLOSING)))
+    out.append(_explode(grp, [
+        _frag(1, 1, fmt(L.RPT_ACTIVITY_LINE + br, date=day, title=F.col("title")), gkey, F.lit("0")),
+        _frag(1, 1, fmt(L.RPT_ATTENDEES, n=F.col("headcount")), gkey, F.lit("1")),
+        _frag(1, 1, F.concat(F.lit(L.RPT_ALBUM), F.col("album_url"), F.lit(br)), gkey, F.lit("2"),
+              when=album.isNotNull()),
+        _frag(1, 1, F.lit(_NL), gkey, F.lit("3")),
+    ]))
+    nm = F.coalesce(F.col("name"), F.lit("None"))
+    nk = name_key()
+    text = F.concat(F.repeat(F.concat(nm, F.lit(", ")), (F.col("n") - 1).cast("int")), nm,
+                    F.when(nk == F.col("_last"), F.lit(br)).otherwise(F.lit(", ")))
+    named = names.join(grp.select("date", "title", "_last"), ["date", "title"])
+    out.append(_explode(named, [_frag(1, 1, text, gkey, F.lit("1"), nk)]))
+
+    # 2.–5. per member: one pass over the summary
+    label = F.col("member_label")
+    upad = _pad(F.col("user_no"))
+    wkey = F.concat(label, F.lit("\u0000"), upad)
+    lasts = (s.filter(F.col("status").isin(*WARN_STATUSES))
+             .groupBy("status").agg(F.max(wkey).alias("_wlast")))
+    sj = s.join(lasts, "status", "left")  # at most one row per warning status
+    curr = F.coalesce(F.col("current_point"), F.lit(0)).cast("bigint")
+    gained = F.coalesce(F.col("gained_score"), F.lit(0)).cast("bigint")
+    crossed = [(curr >= t) & (curr - gained < t) for t, _ in L.MILESTONES]
+    first_in_month = X.in_month(F.col("first_date"), month)
+    frags = [
+        _frag(2, 1, F.concat(fmt(L.RPT_AWARD_LINE, label=label, points=curr, message=F.lit(msg)), F.lit(br)),
+              label, upad, F.lit(str(i)), when=cond)
+        for i, ((t, msg), cond) in enumerate(zip(L.MILESTONES, crossed))
+    ]
+    frags.append(_frag(3, 1, F.concat(fmt(L.RPT_FIRST_LINE, name=F.coalesce(F.col("_name"), F.lit("None"))),
+                                      F.lit(br)),
+                       F.coalesce(F.col("_name"), F.lit("")), upad, when=first_in_month))
+    for part, status, end in ((2, "dormant_warn", br), (5, "new_warn", br + _NL)):
+        sep = F.when(wkey == F.col("_wlast"), F.lit(end)).otherwise(F.lit(", "))
+        frags.append(_frag(4, part, F.concat(label, sep), label, upad, when=F.col("status") == status))
+    frags.append(_frag(5, 1, F.concat(fmt(L.RPT_SCORE_LINE, label=label, gained=gained, current=curr,
+                                          status=F.coalesce(F.col("status"), F.lit("None"))), F.lit(br)),
+                       label, upad, when=~F.col("status").eqNullSafe("exmember")))
+    out.append(_explode(sj, frags))
+
+    # end-of-section markers from two small aggregates
+    counts = s.agg(
+        F.sum(sum(F.when(c, 1).otherwise(0) for c in crossed)).alias("_ms"),
+        F.count_if(first_in_month).alias("_fa"),
+        F.count_if(F.col("status") == "dormant_warn").alias("_dw"),
+        F.count_if(F.col("status") == "new_warn").alias("_nw"))
+    out.append(_explode(counts, [
+        _frag(2, 2, F.when(F.coalesce(F.col("_ms"), F.lit(0)) == 0, F.lit(L.RPT_NONE_APPLICABLE + br + _NL))
+              .otherwise(F.lit(_NL))),
+        _frag(3, 2, F.when(F.col("_fa") == 0, F.lit(L.RPT_NONE + br + _NL)).otherwise(F.lit(_NL))),
+        _frag(4, 3, F.lit(L.RPT_NONE + br), when=F.col("_dw") == 0),
+        _frag(4, 6, F.lit(L.RPT_NONE + br + _NL), when=F.col("_nw") == 0),
+    ]))
+    out.append(_explode(grp.agg(F.count(F.lit(1)).alias("_c")),
+                        [_frag(1, 2, F.lit(L.RPT_NO_ACTIVITY + br + _NL), when=F.col("_c") == 0)]))
 
     res = out[0]
     for df in out[1:]:

@@ -4,10 +4,11 @@ The original application reads a database view whose body is not available;
 only its columns are known (label, status, this month's points, cumulative
 points, area). This is our definition, kept in one place:
 
-    att           = attendance ⋈ activities where date <= as_of
+    att           = attendance ⋈ activities (scores and last date: date <= as_of)
     current_point = coalesce(point, 0) + coalesce(sum(score), 0)
     gained_score  = coalesce(sum(score) where date in month(as_of), 0)
     last_attended = max(date)
+    first_date    = min(date) over the whole history (first-ever attendance)
     status        = 'exmember'     when role = 'exmember'
                     'new'          when never attended and created_at >= as_of - 30 days
                     'new_warn'     when never attended
@@ -34,19 +35,25 @@ DORMANT_DAYS = 90
 
 SUMMARY_COLUMNS = [
     "user_no", "name", "birth_year", "area", "role", "member_label", "status",
-    "gained_score", "current_point", "last_attended",
+    "gained_score", "current_point", "last_attended", "first_date",
 ]
 
 
 def per_member_scores(a: DataFrame, at: DataFrame, as_of) -> DataFrame:
+    """One pass over attendance ⋈ activities, reduced per member.
+
+    Scores and the last date count only activities up to as_of; the first
+    date is over the whole history (first-ever attendance).
+    """
     asof = _dt.date.fromisoformat(str(as_of))
-    acts = a.filter(F.col("date") <= F.lit(asof)).select("event_id", "date", "score")
-    att = at.join(acts, "event_id")
-    in_cur = X.in_month(F.col("date"), X.month_of(asof))
+    att = at.join(a.select("event_id", "date", "score"), "event_id")
+    upto = F.col("date") <= F.lit(asof)
+    in_cur = upto & X.in_month(F.col("date"), X.month_of(asof))
     return att.groupBy("user_no").agg(
-        F.sum("score").alias("_total"),
+        F.sum(F.when(upto, F.col("score"))).alias("_total"),
         F.sum(F.when(in_cur, F.col("score"))).alias("_month"),
-        F.max("date").alias("last_attended"),
+        F.max(F.when(upto, F.col("date"))).alias("last_attended"),
+        F.min("date").alias("first_date"),
     )
 
 
@@ -70,4 +77,5 @@ def member_summary(m: DataFrame, a: DataFrame, at: DataFrame, as_of) -> DataFram
         F.coalesce(F.col("_month"), F.lit(0)).cast("bigint").alias("gained_score"),
         (F.coalesce(F.col("point"), F.lit(0)) + F.coalesce(F.col("_total"), F.lit(0))).cast("bigint").alias("current_point"),
         last.alias("last_attended"),
+        "first_date",
     )

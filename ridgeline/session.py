@@ -51,3 +51,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="ridgeline-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df, spark: SparkSession | None = None):
+    """Compute `df` once and cut its lineage with a reliable checkpoint.
+
+    The files go to the cluster's shared checkpoint folder
+    (``spark.checkpoint.dir``), so consumers read them instead of recomputing
+    the plan, and a lost executor costs a re-read, not a recomputation. A
+    local folder is registered only when the session has none (tests).
+    """
+    spark = spark or df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-ckpt-")
+        sc.setCheckpointDir(base)
+    return df.checkpoint(eager=True)

@@ -50,8 +50,28 @@ ATTENDANCE_SCHEMA = T.StructType([
 ])
 
 
+# Lazy plans (no data) memoised per (application, directory, name): file
+# listing, footer reads and expression building happen once per session.
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    df = _PLANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = build()
+        _PLANS[key] = df
+    return df
+
+
+def clear_plans() -> None:
+    """Forget memoised plans (e.g. after the files under a directory change)."""
+    _PLANS.clear()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _memo(spark, sf_dir, name,
+                 lambda: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +135,9 @@ def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_club(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The three entities by name (lazy)."""
-    return {
-        "members": members(spark, sf_dir),
-        "activities": activities(spark, sf_dir),
-        "attendance": attendance(spark, sf_dir),
-    }
+    """The three entities by name (lazy plans, memoised per session)."""
+    return {name: _memo(spark, sf_dir, "@" + name, lambda f=f: f(spark, sf_dir))
+            for name, f in (("members", members), ("activities", activities), ("attendance", attendance))}
 
 
 def load_tables(spark: SparkSession, sf_dir: str, register: bool = False) -> dict[str, DataFrame]:
