@@ -4,8 +4,7 @@ Lists whose length grows with the data (attendees of one activity, members
 with a warning) are never collected into one value: they are emitted as
 ordered rows / text fragments, so no single task or group has to hold them.
 The complete report is the concatenation of ``report_lines().line`` in
-(section, part, k1, k2, k3) order — a range-partitioned sort, written out
-with `write_report`.
+(section, part, k1, k2, k3) order; `write_report` stores it globally sorted.
 """
 
 from __future__ import annotations
@@ -240,12 +239,18 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
     return res
 
 
+REPORT_ORDER = ("section", "part", "k1", "k2", "k3")
+
+
 def write_report(lines: DataFrame, path: str) -> None:
-    """Write the report text: a global sort on the fragment keys (range
-    partitioned, so many tasks share it), then plain text with no separator —
-    the part files concatenated in name order are the report."""
-    (lines.orderBy("section", "part", "k1", "k2", "k3")
-     .select("line").write.mode("errorifexists").option("lineSep", "").text(path))
+    """Store the report as its fragment table, globally sorted.
+
+    The sort is range partitioned (many tasks share it); part files in name
+    order hold consecutive key ranges, so reading them in order and
+    concatenating `line` reproduces the text without any single task or the
+    driver holding the whole report.
+    """
+    (lines.orderBy(*REPORT_ORDER).write.mode("errorifexists").parquet(path))
 
 
 def briefing_context(a: DataFrame, n: int = 3) -> DataFrame:

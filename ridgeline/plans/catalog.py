@@ -77,9 +77,7 @@ def q_export_csv(spark, sf):
     m, a, at = _club(spark, sf)
     path = shared_dir(spark, "export-members")
     feeds.export_csv(m, path, preferred=L.MEMBER_COLUMN_ORDER)
-    order = feeds.ordered_columns(m.columns, L.MEMBER_COLUMN_ORDER)
-    schema = tables.T.StructType([tables.MEMBERS_SCHEMA[c] for c in order])
-    return feeds.read_csv(spark, path, schema)
+    return feeds.read_csv(spark, path, tables.MEMBERS_SCHEMA, preferred=L.MEMBER_COLUMN_ORDER)
 
 
 def q_forecast_rows(spark, sf):

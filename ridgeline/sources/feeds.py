@@ -41,12 +41,21 @@ def export_csv(t: DataFrame, path: str, preferred: Sequence[str] = (), drop: Seq
      .csv(path))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read an export back with its declared schema (no inference pass)."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("nullValue", NULL_MARK)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .csv(path))
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, preferred: Sequence[str] = (),
+             drop: Sequence[str] = ()) -> DataFrame:
+    """Read an export back with its declared schema (no inference pass).
+
+    `preferred` / `drop` must be those of the export: CSV columns are bound
+    by position, so the schema is laid out in the file's column order; the
+    result comes back in the schema's own order.
+    """
+    order = ordered_columns(schema.fieldNames(), preferred, drop)
+    file_schema = T.StructType([schema[c] for c in order])
+    df = (spark.read.schema(file_schema).option("header", True)
+          .option("nullValue", NULL_MARK)
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+          .csv(path))
+    return df.select(*[c for c in schema.fieldNames() if c in order])
 
 
 FORECAST_SCHEMA = T.StructType([T.StructField("daily", T.StructType([
