@@ -80,18 +80,23 @@ def area_geo(summary: DataFrame, geo_dim: DataFrame, default: tuple[float, float
 
     Lookup rule: the exact key, else the first key (dimension order `ord`)
     contained in the area name, else `default`. Areas are counted first, then
-    every substring of each distinct area is equi-joined with the dimension
-    keys, so the containment test is a plain hash join — no nested-loop or
-    cartesian join, and no bound on the dimension's size.
+    every substring (up to the longest key's length) of each distinct area is
+    equi-joined with the dimension keys, so the containment test is a plain
+    hash join — no nested-loop or cartesian join, and no bound on the
+    dimension's size.
     """
     counts = (summary.filter(F.col("area").isNotNull())
               .groupBy("area").agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+    # Substrings longer than the longest key cannot match: the bound is a
+    # scalar subquery over the dimension, evaluated once.
+    longest = geo_dim.select(F.max(F.length("area_key"))).scalar()
     subs = F.when(
         F.length("area") > 0,
         F.expr("array_distinct(flatten(transform(sequence(1, length(area)), "
-               "i -> transform(sequence(1, length(area) - i + 1), l -> substring(area, i, l)))))"),
+               "i -> transform(sequence(1, least(length(area) - i + 1, _longest)), "
+               "l -> substring(area, i, l)))))"),
     ).otherwise(F.array().cast("array<string>"))
-    cand = counts.select("area", F.explode(subs).alias("_key"))
+    cand = counts.withColumn("_longest", longest).select("area", F.explode(subs).alias("_key"))
     dim = geo_dim.select(F.col("area_key").alias("_key"), "ord", "lat", "lon")
     hit = (cand.join(dim, "_key")
            .groupBy("area")

@@ -29,3 +29,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns[:3] == ["user_no", "name", "birth_year"]
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "date": "DATE", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_column_types_match_oracle(spark, con, sf_small, name):
+    df = E.queries()[name](spark, sf_small)
+    got = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+           for f in df.schema.fields}
+    rel = con.sql(E.oracle_sql()[name])
+    want = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert got == want
