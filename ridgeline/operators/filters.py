@@ -87,18 +87,21 @@ def non_null_sample(t: DataFrame, col: str, n: int, order_by: Iterable[str]) ->
     return t.filter(F.col(col).isNotNull()).orderBy(*[F.col(c).asc_nulls_last() for c in order_by]).limit(n)
 
 
-def member_roster(m: DataFrame, n: int) -> DataFrame:
-    """O1: current members by birth year then name (NULLs last), first n."""
-    return (current_members(m)
-            .orderBy(F.col("birth_year").asc_nulls_last(), F.col("name").asc_nulls_last(),
-                     F.col("user_no").asc())
-            .limit(n)
-            .select("user_no", "birth_year", "name", "area"))
-
-
-def recent_activities(a: DataFrame, n: int) -> DataFrame:
-    """O2: newest activities first (ties by id), first n."""
-    return a.orderBy(F.col("date").desc_nulls_last(), F.col("event_id").asc()).limit(n)
+def _first(df: DataFrame, n: int | None) -> DataFrame:
+    return df if n is None else df.limit(n)
+
+
+def member_roster(m: DataFrame, n: int | None = None) -> DataFrame:
+    """O1: current members by birth year then name (NULLs last); all of them
+    (a range-partitioned global sort) unless a page size `n` is given."""
+    return _first(current_members(m)
+                  .orderBy(F.col("birth_year").asc_nulls_last(), F.col("name").asc_nulls_last(),
+                           F.col("user_no").asc()), n).select("user_no", "birth_year", "name", "area")
+
+
+def recent_activities(a: DataFrame, n: int | None = None) -> DataFrame:
+    """O2: newest activities first (ties by id); all of them unless `n` is given."""
+    return _first(a.orderBy(F.col("date").desc_nulls_last(), F.col("event_id").asc()), n)
 
 
 def next_activities(a: DataFrame, as_of, n: int = 3) -> DataFrame:

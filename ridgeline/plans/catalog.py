@@ -148,12 +148,12 @@ def q_non_null_sample(spark, sf):
 
 def q_member_roster(spark, sf):
     m, a, at = _club(spark, sf)
-    return filters.member_roster(m, 20)
+    return filters.member_roster(m)
 
 
 def q_recent_activities(spark, sf):
     m, a, at = _club(spark, sf)
-    return filters.recent_activities(a, 10)
+    return filters.recent_activities(a)
 
 
 def q_next_activities(spark, sf):

@@ -53,7 +53,8 @@ def test_null_role_dropped_but_null_status_kept(spark):
 def test_roster_nulls_last(spark):
     m = mem(spark, [(1, "b", None, "M", "X", "member"), (2, "a", 1980, "M", "X", "member"),
                     (3, None, 1980, "M", "X", "member"), (4, "a", 1970, "M", "X", "member")])
-    assert [r.user_no for r in filters.member_roster(m, 10).collect()] == [4, 2, 3, 1]
+    assert [r.user_no for r in filters.member_roster(m).collect()] == [4, 2, 3, 1]
+    assert [r.user_no for r in filters.member_roster(m, 2).collect()] == [4, 2]
 
 
 def test_facet_filter_empty_choice_and_null(spark):
