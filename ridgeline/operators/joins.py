@@ -79,31 +79,32 @@ def area_geo(summary: DataFrame, geo_dim: DataFrame, default: tuple[float, float
     """Members per area and its coordinates.
 
     Lookup rule: the exact key, else the first key (dimension order `ord`)
-    contained in the area name, else `default`. Areas are counted first, then
-    every substring (up to the longest key's length) of each distinct area is
-    equi-joined with the dimension keys, so the containment test is a plain
-    hash join — no nested-loop or cartesian join, and no bound on the
-    dimension's size.
+    contained in the area name, else `default`. Areas are counted first (one
+    shuffle, partial aggregation map-side); then every substring (up to the
+    longest key's length) of each distinct area is equi-joined with the
+    dimension keys, so the containment test is a plain hash join — no
+    nested-loop or cartesian join. The winner per area is a `min_by` over the
+    rows of that area, which are still partitioned by area after the count,
+    so it needs no second shuffle and no join back.
     """
     counts = (summary.filter(F.col("area").isNotNull())
               .groupBy("area").agg(F.count(F.lit(1)).cast("bigint").alias("count")))
     # Substrings longer than the longest key cannot match: the bound is a
     # scalar subquery over the dimension, evaluated once.
     longest = geo_dim.select(F.max(F.length("area_key"))).scalar()
-    subs = F.when(
-        F.length("area") > 0,
-        F.expr("array_distinct(flatten(transform(sequence(1, length(area)), "
-               "i -> transform(sequence(1, least(length(area) - i + 1, _longest)), "
-               "l -> substring(area, i, l)))))"),
-    ).otherwise(F.array().cast("array<string>"))
-    cand = counts.withColumn("_longest", longest).select("area", F.explode(subs).alias("_key"))
+    subs = F.expr("array_distinct(flatten(transform(sequence(1, length(area)), "
+                  "i -> transform(sequence(1, least(length(area) - i + 1, _longest)), "
+                  "l -> substring(area, i, l)))))")
+    cand = (counts.withColumn("_longest", longest)
+            .select("area", "count",
+                    F.explode_outer(F.when(F.length("area") > 0, subs)).alias("_key")))
     dim = geo_dim.select(F.col("area_key").alias("_key"), "ord", "lat", "lon")
-    hit = (cand.join(dim, "_key")
-           .groupBy("area")
-           .agg(F.min_by(F.struct("lat", "lon"),
-                         F.struct((F.col("_key") != F.col("area")).alias("_inexact"), F.col("ord"))).alias("_c")))
-    j = counts.join(hit, "area", "left")
-    return j.select(
+    order = F.when(F.col("ord").isNotNull(),
+                   F.struct((F.col("_key") != F.col("area")).alias("_inexact"), F.col("ord")))
+    best = (cand.join(dim, "_key", "left")
+            .groupBy("area", "count")
+            .agg(F.min_by(F.struct("lat", "lon"), order).alias("_c")))
+    return best.select(
         "area", "count",
         F.coalesce(F.col("_c.lat"), F.lit(float(default[0]))).alias("lat"),
         F.coalesce(F.col("_c.lon"), F.lit(float(default[1]))).alias("lon"),

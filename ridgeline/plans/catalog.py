@@ -50,8 +50,13 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def geo_dimension(spark: SparkSession, rows=None) -> DataFrame:
+    """The fixed area lookup as an inline literal table: the planner knows its
+    (tiny) size and broadcasts it instead of shuffling the area substrings."""
     rows = rows if rows is not None else [(i, k, la, lo) for i, (k, la, lo) in enumerate(L.AREA_COORDS)]
-    return spark.createDataFrame(rows, "ord int, area_key string, lat double, lon double")
+    entries = [F.struct(F.lit(o).cast("int").alias("ord"), F.lit(k).cast("string").alias("area_key"),
+                        F.lit(la).cast("double").alias("lat"), F.lit(lo).cast("double").alias("lon"))
+               for o, k, la, lo in rows]
+    return spark.range(1).select(F.inline(F.array(*entries)))
 
 
 # ---- sources ---------------------------------------------------------------
