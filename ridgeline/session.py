@@ -44,15 +44,27 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     directory made under the local temp folder and registered as the
     checkpoint dir.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="ridgeline-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = _local_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _local_checkpoint_dir(spark: SparkSession) -> str:
+    """A checkpoint folder for a session that names none — local mode only.
+
+    On a cluster a machine-local folder is not visible to the other
+    executors, so the shared location must come from `spark.checkpoint.dir`.
+    """
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage "
+                           "(checkpoints and derived tables are written there)")
+    base = tempfile.mkdtemp(prefix="ridgeline-ckpt-")
+    sc.setCheckpointDir(base)
+    return base
+
+
 def materialize(df, spark: SparkSession | None = None):
     """Compute `df` once and cut its lineage with a reliable checkpoint.
 
@@ -64,6 +76,9 @@ def materialize(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-ckpt-")
-        sc.setCheckpointDir(base)
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base:
+            sc.setCheckpointDir(base)
+        else:
+            _local_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
