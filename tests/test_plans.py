@@ -62,3 +62,10 @@ def test_hot_keys_are_combined_before_shuffle(plans):
     # per-member / per-activity reductions run a partial aggregate map-side
     for name in ("member_summary", "member_kpi", "top_attendees", "upsert_rows", "label_to_key"):
         assert "partial_" in plans[name], name
+
+
+def test_area_lookup_shuffles_once_and_broadcasts_the_dimension(plans):
+    txt = plans["area_geo"].split("\n\n")[0]
+    shuffles = txt.count("Exchange (") - txt.count("BroadcastExchange (")
+    assert shuffles == 1 and "SortMergeJoin" not in txt
+    assert "BroadcastHashJoin LeftOuter" in txt

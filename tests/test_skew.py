@@ -26,8 +26,9 @@ N_USERS = 1_000
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
     "spark.sql.shuffle.partitions": "8",
 }
@@ -107,3 +108,22 @@ def test_kpi_semi_join_splits_hot_activity(spark, skewed):
     assert r.total_members == N_USERS
     assert r.active_count == recent["user_no"].nunique()
     assert r.total_points == N_USERS + int(j["score"].sum())
+
+
+def test_hot_member_is_split_in_the_member_join(spark, skewed):
+    from ridgeline.operators import joins
+
+    acts, _, members = skewed
+    hot_user = 5
+    at = spark.range(N_ROWS).select(
+        (F.col("id") % N_EVENTS).alias("event_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(hot_user)).otherwise(F.col("id") % N_USERS).alias("user_no"))
+    a = acts.select("event_id", "date", F.lit("t").alias("title"), F.lit(None).cast("string").alias("album_url"))
+    m = members.select("user_no", "name", F.lit(1970).alias("birth_year"))
+    df = joins.activity_attendees(a, at, m, "2001-03")
+    got = df.count()
+    df.collect()
+    assert "skew=true" in final_plan(spark, df)
+    j = joined_pd(acts, at)
+    j["date"] = pd.to_datetime(j["date"]).dt.date
+    assert got == int(((j["date"] >= dt.date(2001, 3, 1)) & (j["date"] < dt.date(2001, 4, 1))).sum())
