@@ -371,6 +371,13 @@ def q_report_lines(spark, sf):
     return report.report_lines(s, a, at, m, MONTH, rules=RULES_LINK)
 
 
+def q_report_markup(spark, sf):
+    """R5, formatted output: the same report with its '**' emphasis kept."""
+    m, a, at = _club(spark, sf)
+    s = member_summary(m, a, at, AS_OF)
+    return report.report_lines(s, a, at, m, MONTH, rules=RULES_LINK, plain=False)
+
+
 def q_briefing_context(spark, sf):
     m, a, at = _club(spark, sf)
     return report.briefing_context(a, 3)
@@ -438,5 +445,6 @@ QUERIES: dict[str, Query] = {
     "inactivity_warnings": q_inactivity_warnings,
     "score_table": q_score_table,
     "report_lines": q_report_lines,
+    "report_markup": q_report_markup,
     "briefing_context": q_briefing_context,
 }

@@ -305,6 +305,17 @@ def test_report_text_matches_reference_layout(spark, tmp_path):
     assert written == expected
 
 
+def test_report_markup_keeps_emphasis(spark):
+    m, a, at = _club(spark)
+    s = member_summary(m, a, at, AS_OF)
+    order = ("section", "part", "k1", "k2", "k3")
+    marked = "".join(r.line for r in report.report_lines(s, a, at, m, "2001-07", plain=False)
+                     .orderBy(*order).collect())
+    plain = "".join(r.line for r in report.report_lines(s, a, at, m, "2001-07").orderBy(*order).collect())
+    assert marked.startswith("🔗 **산악회 회칙 안내**") and "**" not in plain
+    assert marked.replace("**", "") == plain
+
+
 def test_report_empty_month(spark):
     m, a, at = _club(spark)
     s = member_summary(m, a, at, AS_OF)
