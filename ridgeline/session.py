@@ -2,12 +2,52 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+# Target bytes per shuffle partition / file split on a cluster: large enough
+# to keep task overhead small, small enough to sort and join in executor
+# memory without heavy spilling.
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def cluster_conf(largest_shuffle_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES) -> dict[str, str]:
+    """Session settings for a large cluster, sized from the largest shuffle.
+
+    `largest_shuffle_bytes` is the size of the biggest exchange (here
+    attendance ⋈ activities after column pruning). Shuffle partitions are
+    set for that stage at `target_bytes` each; AQE coalesces the smaller
+    stages by size (not by core count) and splits skewed partitions.
+    """
+    parts = max(200, math.ceil(largest_shuffle_bytes / target_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def cluster_session(largest_shuffle_bytes: int, app_name: str = "ridgeline") -> SparkSession:
+    """Session for spark-submit on a cluster: the master and the shared
+    `spark.checkpoint.dir` come from the submission; only SQL settings are set."""
+    builder = SparkSession.builder.appName(app_name)
+    for k, v in cluster_conf(largest_shuffle_bytes).items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        raise RuntimeError("submit with spark.checkpoint.dir set to a folder on shared storage")
+    return spark
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "ridgeline") -> SparkSession:

@@ -69,3 +69,14 @@ def test_area_lookup_shuffles_once_and_broadcasts_the_dimension(plans):
     shuffles = txt.count("Exchange (") - txt.count("BroadcastExchange (")
     assert shuffles == 1 and "SortMergeJoin" not in txt
     assert "BroadcastHashJoin LeftOuter" in txt
+
+
+def test_cluster_conf_sizes_partitions_from_the_largest_shuffle():
+    from ridgeline.session import TARGET_PARTITION_BYTES, cluster_conf
+
+    tb = 1024 ** 4
+    c = cluster_conf(30 * tb)  # e.g. attendance ⋈ activities on 100 TB of input, pruned to join columns
+    assert int(c["spark.sql.shuffle.partitions"]) == 30 * tb // TARGET_PARTITION_BYTES
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert c["spark.sql.adaptive.coalescePartitions.parallelismFirst"] == "false"
+    assert int(cluster_conf(1)["spark.sql.shuffle.partitions"]) == 200
