@@ -80,3 +80,20 @@ def test_cluster_conf_sizes_partitions_from_the_largest_shuffle():
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert c["spark.sql.adaptive.coalescePartitions.parallelismFirst"] == "false"
     assert int(cluster_conf(1)["spark.sql.shuffle.partitions"]) == 200
+
+
+def test_day_partitioned_activities_prune_directories(spark, sf_small):
+    from ridgeline.operators import filters
+    from ridgeline.session import shared_dir
+    from ridgeline.sources.tables import load_club, read_by_date, save_by_date
+
+    a = load_club(spark, sf_small)["activities"]
+    path = shared_dir(spark, "activities-by-day")
+    save_by_date(a, path)
+    stored = read_by_date(spark, path)
+    got = filters.month_filter(stored, "2001-07")
+    scan = [b for b in plan_text(spark, got).split("\n\n") if "Scan parquet" in b]
+    assert any("PartitionFilters: [isnotnull(date" in b and "date#" in b and ">= 2001-07-01" in b for b in scan), scan
+    exp = filters.month_filter(a, "2001-07")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+    assert stored.count() == a.count()
