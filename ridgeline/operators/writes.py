@@ -15,8 +15,12 @@ from ..functions import expr as X
 
 
 def _key_text(c: str) -> F.Column:
-    """Keys are compared as trimmed text, as the grid hands them back."""
-    return X.full_trim(F.col(c).cast("string"))
+    """Keys are compared as text, exactly as the grid hands them back.
+
+    No trimming here: only the id repair (W5) strips the id it writes, so an
+    id edited to " 9 " no longer matches "9" and "9" counts as removed.
+    """
+    return F.col(c).cast("string")
 
 
 def removed_keys(visible: DataFrame, edited: DataFrame, key: str) -> DataFrame:

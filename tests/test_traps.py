@@ -398,6 +398,18 @@ def test_apply_grid_edits_blank_id_loses_attendance(spark):
     assert sorted(map(tuple, new_at.collect())) == [(12, 1)]  # 10's attendance lost (T15), 11 cascaded
 
 
+def test_grid_ids_compare_untrimmed_but_repair_strips(spark):
+    a = act(spark, [(9, D(2001, 7, 1), "A", None, 1, None), (10, D(2001, 7, 2), "B")])
+    at = att(spark, [(9, 1), (10, 2)])
+    visible = a.withColumn("event_id", F.col("event_id").cast("string"))
+    edited = visible.withColumn("event_id", F.when(F.col("event_id") == "9", " 9 ").otherwise(F.col("event_id"))
+                                ).withColumn("seq", F.lit(1))
+    assert rows(writes.removed_keys(visible, edited, "event_id")) == [("9",)]
+    acts, new_at = writes.apply_grid_edits(a, at, visible, edited)
+    assert sorted(r.event_id for r in acts.collect()) == ["10", "9"]  # re-inserted under the stripped id
+    assert sorted(map(tuple, new_at.collect())) == [(10, 2)]  # but its attendance went with the delete
+
+
 # --- feeds -----------------------------------------------------------------------------------------
 
 def test_forecast_rows_classes_and_truncation(spark):
