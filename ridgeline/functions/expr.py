@@ -128,5 +128,9 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def regex_search(c: Column, pattern: str) -> Column:
-    """Case-insensitive regex search; NULL counts as no match."""
-    return F.coalesce(c.rlike("(?i)" + pattern), F.lit(False))
+    """Case-insensitive regex search; NULL counts as no match.
+
+    `u` makes the case folding Unicode-aware (as Python's IGNORECASE and
+    RE2's `(?i)`), not ASCII-only.
+    """
+    return F.coalesce(c.rlike("(?iu)" + pattern), F.lit(False))

@@ -64,6 +64,11 @@ def test_facet_filter_empty_choice_and_null(spark):
     assert filters.facet_filter(m, years=[1970], areas=["X"]).count() == 0
 
 
+def test_text_search_folds_unicode_case(spark):
+    t = spark.createDataFrame([(1, "ÉCOLE"), (2, "Σοφία"), (3, "x")], "k long, name string")
+    assert sorted(r.k for r in filters.text_search(t, ["name"], "école|σΟΦ").collect()) == [1, 2]
+
+
 def test_text_search_is_case_insensitive_regex_and_null_safe(spark):
     m = mem(spark, [(1, "Kim Minsu", 1970, "M", "X", "member", 1, None),
                     (2, "Lee", 1970, "M", "X", "member", 1, "lives in SEOUL"),
