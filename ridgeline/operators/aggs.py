@@ -193,10 +193,17 @@ def top_attendees(a: DataFrame, at: DataFrame, m: DataFrame, month: str, n: int
 
 
 def popular_activities(a: DataFrame, at: DataFrame, month: str, n: int = 3) -> DataFrame:
-    """Titles of the month by number of attendance rows (not distinct people)."""
+    """Titles of the month by number of attendance rows (not distinct people).
+
+    Attendance is first counted per activity (partial aggregation combines a
+    hot activity map-side, and the shuffle carries one row per activity and
+    task instead of every record), so the join with the month's activities
+    is one-to-one and cannot be skewed.
+    """
     acts = month_filter(a, month).select("event_id", "title")
-    j = at.join(acts, "event_id")
-    g = j.groupBy("title").agg(F.count("user_no").cast("bigint").alias("cnt"))
+    per_event = at.groupBy("event_id").agg(F.count("user_no").alias("_n"))
+    j = per_event.join(acts, "event_id")
+    g = j.groupBy("title").agg(F.sum("_n").cast("bigint").alias("cnt"))
     return g.orderBy(F.col("cnt").desc(), F.col("title").asc_nulls_last()).limit(n)
 
 
