@@ -43,3 +43,22 @@ def test_column_types_match_oracle(spark, con, sf_small, name):
     rel = con.sql(E.oracle_sql()[name])
     want = dict(zip(rel.columns, [str(t) for t in rel.types]))
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def empty_dir(tmp_path_factory, sf_small):
+    """Every base table with its real schema and no rows."""
+    import pyarrow.parquet as pq
+
+    from ridgeline.sources.tables import BASE_TABLES
+
+    d = tmp_path_factory.mktemp("empty-tables")
+    for t in BASE_TABLES:
+        pq.write_table(pq.read_table(f"{sf_small}/{t}.parquet").slice(0, 0), str(d / f"{t}.parquet"))
+    return str(d)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_matches_oracle_on_empty_tables(spark, empty_dir, name):
+    ok, msg = compare(spark, duck(empty_dir), name, E.queries()[name], E.oracle_sql()[name], empty_dir)
+    assert ok, msg
