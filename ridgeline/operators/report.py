@@ -57,6 +57,9 @@ def activity_digest(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> Da
         "date", "title", "headcount", "album_url", "birth_year", "name", "n")
 
 
+GROUP_KEY_SEP = "\x01"
+
+
 def name_key() -> Column:
     """Text key ordering attendees by (birth_year, name), NULLs last."""
     return F.concat(F.when(F.col("birth_year").isNull(), "1").otherwise("0"),
@@ -67,7 +70,7 @@ def name_key() -> Column:
 
 def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str,
                  materialized: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(per-group headcount / album URL / last name key, per-group name multiplicities).
+    """(per-group headcount / album URL / first and last name keys, per-group name multiplicities).
 
     The month's attendance is reduced once to (date, title, birth_year, name)
     counts — bounded by distinct attendees, not by records — and, because two
@@ -83,6 +86,7 @@ def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str,
     grp = names.groupBy("date", "title").agg(
         F.sum("n").cast("bigint").alias("headcount"),
         F.min_by("_album", F.struct(*_name_order())).alias("album_url"),
+        F.min(name_key()).alias("_first"),
         F.max(name_key()).alias("_last"))
     return grp, names.drop("_album")
 
@@ -170,9 +174,12 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
               (6, 0, _NL + L.RULE + br + L.RPT_CLOSING)]
     out.append(_explode(spark.range(1), [_frag(sec, part, F.lit(t)) for sec, part, t in consts]))
 
-    # 1. activities: per group, then per attendee name
+    # 1. activities: per group, then per attendee name. Groups follow the
+    # original's first-appearance order over rows sorted by (date, birth_year,
+    # name): by date, then by the group's first attendee, then (a tie the
+    # original leaves open) by title. "\x01" sorts below any name character.
     day = F.date_format("date", "yyyy-MM-dd")
-    gkey = F.concat(day, F.lit("|"), F.col("title"))
+    gkey = F.concat(day, F.lit("|"), F.col("_first"), F.lit(GROUP_KEY_SEP), F.col("title"))
     album = X.blank_to_null(F.col("album_url"))
     out.append(_explode(grp, [
         _frag(1, 1, fmt(L.RPT_ACTIVITY_LINE + br, date=day, title=F.col("title")), gkey, F.lit("0")),
@@ -185,7 +192,7 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
     nk = name_key()
     text = F.concat(F.repeat(F.concat(nm, F.lit(", ")), (F.col("n") - 1).cast("int")), nm,
                     F.when(nk == F.col("_last"), F.lit(br)).otherwise(F.lit(", ")))
-    named = names.join(grp.select("date", "title", "_last"), ["date", "title"])
+    named = names.join(grp.select("date", "title", "_first", "_last"), ["date", "title"])
     out.append(_explode(named, [_frag(1, 1, text, gkey, F.lit("1"), nk)]))
 
     # 2.–5. per member: one pass over the summary

@@ -310,6 +310,19 @@ def test_report_text_matches_reference_layout(spark, tmp_path):
     assert written == expected
 
 
+def test_report_same_day_activities_follow_their_first_attendee(spark):
+    m, _, _ = _club(spark)
+    a = act(spark, [(20, D(2001, 7, 5), "Alpha", 1, 1, None), (21, D(2001, 7, 5), "Beta", 1, 1, None),
+                    (22, D(2001, 7, 5), "Gamma", 1, 1, None)])
+    # Alpha's first attendee is Choi (1982), Beta's is Kim (1975), Gamma's Park (1980):
+    # rows sorted by (date, birth_year, name) meet Beta, then Gamma, then Alpha.
+    at = att(spark, [(20, 4), (21, 1), (21, 4), (22, 3)])
+    s = member_summary(m, a, at, AS_OF)
+    text = "".join(r.line for r in report.report_lines(s, a, at, m, "2001-07")
+                   .orderBy("section", "part", "k1", "k2", "k3").collect())
+    assert text.index("| Beta") < text.index("| Gamma") < text.index("| Alpha")
+
+
 def test_report_markup_keeps_emphasis(spark):
     m, a, at = _club(spark)
     s = member_summary(m, a, at, AS_OF)
