@@ -52,19 +52,28 @@ def birth_year_attendance(m: DataFrame, a: DataFrame, at: DataFrame, month: str)
     NULL year matches NULL year; a year without attendees shows 0. The total
     column is a window over the per-year result, whose size is bounded by the
     number of distinct birth years, not by the data.
+
+    Plan: a member has one birth year, so distinct attendees per year are the
+    month's distinct attendees (deduplicated first, combined map-side) joined
+    to their year. Instead of a null-safe join of the year list with the
+    counts, both are unioned and grouped once by year — GROUP BY already
+    keeps NULL as its own group — and only the current members' years are
+    kept. One aggregation, no join of the two small sides.
     """
-    years = current_members(m).select("birth_year").distinct()
     acts = month_filter(a, month).select("event_id")
-    att = (at.join(acts, "event_id", "left_semi")
-           .join(m.select("user_no", F.col("birth_year").alias("_y")), "user_no"))
-    cnt = att.groupBy("_y").agg(F.countDistinct("user_no").alias("_cnt"))
-    j = years.join(cnt, years["birth_year"].eqNullSafe(cnt["_y"]), "left")
-    c = F.coalesce(F.col("_cnt"), F.lit(0)).cast("bigint")
-    return j.select(
+    users = at.join(acts, "event_id", "left_semi").select("user_no").distinct()
+    attended = users.join(m.select("user_no", "birth_year"), "user_no").select(
+        "birth_year", F.lit(False).alias("_listed"), F.lit(1).alias("_one"))
+    listed = current_members(m).select("birth_year", F.lit(True).alias("_listed"), F.lit(0).alias("_one"))
+    per_year = (listed.unionByName(attended)
+                .groupBy("birth_year")
+                .agg(F.max("_listed").alias("_listed"), F.sum("_one").cast("bigint").alias("cnt"))
+                .filter(F.col("_listed")))
+    return per_year.select(
         "birth_year",
         F.concat(X.yy(F.col("birth_year"), missing="0"), F.lit(L.YEAR_SUFFIX)).alias("label"),
-        c.alias("cnt"),
-        F.sum(c).over(Window.partitionBy()).cast("bigint").alias("total"),
+        "cnt",
+        F.sum("cnt").over(Window.partitionBy()).cast("bigint").alias("total"),
     )
 
 
