@@ -23,7 +23,8 @@ def _months_back(d: _dt.date, k: int) -> _dt.date:
 
 
 def member_kpi(m: DataFrame, a: DataFrame, at: DataFrame, as_of) -> DataFrame:
-    """A1: current-member count, recently active members, total points.
+    """A1: current-member count, recently active members, total points (also as
+    text with thousands separators, as the dashboard card shows it).
 
     * total points = Σ point of current members + Σ score over every
       attendance record joined to its activity (orphaned members included).
@@ -52,8 +53,9 @@ def member_kpi(m: DataFrame, a: DataFrame, at: DataFrame, as_of) -> DataFrame:
         F.coalesce(F.sum(F.when(k == 0, F.col("_v"))), F.lit(0)).alias("_base"),
         F.coalesce(F.sum(F.when(k == 1, F.col("_v"))), F.lit(0)).alias("_score"),
     )
-    return agg.select("total_members", "active_count",
-                      (F.col("_base") + F.col("_score")).cast("bigint").alias("total_points"))
+    total = (F.col("_base") + F.col("_score")).cast("bigint")
+    return agg.select("total_members", "active_count", total.alias("total_points"),
+                      F.format_number(total, 0).alias("total_points_text"))
 
 
 def birth_year_gender(m: DataFrame) -> DataFrame:
@@ -139,7 +141,8 @@ def monthly_trend(a: DataFrame, as_of, months: int = 5) -> DataFrame:
 
 
 def annual_stats(a: DataFrame, as_of) -> DataFrame:
-    """12-month mean, peak month (ties -> latest), low month (ties -> earliest), current month.
+    """12-month mean (also as one-decimal text), peak month (ties -> latest),
+    low month (ties -> earliest), current month.
 
     Always one row: with no activities the counts are 0 and the months NULL.
     """
@@ -155,8 +158,12 @@ def annual_stats(a: DataFrame, as_of) -> DataFrame:
         F.min(F.struct("cnt", "month")).alias("_low"),
         F.sum(F.when(F.col("month") == cur, F.col("cnt")).otherwise(0)).alias("_cur"),
     )
+    avg = F.coalesce(F.col("_avg"), F.lit(0.0))
+    # One decimal, ties to even as Python's '{:.1f}': a mean of at most 12
+    # integer counts ties only at x.25 / x.75, which are exact doubles.
     return agg.select(
-        F.round(F.coalesce(F.col("_avg"), F.lit(0.0)), 6).alias("avg_cnt"),
+        F.round(avg, 6).alias("avg_cnt"),
+        F.format_string("%.1f", F.bround(avg, 1)).alias("avg_text"),
         F.col("_peak.month").alias("peak_month"),
         F.coalesce(F.col("_peak.cnt"), F.lit(0)).cast("bigint").alias("peak_cnt"),
         F.col("_low.month").alias("low_month"),

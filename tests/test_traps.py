@@ -198,6 +198,19 @@ def test_annual_stats_ties_and_empty(spark):
     assert [(x.avg_cnt, x.peak_month, x.peak_cnt, x.low_month, x.current_cnt) for x in e] == [(0.0, None, 0, None, 0)]
 
 
+def test_display_text_rounds_half_even_and_groups_thousands(spark):
+    # monthly counts 1, 1, 1, 2 -> mean 1.25 -> '1.2' (Python's '{:.1f}'); 1, 2, 2, 2 -> '1.8'
+    a = act(spark, [(1, D(2001, 3, 1)), (2, D(2001, 4, 1)), (3, D(2001, 5, 1)), (4, D(2001, 6, 1)), (5, D(2001, 6, 2))])
+    assert aggs.annual_stats(a, AS_OF).collect()[0].avg_text == f"{1.25:.1f}" == "1.2"
+    b = a.unionByName(act(spark, [(6, D(2001, 4, 2)), (7, D(2001, 5, 2))])).filter("event_id <> 1")
+    b = b.unionByName(act(spark, [(8, D(2001, 3, 5))]))
+    assert aggs.annual_stats(b, AS_OF).collect()[0].avg_text == f"{1.75:.1f}" == "1.8"
+    m = spark.createDataFrame([(1, "member", 1234567)], "user_no long, role string, point int")
+    at = spark.createDataFrame([], "event_id long, user_no long")
+    assert aggs.member_kpi(m, a.select("event_id", "date", "score"), at, AS_OF).collect()[0].total_points_text \
+        == f"{1234567:,}"
+
+
 def test_monthly_trend_window_and_ratio(spark):
     a = act(spark, [(1, D(2001, 2, 28)), (2, D(2001, 3, 1)), (3, D(2001, 3, 2)), (4, D(2001, 7, 15)),
                     (5, D(2001, 7, 16))])
