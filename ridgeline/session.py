@@ -50,7 +50,7 @@ def cluster_session(largest_shuffle_bytes: int, app_name: str = "ridgeline") ->
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "ridgeline") -> SparkSession:
+                  app_name: str = "ridgeline", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Session for tests, benchmarks and local runs.
 
     On a cluster, submit with the cluster's own master and keep these settings:
@@ -71,6 +71,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("RIDGELINE_DRIVER_MEMORY", "8g"))
     )
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
