@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import lookups as L
-from .filters import current_members, month_filter
+from .filters import current_members, month_attendance, month_filter
 
 
 def _asof(as_of) -> _dt.date:
@@ -191,7 +191,8 @@ def top_hosts(a: DataFrame, m: DataFrame, month: str, n: int = 3) -> DataFrame:
 def top_attendees(a: DataFrame, at: DataFrame, m: DataFrame, month: str, n: int = 3) -> DataFrame:
     """Highest Σ score of the month, grouped by (name, image)."""
     acts = month_filter(a, month).select("event_id", "score")
-    per_user = at.join(acts, "event_id").groupBy("user_no").agg(F.sum("score").alias("_s"))
+    per_user = (month_attendance(at, month).join(acts, "event_id")
+                .groupBy("user_no").agg(F.sum("score").alias("_s")))
     j = per_user.join(m.select("user_no", "name", "profile_image_url"), "user_no")
     g = j.groupBy("name", "profile_image_url").agg(F.sum("_s").cast("bigint").alias("score"))
     return (g.orderBy(F.col("score").desc_nulls_last(), F.col("name").asc_nulls_last(),
@@ -208,7 +209,7 @@ def popular_activities(a: DataFrame, at: DataFrame, month: str, n: int = 3) -> D
     is one-to-one and cannot be skewed.
     """
     acts = month_filter(a, month).select("event_id", "title")
-    per_event = at.groupBy("event_id").agg(F.count("user_no").alias("_n"))
+    per_event = month_attendance(at, month).groupBy("event_id").agg(F.count("user_no").alias("_n"))
     j = per_event.join(acts, "event_id")
     g = j.groupBy("title").agg(F.sum("_n").cast("bigint").alias("cnt"))
     return g.orderBy(F.col("cnt").desc(), F.col("title").asc_nulls_last()).limit(n)

@@ -52,6 +52,22 @@ def month_filter(a: DataFrame, month: str | None, date_col: str = "date") -> Dat
     return a.filter(X.in_month(date_col, month))
 
 
+ACTIVITY_MONTH = "activity_month"
+
+
+def month_attendance(at: DataFrame, month: str | None) -> DataFrame:
+    """Attendance records that can belong to the month's activities.
+
+    Attendance stored with its activity's month (`tables.save_attendance_by_month`)
+    has an `activity_month` partition column: filtering it prunes the scan to
+    one month's files before any join. Plain attendance is returned as it is;
+    the join with the month's activities then does the filtering.
+    """
+    if month and month != "all" and ACTIVITY_MONTH in at.columns:
+        return at.filter(F.col(ACTIVITY_MONTH) == F.lit(month))
+    return at
+
+
 def facet_values(t: DataFrame, facets: Mapping[str, Column]) -> DataFrame:
     """Distinct non-NULL value of each facet, as (facet, value) text rows."""
     pairs = F.array(*[

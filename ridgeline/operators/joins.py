@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import lookups as L
-from .filters import current_members, month_filter, next_activities
+from .filters import current_members, month_attendance, month_filter, next_activities
 
 
 def upcoming_with_host(a: DataFrame, m: DataFrame, as_of, n: int = 3) -> DataFrame:
@@ -42,7 +42,7 @@ def upcoming_with_host(a: DataFrame, m: DataFrame, as_of, n: int = 3) -> DataFra
 def activity_attendees(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> DataFrame:
     """One row per attendance record of the month, with member details."""
     acts = month_filter(a, month).select("event_id", "date", "title", "album_url")
-    j = at.join(acts, "event_id").join(m.select("user_no", "birth_year", "name"), "user_no")
+    j = month_attendance(at, month).join(acts, "event_id").join(m.select("user_no", "birth_year", "name"), "user_no")
     return j.select("event_id", "user_no", "date", "title", "album_url", "birth_year", "name")
 
 
@@ -61,7 +61,7 @@ def birth_year_attendance(m: DataFrame, a: DataFrame, at: DataFrame, month: str)
     kept. One aggregation, no join of the two small sides.
     """
     acts = month_filter(a, month).select("event_id")
-    users = at.join(acts, "event_id", "left_semi").select("user_no").distinct()
+    users = month_attendance(at, month).join(acts, "event_id", "left_semi").select("user_no").distinct()
     attended = users.join(m.select("user_no", "birth_year"), "user_no").select(
         "birth_year", F.lit(False).alias("_listed"), F.lit(1).alias("_one"))
     listed = current_members(m).select("birth_year", F.lit(True).alias("_listed"), F.lit(0).alias("_one"))

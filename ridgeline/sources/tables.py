@@ -186,3 +186,33 @@ def read_by_date(spark: SparkSession, path: str, schema: T.StructType = ACTIVITI
     """Read a table written by `save_by_date`, in the entity's column order."""
     df = spark.read.parquet(path)
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def save_attendance_by_month(at: DataFrame, a: DataFrame, path: str,
+                             max_records_per_file: int = 5_000_000) -> None:
+    """Store attendance once with its activity's month as a partition column.
+
+    Month-scoped operators (`filters.month_attendance`) then read one month's
+    files instead of shuffling all attendance to meet that month's activities.
+    Records without an activity keep a NULL month. Rows are range partitioned
+    on (month, event_id, user_no), so a busy month or a very large activity is
+    spread over many writer tasks. Written once per refresh; grid saves apply
+    to the plain table.
+    """
+    from ..operators.filters import ACTIVITY_MONTH
+
+    months = a.select("event_id", F.date_format("date", "yyyy-MM").alias(ACTIVITY_MONTH))
+    (at.join(months, "event_id", "left")
+     .repartitionByRange(F.col(ACTIVITY_MONTH), F.col("event_id"), F.col("user_no"))
+     .write.mode("errorifexists")
+     .option("maxRecordsPerFile", max_records_per_file)
+     .partitionBy(ACTIVITY_MONTH)
+     .parquet(path))
+
+
+def read_attendance_by_month(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table written by `save_attendance_by_month` (month kept as text)."""
+    from ..operators.filters import ACTIVITY_MONTH
+
+    schema = T.StructType(ATTENDANCE_SCHEMA.fields + [T.StructField(ACTIVITY_MONTH, T.StringType())])
+    return spark.read.schema(schema).parquet(path)

@@ -97,3 +97,30 @@ def test_day_partitioned_activities_prune_directories(spark, sf_small):
     exp = filters.month_filter(a, "2001-07")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
     assert stored.count() == a.count()
+
+
+def test_month_partitioned_attendance_prunes_and_keeps_results(spark, sf_small):
+    from collections import Counter
+
+    from ridgeline.operators import aggs, joins
+    from ridgeline.session import shared_dir
+    from ridgeline.sources.tables import load_club, read_attendance_by_month, save_attendance_by_month
+
+    c = load_club(spark, sf_small)
+    m, a, at = c["members"], c["activities"], c["attendance"]
+    path = shared_dir(spark, "attendance-by-month")
+    save_attendance_by_month(at, a, path)
+    stored = read_attendance_by_month(spark, path)
+    assert stored.count() == at.count()
+    month = "2001-07"
+    cases = {
+        "attendees": lambda t: joins.activity_attendees(a, t, m, month),
+        "by_year": lambda t: joins.birth_year_attendance(m, a, t, month),
+        "top_attendees": lambda t: aggs.top_attendees(a, t, m, month),
+        "popular": lambda t: aggs.popular_activities(a, t, month),
+    }
+    for name, q in cases.items():
+        got, exp = q(stored), q(at)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, exp.collect())), name
+        scan = [b for b in plan_text(spark, got).split("\n\n") if "Scan parquet" in b and "attendance-by-month" in b]
+        assert scan and all("PartitionFilters: [isnotnull(activity_month" in b and "2001-07" in b for b in scan), name
