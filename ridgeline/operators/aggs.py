@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import lookups as L
-from .filters import current_members, month_attendance, month_filter
+from .filters import ACTIVITY_MONTH, current_members, month_attendance, month_filter
 
 
 def _asof(as_of) -> _dt.date:
@@ -220,9 +220,23 @@ def first_attendance(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> D
 
     The month test applies to the aggregate, so it stays above it; the
     earliest date is reduced per member before the member join.
+
+    With month-partitioned attendance (`tables.save_attendance_by_month`) the
+    big attendance ⋈ activities join is avoided: a member's first month is the
+    smallest `activity_month` of their records (an aggregation over attendance
+    alone, combined map-side), and only the members whose first month is
+    `month` have that month's records (one month's files) joined with that
+    month's activities for the exact first date.
     """
-    first = (at.join(a.select("event_id", "date"), "event_id")
-             .groupBy("user_no").agg(F.min("date").alias("first_date")))
+    if ACTIVITY_MONTH in at.columns:
+        newcomers = (at.groupBy("user_no").agg(F.min(ACTIVITY_MONTH).alias("_m"))
+                     .filter(F.col("_m") == F.lit(month)).select("user_no"))
+        rows = month_attendance(at, month).join(newcomers, "user_no", "left_semi")
+        first = (rows.join(month_filter(a, month).select("event_id", "date"), "event_id")
+                 .groupBy("user_no").agg(F.min("date").alias("first_date")))
+    else:
+        first = (at.join(a.select("event_id", "date"), "event_id")
+                 .groupBy("user_no").agg(F.min("date").alias("first_date")))
     j = first.join(m.select("user_no", "name"), "user_no")
     return j.filter(X.in_month(F.col("first_date"), month)).select("user_no", "name", "first_date")
 

@@ -118,9 +118,21 @@ def test_month_partitioned_attendance_prunes_and_keeps_results(spark, sf_small):
         "by_year": lambda t: joins.birth_year_attendance(m, a, t, month),
         "top_attendees": lambda t: aggs.top_attendees(a, t, m, month),
         "popular": lambda t: aggs.popular_activities(a, t, month),
+        "first": lambda t: aggs.first_attendance(a, t, m, "1995-06"),
+        "first_later": lambda t: aggs.first_attendance(a, t, m, month),
     }
     for name, q in cases.items():
         got, exp = q(stored), q(at)
         assert Counter(map(tuple, got.collect())) == Counter(map(tuple, exp.collect())), name
         scan = [b for b in plan_text(spark, got).split("\n\n") if "Scan parquet" in b and "attendance-by-month" in b]
+        if name.startswith("first"):
+            # first months from attendance alone (user_no only, months from the
+            # directory names), then one pruned month joined with that month's activities
+            full = [b for b in scan if "PartitionFilters" not in b]
+            pruned = [b for b in scan if "PartitionFilters: [isnotnull(activity_month" in b]
+            assert len(full) == 1 and "ReadSchema: struct<user_no:bigint>" in full[0], name
+            assert len(pruned) == 1, name
+            orders = [b for b in plan_text(spark, got).split("\n\n") if "orders.parquet" in b]
+            assert orders and all("GreaterThanOrEqual(o_orderdate" in b for b in orders), name
+            continue
         assert scan and all("PartitionFilters: [isnotnull(activity_month" in b and "2001-07" in b for b in scan), name
