@@ -127,3 +127,16 @@ def test_hot_member_is_split_in_the_member_join(spark, skewed):
     j = joined_pd(acts, at)
     j["date"] = pd.to_datetime(j["date"]).dt.date
     assert got == int(((j["date"] >= dt.date(2001, 3, 1)) & (j["date"] < dt.date(2001, 4, 1))).sum())
+
+
+def test_cascade_delete_anti_join_splits_hot_activity(spark, skewed):
+    from ridgeline.operators import writes
+
+    _, at, _ = skewed
+    removed = spark.range(0, N_EVENTS, 7).select(F.col("id").alias("event_id"))  # the hot activity stays
+    df = writes.cascade_delete(at, removed)
+    got = df.count()
+    df.collect()
+    assert "skew=true" in final_plan(spark, df)
+    a = at.toPandas()
+    assert got == int((a["event_id"] % 7 != 0).sum())
