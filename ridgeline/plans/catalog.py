@@ -7,7 +7,6 @@ the fixtures; no query filters rows to keep a check cheap.
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
