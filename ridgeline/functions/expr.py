@@ -93,6 +93,12 @@ def option_label(*cols: Column) -> Column:
     return F.concat_ws("/", *[F.coalesce(c.cast("string"), F.lit("None")) for c in cols])
 
 
+def event_label(date: Column, title: Column) -> Column:
+    """Activity pick-list label 'yyyy-MM-dd | title'; NULL shows as 'None'."""
+    return F.concat(F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit("None")), F.lit(L.EVENT_LABEL_SEP),
+                    F.coalesce(title, F.lit("None")))
+
+
 def avatar_url(image: Column, name: Column) -> Column:
     """Image URL, or the generated-avatar URL when it is NULL or ''."""
     fallback = F.concat(

@@ -86,6 +86,7 @@ BADGE_TODAY = "D-Day"
 URGENT_DAYS = 3
 ACTIVE_WINDOW_DAYS = 90
 MEDALS = ["gold", "silver", "bronze"]
+EVENT_LABEL_SEP = " | "
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — preferred column order of the two editable grids.

@@ -139,6 +139,11 @@ def label_to_key(labeled: DataFrame, label: str, key: str, order: Sequence[Colum
     return labeled.groupBy(label).agg(F.min_by(F.col(key), order_struct).alias(key))
 
 
+def newest_first_order() -> list[Column]:
+    """Date descending with NULLs last (the activity list's order), as struct fields for min_by."""
+    return [F.col("date").isNull().alias("_nd"), (-F.unix_date(F.col("date"))).alias("_d")]
+
+
 def roster_order() -> list[Column]:
     """(birth_year, name) ascending with NULLs last, as struct fields for min_by."""
     return [F.col("birth_year").isNull().alias("_ny"), F.col("birth_year").alias("_y"),

@@ -206,6 +206,14 @@ def q_label_to_key(spark, sf):
     return joins.label_to_key(lab, "label", "user_no", joins.roster_order())
 
 
+def q_event_label_to_key(spark, sf):
+    """J7 for activities: a 'date | title' label resolves to the first activity
+    of the newest-first list (same-day namesakes: the smallest id)."""
+    m, a, at = _club(spark, sf)
+    lab = a.withColumn("label", X.event_label(F.col("date"), F.col("title")))
+    return joins.label_to_key(lab, "label", "event_id", joins.newest_first_order())
+
+
 def q_member_summary(spark, sf):
     return _summary(spark, sf)
 
@@ -411,6 +419,7 @@ QUERIES: dict[str, Query] = {
     "area_geo": q_area_geo,
     "event_host_label": q_event_host_label,
     "label_to_key": q_label_to_key,
+    "event_label_to_key": q_event_label_to_key,
     "member_summary": q_member_summary,
     # aggregations
     "member_kpi": q_member_kpi,

@@ -160,6 +160,16 @@ def test_label_to_key_first_in_roster_order(spark):
     assert got == {"L": 9, "M": 1}
 
 
+def test_event_label_resolves_to_first_in_newest_first_list(spark):
+    from ridgeline.functions import expr as X
+
+    a = act(spark, [(7, D(2001, 7, 1), "Hill"), (5, D(2001, 7, 1), "Hill"), (9, D(2001, 6, 1), "Hill"),
+                    (3, None, "Hill"), (4, None, "Hill")])
+    lab = a.withColumn("label", X.event_label(F.col("date"), F.col("title")))
+    got = dict(rows(joins.label_to_key(lab, "label", "event_id", joins.newest_first_order())))
+    assert got == {"2001-07-01 | Hill": 5, "2001-06-01 | Hill": 9, "None | Hill": 3}
+
+
 def test_event_host_label_text_keys(spark):
     a = act(spark, [(1, D(2001, 1, 1), "A", 10), (2, D(2001, 1, 1), "B", 11), (3, D(2001, 1, 1), "C", None)])
     m = mem(spark, [(10, "Kim", 1980, "M", "X", "member"), (11, "Lee", 1980, "M", "X", "exmember")])
