@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 from ridgeline.operators import aggs, filters, writes
 from ridgeline.sources.tables import AS_OF, load_club
 
-SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=12, deadline=None, derandomize=True, database=None,
+                    suppress_health_check=list(HealthCheck))
 
 
 @pytest.fixture(scope="module")
