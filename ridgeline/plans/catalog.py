@@ -145,6 +145,13 @@ def q_match_counts(spark, sf):
     return filters.match_counts(m, pred)
 
 
+def q_activity_match_counts(spark, sf):
+    """P9 on the activity grid: shown (month and title search) of all activities, one pass."""
+    m, a, at = _club(spark, sf)
+    pred = X.in_month("date", MONTH) & filters.search_predicate(["title"], TITLE_PATTERN)
+    return filters.match_counts(a, pred)
+
+
 def q_non_null_sample(spark, sf):
     m, a, at = _club(spark, sf)
     return filters.non_null_sample(m, "description", 5, ["user_no"]).select("user_no", "description")
@@ -407,6 +414,7 @@ QUERIES: dict[str, Query] = {
     "facet_values": q_facet_values,
     "display_labels": q_display_labels,
     "match_counts": q_match_counts,
+    "activity_match_counts": q_activity_match_counts,
     "non_null_sample": q_non_null_sample,
     "member_roster": q_member_roster,
     "recent_activities": q_recent_activities,
