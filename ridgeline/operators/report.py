@@ -201,7 +201,10 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
     wkey = F.concat(label, F.lit("\u0000"), upad)
     lasts = (s.filter(F.col("status").isin(*WARN_STATUSES))
              .groupBy("status").agg(F.max(wkey).alias("_wlast")))
-    sj = s.join(lasts, "status", "left")  # at most one row per warning status
+    # `lasts` has at most one row per warning status (a proven bound), so it
+    # is broadcast: a shuffle join on `status` would put every member with the
+    # same status (nearly all of them 'active') into one task.
+    sj = s.join(F.broadcast(lasts), "status", "left")
     curr = F.coalesce(F.col("current_point"), F.lit(0)).cast("bigint")
     gained = F.coalesce(F.col("gained_score"), F.lit(0)).cast("bigint")
     crossed = [(curr >= t) & (curr - gained < t) for t, _ in L.MILESTONES]

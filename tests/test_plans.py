@@ -136,3 +136,18 @@ def test_month_partitioned_attendance_prunes_and_keeps_results(spark, sf_small):
             assert orders and all("GreaterThanOrEqual(o_orderdate" in b for b in orders), name
             continue
         assert scan and all("PartitionFilters: [isnotnull(activity_month" in b and "2001-07" in b for b in scan), name
+
+
+def test_report_never_shuffles_members_by_status(spark, sf_small):
+    # status has a handful of values: a shuffle on it would put most members in one task
+    import __spark_entry__ as E
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        txt = plan_text(spark, E.queries()["report_lines"](spark, sf_small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joins_on_status = [b for b in txt.split("\n\n") if "Join" in b.split("\n")[0] and "Left keys [1]: [status" in b]
+    assert joins_on_status and all(b.startswith("(") and "BroadcastHashJoin" in b.split("\n")[0]
+                                   for b in joins_on_status), joins_on_status
