@@ -1,4 +1,4 @@
-"""P1–P10 (projections, filters, predicates) and O1–O3 (ordered top-n)."""
+"""P1–P10 (projections, filters, predicates) and O1–O3 (sorted listings and the next-n top-n)."""
 
 from __future__ import annotations
 

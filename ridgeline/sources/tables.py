@@ -4,6 +4,10 @@ The driver's Parquet tables are TPC-H shaped. ``members``, ``activities`` and
 ``attendance`` are derived from them by fixed rules (kept identical to the
 SQL in FIXTURES.md, which the DuckDB oracle runs). Everything is lazy: column
 pruning and date-range filters written downstream reach the Parquet scans.
+
+For repeated runs two storage layouts are offered: activities partitioned by
+day (`save_by_date`) and attendance with its activity's month as a partition
+column (`save_attendance_by_month`); month filters then prune directories.
 """
 
 from __future__ import annotations
