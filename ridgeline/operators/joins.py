@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import lookups as L
+from ..sources.tables import broadcast_if_small
 from .filters import current_members, month_attendance, month_filter, next_activities
 
 
@@ -91,8 +92,8 @@ def area_geo(summary: DataFrame, geo_dim: DataFrame, default: tuple[float, float
     contained in the area name, else `default`. Areas are counted first (one
     shuffle, partial aggregation map-side); then every substring (up to the
     longest key's length) of each distinct area is equi-joined with the
-    dimension keys, so the containment test is a plain hash join — no
-    nested-loop or cartesian join. The winner per area is a `min_by` over the
+    dimension keys (broadcast behind a size check), so the containment test is
+    a plain hash join — no nested-loop or cartesian join. The winner per area is a `min_by` over the
     rows of that area, which are still partitioned by area after the count,
     so it needs no second shuffle and no join back.
     """
@@ -107,7 +108,7 @@ def area_geo(summary: DataFrame, geo_dim: DataFrame, default: tuple[float, float
     cand = (counts.withColumn("_longest", longest)
             .select("area", "count",
                     F.explode_outer(F.when(F.length("area") > 0, subs)).alias("_key")))
-    dim = geo_dim.select(F.col("area_key").alias("_key"), "ord", "lat", "lon")
+    dim = broadcast_if_small(geo_dim.select(F.col("area_key").alias("_key"), "ord", "lat", "lon"))
     order = F.when(F.col("ord").isNotNull(),
                    F.struct((F.col("_key") != F.col("area")).alias("_inexact"), F.col("ord")))
     best = (cand.join(dim, "_key", "left")

@@ -151,3 +151,17 @@ def test_report_never_shuffles_members_by_status(spark, sf_small):
     joins_on_status = [b for b in txt.split("\n\n") if "Join" in b.split("\n")[0] and "Left keys [1]: [status" in b]
     assert joins_on_status and all(b.startswith("(") and "BroadcastHashJoin" in b.split("\n")[0]
                                    for b in joins_on_status), joins_on_status
+
+
+def test_nation_is_broadcast_even_with_automatic_broadcasts_off(spark, sf_small):
+    from ridgeline.sources import tables
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        txt = plan_text(spark, tables.members(spark, sf_small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in txt and "hashpartitioning(c_nationkey" not in txt
+    big = spark.range(10)
+    assert tables.broadcast_if_small(big, max_rows=5) is big  # over the bound: left to the planner
