@@ -140,3 +140,20 @@ def test_cascade_delete_anti_join_splits_hot_activity(spark, skewed):
     assert "skew=true" in final_plan(spark, df)
     a = at.toPandas()
     assert got == int((a["event_id"] % 7 != 0).sum())
+
+
+def test_hot_host_is_split_in_the_host_lookup(spark, skewed):
+    from ridgeline.operators import joins
+
+    _, _, members = skewed
+    hot_host = 9
+    a = spark.range(N_ROWS).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(hot_host)).otherwise(F.col("id") % N_USERS).alias("host"))
+    m = members.select("user_no", "name", F.lit(1970).alias("birth_year"), F.lit("X").alias("area"),
+                       F.lit("member").alias("role"))
+    df = joins.event_host_label(a, m)
+    got = df.filter(F.col("host_label").isNotNull()).count()
+    df.collect()
+    assert "skew=true" in final_plan(spark, df)  # left outer join: the hot left side is split
+    assert got == N_ROWS
