@@ -269,4 +269,4 @@ def ranked_boards(a: DataFrame, at: DataFrame, m: DataFrame, month: str, n: int
     rank = F.row_number().over(w)
     medals = F.array(*[F.lit(x) for x in L.MEDALS])
     return u.select("board", rank.alias("rank"), "label", "value", "image_url",
-                    F.element_at(medals, rank).alias("medal"))
+                    F.try_element_at(medals, rank).alias("medal"))

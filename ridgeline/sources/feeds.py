@@ -108,9 +108,9 @@ def forecast_rows(payloads: DataFrame, days: int = 7, keys: Sequence[str] = ("lo
         *keys, "pos",
         F.date_format(day, "MM/dd").alias("day"),
         X.weekday_name(day).alias("dow"),
-        X.sky_class(F.element_at(F.col("_d.weather_code"), i)).alias("sky"),
-        F.element_at(F.col("_d.temperature_2m_max"), i).cast("int").alias("t_max"),
-        F.element_at(F.col("_d.temperature_2m_min"), i).cast("int").alias("t_min"),
+        X.sky_class(F.try_element_at(F.col("_d.weather_code"), i)).alias("sky"),
+        F.try_element_at(F.col("_d.temperature_2m_max"), i).cast("int").alias("t_max"),
+        F.try_element_at(F.col("_d.temperature_2m_min"), i).cast("int").alias("t_min"),
     )
 
 

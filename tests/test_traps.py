@@ -483,6 +483,21 @@ def test_json_rows_keep_nulls(spark):
         '{"event_id":1,"date":"2001-07-01","title":"A","host":null,"score":2,"album_url":""}')
 
 
+def test_ranks_beyond_the_medals_and_short_forecasts_give_null(spark):
+    from ridgeline.sources import feeds
+
+    a = act(spark, [(i, D(2001, 7, 1 + i), f"T{i}", 1, 1) for i in range(1, 6)])
+    at = att(spark, [(i, 1) for i in range(1, 6)])
+    m = mem(spark, [(1, "Kim", 1975, "M", "Seoul", "member", 0)])
+    boards = aggs.ranked_boards(a, at, m, "2001-07", n=5).filter("board = 'activities'")
+    assert [(r["rank"], r.medal) for r in boards.orderBy("rank").collect()][3:] == [(4, None), (5, None)]
+    p = spark.createDataFrame([("x", "2001-07", '{"daily": {"time": ["2001-07-02", "2001-07-03"], '
+                                '"weather_code": [0], "temperature_2m_max": [20.5], "temperature_2m_min": []}}')],
+                              "location string, month string, payload string")
+    got = [(r.pos, r.sky, r.t_max, r.t_min) for r in feeds.forecast_rows(p).orderBy("pos").collect()]
+    assert got == [(0, L.SKY_CLEAR, 20, None), (1, L.SKY_OTHER, None, None)]  # a missing code: default class
+
+
 def test_sql_param_binds_values(spark):
     a = act(spark, [(1, D(2001, 7, 1), "it's"), (2, D(2001, 8, 1), "x")])
     got = feeds.sql_param(spark, "SELECT event_id FROM rl_t WHERE title = ?", ["it's"], {"rl_t": a})
