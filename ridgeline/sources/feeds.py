@@ -77,7 +77,7 @@ def forecast_payloads(events: DataFrame) -> DataFrame:
     d = events.select(
         F.col("event_type").alias("location"),
         F.to_date("ts").alias("day"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("k"),  # a malformed code is NULL
         "value")
     per_day = d.groupBy("location", "day").agg(
         F.max("k").alias("code"), F.max("value").alias("tmax"), F.min("value").alias("tmin"))
