@@ -217,8 +217,10 @@ def save_attendance_by_month(at: DataFrame, a: DataFrame, path: str,
     files instead of shuffling all attendance to meet that month's activities.
     Records without an activity keep a NULL month. Rows are range partitioned
     on (month, event_id, user_no), so a busy month or a very large activity is
-    spread over many writer tasks. Written once per refresh; grid saves apply
-    to the plain table.
+    spread over many writer tasks. The range keys are row values only (no row
+    number), so a retried task after a lost executor reproduces exactly the
+    same partitioning. Written once per refresh; grid saves apply to the plain
+    table.
     """
     from ..operators.filters import ACTIVITY_MONTH
 
