@@ -299,7 +299,7 @@ def test_milestones_multiple_thresholds(spark):
     assert got[0][5] == "✨ x (120점) 💯 특별시상"
 
 
-def test_report_text_matches_reference_layout(spark, tmp_path):
+def test_report_text_matches_original_layout(spark, tmp_path):
     m, a, at = _club(spark)
     s = member_summary(m, a, at, AS_OF)
     lines = report.report_lines(s, a, at, m, "2001-07", rules="R", club="C")
