@@ -85,13 +85,16 @@ BROADCAST_MAX_ROWS = 100_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """`broadcast(df)` when it has at most `max_rows` rows, else `df` unchanged.
 
-    The check reads at most `max_rows + 1` rows (a bounded job), so it is cheap
-    even on a large table; beyond the bound the planner's own choice (a shuffle
-    join) stands. The hint also holds where automatic broadcasts are switched
-    off, which keeps a tiny dimension from turning into a shuffle on its few
-    key values.
+    The check is Spark's incremental `take` of at most `max_rows + 1`
+    one-column rows: it scans one partition, then more only while rows are
+    missing, so it stays cheap on a large table (unlike `limit().count()`,
+    which starts a task per split). Beyond the bound the planner's own choice
+    (a shuffle join) stands. The hint also holds where automatic broadcasts
+    are switched off, which keeps a tiny dimension from turning into a shuffle
+    on its few key values.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    probe = df.select(F.lit(1).alias("_one")).take(max_rows + 1)
+    return F.broadcast(df) if len(probe) <= max_rows else df
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
