@@ -173,3 +173,26 @@ def test_nation_is_broadcast_even_with_automatic_broadcasts_off(spark, sf_small)
     assert "BroadcastHashJoin" in txt and "hashpartitioning(c_nationkey" not in txt
     big = spark.range(10)
     assert tables.broadcast_if_small(big, max_rows=5) is big  # over the bound: left to the planner
+
+
+def test_cluster_settings_are_accepted_and_keep_results(spark, sf_small):
+    from oracle_check import compare, duck
+
+    from ridgeline.session import cluster_conf
+
+    conf = cluster_conf(30 * 1024 ** 4)
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+            assert spark.conf.get(k) == v
+        con = duck(sf_small)
+        for name in ("member_summary", "first_attendance"):
+            ok, msg = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], sf_small)
+            assert ok, msg
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
