@@ -196,3 +196,24 @@ def test_cluster_settings_are_accepted_and_keep_results(spark, sf_small):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_no_shuffle_join_on_a_low_cardinality_key(spark, sf_small):
+    # even with automatic broadcasts off, small dimensions stay broadcast, so no
+    # query shuffles a large side on a key with a handful of values
+    import re
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        offenders = []
+        for name in NAMES:
+            for block in plan_text(spark, E.queries()[name](spark, sf_small)).split("\n\n"):
+                head = block.split("\n")[0]
+                if "SortMergeJoin" in head or "ShuffledHashJoin" in head:
+                    keys = re.search(r"Left keys \[\d+\]: \[(.*)\]", block).group(1)
+                    if re.match(r"(c_nationkey|n_nationkey|status|_key|role|gender|area)#", keys):
+                        offenders.append((name, keys))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not offenders, offenders
