@@ -84,6 +84,15 @@ def q_export_csv(spark, sf):
     return feeds.read_csv(spark, path, tables.MEMBERS_SCHEMA, preferred=L.MEMBER_COLUMN_ORDER)
 
 
+def q_export_activities_csv(spark, sf):
+    """S3 + P7 for the activity grid: the whole activities table as CSV in the
+    grid's preferred column order, read back with the declared schema."""
+    m, a, at = _club(spark, sf)
+    path = shared_dir(spark, "export-activities")
+    feeds.export_csv(a, path, preferred=L.ACTIVITY_COLUMN_ORDER)
+    return feeds.read_csv(spark, path, tables.ACTIVITIES_SCHEMA, preferred=L.ACTIVITY_COLUMN_ORDER)
+
+
 def q_forecast_rows(spark, sf):
     ev = tables.read_table(spark, sf, "events")
     return feeds.forecast_rows(feeds.forecast_payloads(ev))
@@ -402,6 +411,7 @@ QUERIES: dict[str, Query] = {
     "load_tables": q_load_tables,
     "sql_param": q_sql_param,
     "export_csv": q_export_csv,
+    "export_activities_csv": q_export_activities_csv,
     "forecast_rows": q_forecast_rows,
     "json_rows": q_json_rows,
     # filters and sorts

@@ -477,6 +477,16 @@ def test_csv_round_trip_keeps_blank_and_null(spark, tmp_path):
     assert spark.read.option("header", True).csv(path).columns[:3] == ["birth_year", "name", "area"]
 
 
+def test_activity_csv_in_grid_order(spark, tmp_path):
+    a = act(spark, [(7, D(2001, 7, 1), "Hill", None, 2, " https://a/7 ")])
+    path = str(tmp_path / "acts")
+    feeds.export_csv(a, path, preferred=L.ACTIVITY_COLUMN_ORDER)
+    assert spark.read.option("header", True).csv(path).columns == \
+        ["date", "title", "host", "event_id", "album_url", "score"]  # preferred present first, then the rest
+    back = feeds.read_csv(spark, path, ACTIVITIES_SCHEMA, preferred=L.ACTIVITY_COLUMN_ORDER)
+    assert [tuple(r) for r in back.collect()] == [(7, D(2001, 7, 1), "Hill", None, 2, " https://a/7 ")]
+
+
 def test_json_rows_keep_nulls(spark):
     a = act(spark, [(1, D(2001, 7, 1), "A", None, 2, "")])
     assert feeds.json_rows(a).collect()[0].json == (
