@@ -217,3 +217,25 @@ def test_no_shuffle_join_on_a_low_cardinality_key(spark, sf_small):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert not offenders, offenders
+
+
+ENTITY_SOURCE_COLUMNS = {
+    "customer.parquet": {"c_custkey", "c_nationkey", "c_mktsegment"},
+    "nation.parquet": {"n_nationkey", "n_name"},
+    "orders.parquet": {"o_orderkey", "o_custkey", "o_orderdate"},
+    "lineitem.parquet": {"l_orderkey", "l_partkey"},
+}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_scan_reads_only_derivation_columns(plans, name):
+    import re
+
+    for block in plans[name].split("\n\n"):
+        if "Scan parquet" not in block:
+            continue
+        for table, allowed in ENTITY_SOURCE_COLUMNS.items():
+            if table in block:
+                schema = re.search(r"ReadSchema: struct<(.*)>", block).group(1)
+                cols = {c.split(":")[0] for c in schema.split(",") if c}
+                assert cols <= allowed, (name, table, cols - allowed)
