@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Target bytes per shuffle partition / file split on a cluster: large enough
 # to keep task overhead small, small enough to sort and join in executor
@@ -79,48 +78,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh directory under the cluster's shared checkpoint folder.
+    """A fresh path in the folder that driver and executors share.
 
-    The location comes from ``spark.checkpoint.dir`` (shared storage on a
-    cluster). Only when that is unset (a bare local test session) is a
-    directory made under the local temp folder and registered as the
-    checkpoint dir.
+    It comes from the session: ``spark.checkpoint.dir``, and where that is
+    unset (tests, local runs) the warehouse folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = _local_checkpoint_dir(spark)
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+            or spark.conf.get("spark.sql.warehouse.dir"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def _local_checkpoint_dir(spark: SparkSession) -> str:
-    """A checkpoint folder for a session that names none — local mode only.
+def scratch_table(df: DataFrame, purpose: str) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it from there.
 
-    On a cluster a machine-local folder is not visible to the other
-    executors, so the shared location must come from `spark.checkpoint.dir`.
+    This computes `df` and cuts its lineage: later stages read columnar files
+    that every executor sees, so a lost executor costs a re-read. The folder
+    is removed when the application ends.
     """
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage "
-                           "(checkpoints and derived tables are written there)")
-    base = tempfile.mkdtemp(prefix="ridgeline-ckpt-")
-    sc.setCheckpointDir(base)
-    return base
-
-
-def materialize(df, spark: SparkSession | None = None):
-    """Compute `df` once and cut its lineage with a reliable checkpoint.
-
-    The files go to the cluster's shared checkpoint folder
-    (``spark.checkpoint.dir``), so consumers read them instead of recomputing
-    the plan, and a lost executor costs a re-read, not a recomputation. A
-    local folder is registered only when the session has none (tests).
-    """
-    spark = spark or df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base:
-            sc.setCheckpointDir(base)
-        else:
-            _local_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Compute `df` once; see `scratch_table`."""
+    return scratch_table(df, "materialized")

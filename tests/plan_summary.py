@@ -76,7 +76,7 @@ def main(argv) -> None:
     sf_dir = args[0] if args else "/root/testdata/sf0.1"
     import tempfile
 
-    import __spark_entry__ as E
+    from ridgeline.plans.catalog import QUERIES
     from ridgeline.session import build_session
 
     threshold = os.environ.get("PLAN_BROADCAST_BYTES", "4096")
@@ -91,7 +91,7 @@ def main(argv) -> None:
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     cols = ["shuffles", "broadcasts", "sort_merge_joins", "hash_joins", "partial_aggs", "top_k", "scans"]
     rows = {}
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         spark.sparkContext.setJobGroup(name, name)
         df = fn(spark, sf_dir)
         rows[name] = summarize(df._jdf.queryExecution().explainString(mode))
