@@ -40,9 +40,8 @@ def with_decisions(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame
     `how`: inner, left, left_semi or left_anti. A null doc_id matches a null
     doc_id. The columns of docs come first and the key is dropped.
     """
-    cols = decisions.columns
-    right = decisions.select(*[F.col(c).alias(f"_right_{c}") for c in cols])
-    left = docs.withColumn(KEY, text_key())
-    out = left.join(right, left["doc_id"].eqNullSafe(right["_right_doc_id"]) & (left[KEY] == right[f"_right_{KEY}"]), how)
-    extra = [] if how in ("left_semi", "left_anti") else [c for c in cols if c not in ("doc_id", KEY)]
-    return out.select(*docs.columns, *[F.col(f"_right_{c}").alias(c) for c in extra])
+    right = decisions.select(*[F.col(c).alias(f"_right_{c}") for c in decisions.columns])
+    same = (docs["doc_id"].eqNullSafe(right["_right_doc_id"])
+            & (text_key(docs["doc_id"], docs["text"]) == right[f"_right_{KEY}"]))
+    extra = [] if how in ("left_semi", "left_anti") else [c for c in decisions.columns if c not in ("doc_id", KEY)]
+    return docs.join(right, same, how).select(*[docs[c] for c in docs.columns], *[right[f"_right_{c}"].alias(c) for c in extra])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import quality, sharding
 
 QUERIES = {
+    "op7_isolation_rules": quality.op7_isolation_rules,
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
 ORACLE: dict[str, str] = {}

@@ -87,26 +87,51 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def _place(j: int) -> np.uint64:
+    """An odd constant for the j-th word of a window."""
+    return np.uint64(2 * (0x5851F42D4C957F2D * (j + 1) % (1 << 62)) + 1)
+
+
+def windows(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, index of the first word) of each window of k consecutive words of a row."""
+    acc = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for j in range(k):
+        acc += words[j:len(words) - k + 1 + j] * _place(j) if len(acc) else acc
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))[:len(acc)]
+    at = np.flatnonzero(np.arange(len(acc)) + k <= first[1:][row])
+    return mix(acc[at]), row[at], at
+
+
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each k-word shingle; a row with 1 to k-1 words has its whole sequence as one."""
+    hashes, rows, _ = windows(words, first, k)
     n = np.diff(first)
-    acc = np.zeros(max(0, len(words) - k + 1), np.uint64)
-    for j in range(k):
-        acc += words[j:len(words) - k + 1 + j] * np.uint64(2 * (0x5851F42D4C957F2D * (j + 1) % (1 << 62)) + 1)
-    row = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(len(acc)) + k <= first[1:][row[:len(acc)]]
-    hashes, rows = mix(acc[inside]), row[:len(acc)][inside]
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
-        whole = np.zeros(len(short), np.uint64)
+        whole = n[short].astype(np.uint64)
         for j in range(k - 1):
             has = n[short] > j
-            whole[has] += words[first[short][has] + j] * np.uint64(2 * (0x5851F42D4C957F2D * (j + 1) % (1 << 62)) + 1)
-        hashes = np.concatenate([hashes, mix(whole + n[short].astype(np.uint64))])
+            whole[has] += words[first[short][has] + j] * _place(j)
+        hashes = np.concatenate([hashes, mix(whole)])
         rows = np.concatenate([rows, short])
     return hashes, rows
 
 
+def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of the lines of each row, split at line feeds."""
+    feeds = np.flatnonzero(data == 10)
+    n = np.diff(np.searchsorted(feeds, offsets)) + 1
+    return (np.sort(np.concatenate([offsets[:-1], feeds + 1])), np.sort(np.concatenate([feeds, offsets[1:]])),
+            np.repeat(np.arange(len(n)), n))
+
+
+def running(mask: np.ndarray) -> np.ndarray:
+    """Counts of true values before each position, and in all at the end."""
+    out = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=out[1:])
+    return out
+
+
 def distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (row, hash) pairs in order of row and hash, and how often each occurs."""
     order = np.lexsort((hashes, rows))
