@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import paritysketch, quality, sharding
 
 QUERIES = {
+    "op8_parity_sketch": paritysketch.op8_parity_sketch,
     "op7_isolation_rules": quality.op7_isolation_rules,
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
