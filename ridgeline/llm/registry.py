@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import paritysketch, quality, sharding
+from . import decontaminate, paritysketch, quality, sharding
 
 QUERIES = {
+    "op6_prefix_windows": decontaminate.op6_prefix_windows,
     "op8_parity_sketch": paritysketch.op8_parity_sketch,
     "op7_isolation_rules": quality.op7_isolation_rules,
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_prefix_windows": decontaminate.OP6_SQL,
+}
