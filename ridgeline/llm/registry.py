@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, paritysketch, quality, sharding
+from . import decontaminate, paritysketch, quality, secretscan, sharding
 
 QUERIES = {
+    "op4_linked_credentials": secretscan.op4_linked_credentials,
     "op6_prefix_windows": decontaminate.op6_prefix_windows,
     "op8_parity_sketch": paritysketch.op8_parity_sketch,
     "op7_isolation_rules": quality.op7_isolation_rules,
