@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, paritysketch, quality, secretscan, sharding
+from . import decontaminate, langid, paritysketch, quality, secretscan, sharding
 
 QUERIES = {
+    "op2_ngram_bayes": langid.op2_ngram_bayes,
     "op4_linked_credentials": secretscan.op4_linked_credentials,
     "op6_prefix_windows": decontaminate.op6_prefix_windows,
     "op8_parity_sketch": paritysketch.op8_parity_sketch,
