@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lmscore, paritysketch, quality, secretscan, sharding
+from . import decontaminate, langid, lmscore, mixing, paritysketch, quality, secretscan, sharding
 
 QUERIES = {
+    "op1_soft_mixing": mixing.op1_soft_mixing,
     "op5_ppm": lmscore.op5_ppm,
     "op2_ngram_bayes": langid.op2_ngram_bayes,
     "op4_linked_credentials": secretscan.op4_linked_credentials,
