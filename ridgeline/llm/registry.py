@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, lmscore, mixing, paritysketch, quality, secretscan, sharding
+from . import chat, decontaminate, langid, linededup, lmscore, mixing, paritysketch, quality, secretscan, sharding
 
 QUERIES = {
+    "op9_tool_links": chat.op9_tool_links,
     "op3_line_windows": linededup.op3_line_windows,
     "op1_soft_mixing": mixing.op1_soft_mixing,
     "op5_ppm": lmscore.op5_ppm,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
 ORACLE: dict[str, str] = {
+    "op9_tool_links": chat.OP9_SQL,
     "op3_line_windows": linededup.OP3_SQL,
     "op6_prefix_windows": decontaminate.OP6_SQL,
 }
