@@ -11,8 +11,8 @@ text is one part, and one row of the result:
   (order_rank, turn, part). Ranks start as turns; a part that stands before one
   it depends on moves behind it, round by round until none does. Parts in order
   cost one check and no round. In a conversation with more rounds than moved
-  parts some part must depend on itself: its parts keep their turns and are
-  reported as a cycle;
+  parts some part must depend on itself: the moved parts go back to their
+  turns and are reported as a cycle;
 * arguments are checked against the tools' schemas (a parameter): names, types,
   required ones;
 * every part is written as canonical JSON: keys sorted at every level, no blanks.
@@ -103,7 +103,7 @@ def _ranks(parts: DataFrame, edges: DataFrame) -> DataFrame:
                    .filter(F.lit(rounds) > F.col("n") + 1).join(late.join(ranks, "row").select("conv_id").distinct().withColumnRenamed("conv_id", "_c"),
                                                                F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi").select(F.col("conv_id").alias("_c")))
         marked = ranks.join(endless.withColumn("_in", F.lit(True)), F.col("conv_id").eqNullSafe(F.col("_c")), "left")
-        ranks = scratch_table(marked.withColumn("cycle", F.col("cycle") | F.coalesce("_in", F.lit(False))).withColumn(
+        ranks = scratch_table(marked.withColumn("cycle", F.col("cycle") | (F.coalesce("_in", F.lit(False)) & (F.col("order_rank") != start))).withColumn(
             "order_rank", F.when(F.col("cycle"), start.cast("long")).otherwise(F.col("order_rank"))).drop("_in", "_c"), "chat-ranks")
 
 

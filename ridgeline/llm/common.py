@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,21 +34,28 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
+def free_name(docs: DataFrame, base: str) -> str:
+    """`base`, or `base` with underscores in front, that no column of docs has."""
+    while base in docs.columns:
+        base = "_" + base
+    return base
+
+
 def with_decisions(docs: DataFrame, decisions: DataFrame, how: str, once: bool = False) -> DataFrame:
     """Join `docs` with decisions per (doc_id, KEY), one row per key at most.
 
     `how`: inner, left, left_semi or left_anti. A null doc_id matches a null
-    doc_id. The columns of docs come first, then those of the decisions.
+    doc_id. The columns of docs come first, then those of the decisions,
+    whose names must be free (see `free_name`).
     `once`: of rows that agree in doc_id and text, one stays (no further
     shuffle after a shuffle join, which already brings them together).
     """
-    free = (f"_key{i}" for i in count() if f"_key{i}" not in docs.columns)
-    ident, key = next(free), next(free)
+    ident, key = free_name(docs, "_ident"), free_name(docs, "_key")
     extra = [] if how in ("left_semi", "left_anti") else [c for c in decisions.columns if c not in ("doc_id", KEY)]
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     left = docs.withColumns({ident: name("doc_id"), key: text_key()})
-    right = decisions.select(name("doc_id").alias(ident), F.col(KEY).alias(key), *[F.col(c).alias(f"_right_{c}") for c in extra])
+    right = decisions.select(name("doc_id").alias(ident), F.col(KEY).alias(key), *extra)
     out = left.join(right, [ident, key], how)
     if once:
         out = out.dropDuplicates([ident, key])
-    return out.select(*docs.columns, *[F.col(f"_right_{c}").alias(c) for c in extra])
+    return out.select(*docs.columns, *extra)

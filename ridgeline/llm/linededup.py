@@ -52,16 +52,17 @@ def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """docs with later occurrences cut out of text, and the columns n_lines and n_gone."""
-    joined = C.with_decisions(docs, repeated_lines(docs, lines), "left")
+    """docs with later occurrences cut out of text, and n_lines and n_gone (in place of columns so named)."""
+    gone = C.free_name(docs, "gone")
+    joined = C.with_decisions(docs, repeated_lines(docs, lines).withColumnRenamed("gone", gone), "left")
     split = F.split("text", "\n")
-    # long lists of lines that go are looked up in a map, so that a text costs as much as it is long
-    mapped = F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True)))
+    # the lines that go are looked up in a map, so that a text costs as much as it is long
+    mapped = F.map_from_arrays(F.col(gone), F.transform(gone, lambda x: F.lit(True)))
     kept = F.filter(split, lambda _, i: ~F.map_contains_key(mapped, i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    others = [c for c in docs.columns if c != "text"]
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_gone")]
     return joined.select(*others, text.alias("text"), F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-                         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"))
+                         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_gone"))
 
 
 def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,9 +183,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: f
 
 def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float], hold: str | None = None, max_rate: float = 1e9) -> DataFrame:
     """The mixture: rows of docs as often as they are drawn, with the columns of docs."""
-    drawn = mix(docs, labels, targets, None, hold, max_rate).filter("draws > 0").select("doc_id", C.KEY, "draws")
+    times = C.free_name(docs, "draws")
+    drawn = mix(docs, labels, targets, None, hold, max_rate).filter("draws > 0").select("doc_id", C.KEY, F.col("draws").alias(times))
     out = C.with_decisions(docs, drawn, "inner")
-    return out.withColumn("draws", F.explode(F.sequence(F.lit(1), F.col("draws")))).select(*docs.columns)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
