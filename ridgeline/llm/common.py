@@ -34,6 +34,18 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
+def hash_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """About `most` rows (all, if there are fewer), those with the smallest hashes of the columns `by`.
+
+    The hash bound comes from the number of rows, so nothing is sorted and no
+    task or driver gathers more than the sample.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+
+
 def free_name(docs: DataFrame, base: str) -> str:
     """`base`, or `base` with underscores in front, that no column of docs has."""
     while base in docs.columns:

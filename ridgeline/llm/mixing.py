@@ -10,7 +10,7 @@ posterior and the gradients of the rounds, one number per domain and round, so
 the rates are an expression: each round is one aggregation over the table of
 posteriors, nothing per document is kept, and the driver sees a few sums.
 
-The model is fitted on a bounded sample of labelled rows (`MAX_TRAIN`, those
+The model is fitted on a bounded sample of labelled rows (about `MAX_TRAIN`, those
 with the smallest id hashes); its size is fixed by the number of buckets, so it
 can be broadcast. All texts are classified whole, in one pass that never shuffles them.
 
@@ -65,8 +65,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float], d
     """
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN).select("doc_id", domain().alias("domain"))
-    rows = word_rows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "doc_id", "domain")  # MAX_TRAIN rows of two columns
+    sample = C.hash_sample(marks, MAX_TRAIN, "doc_id").select("doc_id", domain().alias("domain"))
+    rows = word_rows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "doc_id", "domain")  # about MAX_TRAIN rows of two columns
     both = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("bucket")) for kind in ("word", "end")]))
     counts = (rows.groupBy("doc_id", "domain", "word", "end").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "domain", "n", both.alias("f"))
               .groupBy("doc_id", "domain", "f.kind", "f.bucket").agg(F.sum("n").alias("n"))

@@ -4,8 +4,8 @@ Each text gets rule statistics (words, symbols, repeated lines and windows,
 capitals, ...). Texts that fail the base rules are rejected. For the others an
 isolation forest judges: random splits over the statistics isolate unusual
 documents after few splits, so a short mean path means an anomaly. Trees are
-grown on a bounded sample of rows labelled good (`MAX_TRAIN`, the rows with the
-smallest id hashes); split points are drawn from the range that all labelled
+grown on a bounded sample of rows labelled good (about `MAX_TRAIN`, the rows
+with the smallest id hashes); split points are drawn from the range that all labelled
 rows span, so that regions without good rows are cut off early. The path
 threshold is calibrated on all labelled rows: of the thresholds that keep at
 least `KEEP_GOOD` of the good rows, the one that rejects most bad rows.
@@ -172,8 +172,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[dict[str, np.ndarray], flo
     """The forest and its threshold, or None without labelled good rows."""
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     rows = stats.filter(~F.col("base_failed")).join(marks, "doc_id")
-    sample = (rows.filter("_quality = 1").orderBy(F.xxhash64("doc_id"), C.KEY).limit(MAX_TRAIN)
-              .select(*FEATURES).collect())  # at most MAX_TRAIN rows
+    sample = C.hash_sample(rows.filter("_quality = 1"), MAX_TRAIN, "doc_id", C.KEY).select(*FEATURES).orderBy(*FEATURES).collect()  # about MAX_TRAIN rows
     if not sample:
         return None
     bounds = rows.agg(*[F.min(f) for f in FEATURES], *[F.max(f) for f in FEATURES]).first()
