@@ -49,8 +49,8 @@ def month_text(date_col: Column | str) -> Column:
 
 
 def full_trim(c: Column) -> Column:
-    """Strip leading/trailing white space (tabs and newlines too, not only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip leading and trailing white space of every kind, Unicode's included."""
+    return F.regexp_replace(c, f"^[{L.WHITE_SPACE}]+|[{L.WHITE_SPACE}]+$", "")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -99,11 +99,11 @@ def event_label(date: Column, title: Column) -> Column:
                     F.coalesce(title, F.lit("None")))
 
 
-def avatar_url(image: Column, name: Column) -> Column:
-    """Image URL, or the generated-avatar URL when it is NULL or ''."""
+def avatar_url(image: Column, name: Column, default: str = L.AVATAR_DEFAULT_NAME) -> Column:
+    """Image URL, or the generated-avatar URL when it is NULL or ''; `default` stands for a missing name."""
     fallback = F.concat(
         F.lit(L.AVATAR_URL_PREFIX),
-        F.coalesce(blank_to_null(name), F.lit(L.AVATAR_DEFAULT_NAME)),
+        F.coalesce(blank_to_null(name), F.lit(default)),
         F.lit(L.AVATAR_URL_SUFFIX),
     )
     return F.coalesce(blank_to_null(image), fallback)

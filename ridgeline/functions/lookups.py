@@ -16,7 +16,6 @@ GENDER_MAP = {
     "F": "F", "FEMALE": "F", "WOMAN": "F", "W": "F", "여": "F", "여성": "F",
 }
 GENDER_UNKNOWN = "U"
-GENDER_CLASSES = ("M", "F", "U")
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — area name -> (lat, lon), in lookup order. The order matters:
@@ -81,6 +80,7 @@ YEAR_SUFFIX = "년"
 AVATAR_URL_PREFIX = "https://ui-avatars.com/api/?name="
 AVATAR_URL_SUFFIX = "&background=random"
 AVATAR_DEFAULT_NAME = "Host"
+BOARD_DEFAULT_NAME = "None"  # a missing name as the leaderboard prints it
 BADGE_PREFIX = "D-"
 BADGE_TODAY = "D-Day"
 URGENT_DAYS = 3
@@ -126,3 +126,10 @@ RPT_SCORE_LINE = "| {label} | {gained}점 | {current}점 | {status} |"
 RPT_CLOSING = "건강하게 다음 산행에서 뵙겠습니다! ⛰️"
 BRIEFING_HEAD = "현재 날짜: {date}"
 BRIEFING_LINE = "- 일정: {title} ({date}), 담당: {host}"
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — the characters that a full strip removes, as a regex class
+# that Java's and RE2's engines read alike.
+# ---------------------------------------------------------------------------
+WHITE_SPACE = (r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")

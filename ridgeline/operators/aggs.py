@@ -30,32 +30,24 @@ def member_kpi(m: DataFrame, a: DataFrame, at: DataFrame, as_of) -> DataFrame:
       attendance record joined to its activity (orphaned members included).
     * active = distinct attendees of activities dated on/after as_of - 90 days.
 
-    Attendance is first reduced to a count per activity (partial aggregation
-    absorbs a hot activity), so the score join is one row per activity. The
-    three parts are unioned and reduced by one global aggregate.
+    Plan: attendance meets its activities once and is reduced per member to the
+    sum of scores and the latest date (partial aggregation absorbs hot members).
+    A member is active when the latest date is recent, so no distinct count and
+    no second scan is needed. Both parts are unioned and reduced by one global
+    aggregate.
     """
     asof = _asof(as_of)
-    acts = a.select("event_id", "date", "score")
-    per_event = at.groupBy("event_id").agg(F.count(F.lit(1)).alias("_n"))
-    ev_score = per_event.join(acts, "event_id").select(
-        F.lit(1).alias("_kind"), (F.col("score") * F.col("_n")).alias("_v"),
-        F.lit(None).cast("long").alias("_u"))
-    recent = acts.filter(F.col("date") >= F.lit(asof - _dt.timedelta(days=L.ACTIVE_WINDOW_DAYS))).select("event_id")
-    users = at.join(recent, "event_id", "left_semi").select(
-        F.lit(2).alias("_kind"), F.lit(None).cast("long").alias("_v"), F.col("user_no").alias("_u"))
-    mem = current_members(m).select(
-        F.lit(0).alias("_kind"), F.col("point").cast("long").alias("_v"), F.lit(None).cast("long").alias("_u"))
-    u = mem.unionByName(ev_score).unionByName(users)
-    k = F.col("_kind")
-    agg = u.agg(
-        F.count_if(k == 0).cast("bigint").alias("total_members"),
-        F.countDistinct(F.col("_u")).cast("bigint").alias("active_count"),
-        F.coalesce(F.sum(F.when(k == 0, F.col("_v"))), F.lit(0)).alias("_base"),
-        F.coalesce(F.sum(F.when(k == 1, F.col("_v"))), F.lit(0)).alias("_score"),
-    )
-    total = (F.col("_base") + F.col("_score")).cast("bigint")
-    return agg.select("total_members", "active_count", total.alias("total_points"),
-                      F.format_number(total, 0).alias("total_points_text"))
+    since = F.lit(asof - _dt.timedelta(days=L.ACTIVE_WINDOW_DAYS))
+    per_user = (at.join(a.select("event_id", "date", "score"), "event_id")
+                .groupBy("user_no").agg(F.sum("score").alias("_v"), F.max("date").alias("_last"))
+                .select(F.lit(1).alias("_kind"), "_v", ((F.col("_last") >= since) & F.col("user_no").isNotNull()).alias("_active")))
+    mem = current_members(m).select(F.lit(0).alias("_kind"), F.col("point").cast("long").alias("_v"), F.lit(False).alias("_active"))
+    agg = mem.unionByName(per_user).agg(
+        F.count_if(F.col("_kind") == 0).cast("bigint").alias("total_members"),
+        F.count_if("_active").cast("bigint").alias("active_count"),
+        F.coalesce(F.sum("_v"), F.lit(0)).cast("bigint").alias("total_points"))
+    return agg.select("total_members", "active_count", "total_points",
+                      F.format_number("total_points", 0).alias("total_points_text"))
 
 
 def birth_year_gender(m: DataFrame) -> DataFrame:
@@ -78,7 +70,7 @@ def birth_year_gender(m: DataFrame) -> DataFrame:
         "birth_year", "m_count", "f_count", "u_count", "total",
         X.ratio(F.col("m_count") * 100, F.col("total")).alias("m_pct"),
         X.ratio(F.col("total"), mx).alias("size_ratio"),
-    )
+    ).orderBy("birth_year")
 
 
 def gender_distribution(m: DataFrame) -> DataFrame:
@@ -137,7 +129,7 @@ def monthly_trend(a: DataFrame, as_of, months: int = 5) -> DataFrame:
            .groupBy(X.month_text("date").alias("month"))
            .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
     return per.select("month", "count",
-                      X.ratio(F.col("count"), F.max("count").over(Window.partitionBy())).alias("ratio"))
+                      X.ratio(F.col("count"), F.max("count").over(Window.partitionBy())).alias("ratio")).orderBy("month")
 
 
 def annual_stats(a: DataFrame, as_of) -> DataFrame:
@@ -242,8 +234,8 @@ def first_attendance(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> D
 
 
 def birth_years(m: DataFrame) -> DataFrame:
-    """Distinct birth years of current members, NULL included."""
-    return current_members(m).select("birth_year").distinct()
+    """Distinct birth years of current members, NULL included and last."""
+    return current_members(m).select("birth_year").distinct().orderBy(F.col("birth_year").asc_nulls_last())
 
 
 def ranked_boards(a: DataFrame, at: DataFrame, m: DataFrame, month: str, n: int = 3) -> DataFrame:
@@ -254,11 +246,11 @@ def ranked_boards(a: DataFrame, at: DataFrame, m: DataFrame, month: str, n: int
     """
     hosts = top_hosts(a, m, month, n).select(
         F.lit("hosts").alias("board"), F.col("name").alias("label"), F.col("cnt").alias("value"),
-        X.avatar_url(F.col("profile_image_url"), F.col("name")).alias("image_url"),
+        X.avatar_url(F.col("profile_image_url"), F.col("name"), L.BOARD_DEFAULT_NAME).alias("image_url"),
         F.col("profile_image_url").alias("_tie"))
     people = top_attendees(a, at, m, month, n).select(
         F.lit("attendees").alias("board"), F.col("name").alias("label"), F.col("score").alias("value"),
-        X.avatar_url(F.col("profile_image_url"), F.col("name")).alias("image_url"),
+        X.avatar_url(F.col("profile_image_url"), F.col("name"), L.BOARD_DEFAULT_NAME).alias("image_url"),
         F.col("profile_image_url").alias("_tie"))
     events = popular_activities(a, at, month, n).select(
         F.lit("activities").alias("board"), F.col("title").alias("label"), F.col("cnt").alias("value"),

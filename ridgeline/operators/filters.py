@@ -69,7 +69,8 @@ def month_attendance(at: DataFrame, month: str | None) -> DataFrame:
 
 
 def facet_values(t: DataFrame, facets: Mapping[str, Column]) -> DataFrame:
-    """Distinct non-NULL value of each facet, as (facet, value) text rows."""
+    """Distinct non-NULL value of each facet, as (facet, value) text rows, sorted as
+    the pick lists show them: by value, months newest first."""
     pairs = F.array(*[
         F.struct(F.lit(name).alias("facet"), c.cast("string").alias("value"))
         for name, c in facets.items()
@@ -77,7 +78,8 @@ def facet_values(t: DataFrame, facets: Mapping[str, Column]) -> DataFrame:
     return (t.select(F.explode(pairs).alias("p"))
             .select("p.facet", "p.value")
             .filter(F.col("value").isNotNull())
-            .distinct())
+            .distinct()
+            .orderBy("facet", F.when(F.col("facet") == "month", F.col("value")).desc(), "value"))
 
 
 def display_labels(m: DataFrame) -> DataFrame:
@@ -115,6 +117,12 @@ def member_roster(m: DataFrame, n: int | None = None) -> DataFrame:
                            F.col("user_no").asc()), n).select("user_no", "birth_year", "name", "area")
 
 
+def full_roster(m: DataFrame) -> DataFrame:
+    """O1, the member page's list: every member (ex-members and NULL roles too) with all
+    columns, by birth year then name, NULLs last."""
+    return m.orderBy(F.col("birth_year").asc_nulls_last(), F.col("name").asc_nulls_last(), F.col("user_no").asc())
+
+
 def recent_activities(a: DataFrame, n: int | None = None) -> DataFrame:
     """O2: newest activities first (ties by id); all of them unless `n` is given."""
     return _first(a.orderBy(F.col("date").desc_nulls_last(), F.col("event_id").asc()), n)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import lookups as L
-from ..sources.tables import broadcast_if_small
 from .filters import current_members, month_attendance, month_filter, next_activities
 
 
@@ -26,7 +25,8 @@ def upcoming_with_host(a: DataFrame, m: DataFrame, as_of, n: int = 3) -> DataFra
     hosts = hosts.select(
         F.col("user_no").alias("_uid"), F.col("name").alias("host_name"),
         "birth_year", "area", "profile_image_url")
-    j = top.join(hosts, top["host"] == F.col("_uid"), "left")
+    # a key is unique among members, so at most n host rows come back
+    j = top.join(F.broadcast(hosts), top["host"] == F.col("_uid"), "left")
     days = F.datediff(F.col("date"), X.as_date(as_of))
     return j.select(
         "event_id", "date", "title", "host",
@@ -41,12 +41,20 @@ def upcoming_with_host(a: DataFrame, m: DataFrame, as_of, n: int = 3) -> DataFra
 
 
 def activity_attendees(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> DataFrame:
-    """One row per attendance record of the month, with member details."""
+    """One row per attendance record of the month, with member details.
+
+    Listed by `attendee_order`; consumers that only aggregate skip the sort.
+    """
     acts = month_filter(a, month).select("event_id", "date", "title", "album_url")
     j = month_attendance(at, month).join(acts, "event_id").join(m.select("user_no", "birth_year", "name"), "user_no")
     return j.select("event_id", "user_no", "date", "title", "album_url", "birth_year", "name")
 
 
+def attendee_order() -> list[Column]:
+    """The report's order of attendance rows: date, birth year, name, NULLs last."""
+    return [F.col(c).asc_nulls_last() for c in ("date", "birth_year", "name")]
+
+
 def birth_year_attendance(m: DataFrame, a: DataFrame, at: DataFrame, month: str) -> DataFrame:
     """J3 (+A15): distinct attendees of the month per birth year of current members.
 
@@ -75,7 +83,7 @@ def birth_year_attendance(m: DataFrame, a: DataFrame, at: DataFrame, month: str)
         F.concat(X.yy(F.col("birth_year"), missing="0"), F.lit(L.YEAR_SUFFIX)).alias("label"),
         "cnt",
         F.sum("cnt").over(Window.partitionBy()).cast("bigint").alias("total"),
-    )
+    ).orderBy(F.col("birth_year").asc_nulls_last())
 
 
 def attending_members(m: DataFrame, at: DataFrame, batch: DataFrame) -> DataFrame:
@@ -92,8 +100,8 @@ def area_geo(summary: DataFrame, geo_dim: DataFrame, default: tuple[float, float
     contained in the area name, else `default`. Areas are counted first (one
     shuffle, partial aggregation map-side); then every substring (up to the
     longest key's length) of each distinct area is equi-joined with the
-    dimension keys (broadcast behind a size check), so the containment test is
-    a plain hash join — no nested-loop or cartesian join. The winner per area is a `min_by` over the
+    dimension keys (an inline literal, whose size the planner knows), so the
+    containment test is a plain hash join — no nested-loop or cartesian join. The winner per area is a `min_by` over the
     rows of that area, which are still partitioned by area after the count,
     so it needs no second shuffle and no join back.
     """
@@ -108,7 +116,7 @@ def area_geo(summary: DataFrame, geo_dim: DataFrame, default: tuple[float, float
     cand = (counts.withColumn("_longest", longest)
             .select("area", "count",
                     F.explode_outer(F.when(F.length("area") > 0, subs)).alias("_key")))
-    dim = broadcast_if_small(geo_dim.select(F.col("area_key").alias("_key"), "ord", "lat", "lon"))
+    dim = geo_dim.select(F.col("area_key").alias("_key"), "ord", "lat", "lon")
     order = F.when(F.col("ord").isNotNull(),
                    F.struct((F.col("_key") != F.col("area")).alias("_inexact"), F.col("ord")))
     best = (cand.join(dim, "_key", "left")

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import lookups as L
-from ..session import materialize
-from .filters import non_ex_summary
+from .filters import next_activities, non_ex_summary
 from .joins import activity_attendees
 
 WARN_STATUSES = ("dormant_warn", "new_warn")
+NAMES_PER_FRAGMENT = 100
 _NL = "\n"
 
 
@@ -68,21 +68,18 @@ def name_key() -> Column:
                     F.coalesce(F.col("name"), F.lit("")))
 
 
-def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str,
-                 materialized: bool = True) -> tuple[DataFrame, DataFrame]:
+def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> tuple[DataFrame, DataFrame]:
     """(per-group headcount / album URL / first and last name keys, per-group name multiplicities).
 
     The month's attendance is reduced once to (date, title, birth_year, name)
-    counts — bounded by distinct attendees, not by records — and, because two
-    consumers read it, checkpointed so the attendance scan is not repeated.
-    Group figures are derived from those counts.
+    counts — bounded by distinct attendees, not by records; group figures are
+    derived from those counts (both plans share the exchange below them).
+    Activities without a title make no group.
     """
-    j = activity_attendees(a, at, m, month)
+    j = activity_attendees(a, at, m, month).filter(F.col("title").isNotNull())
     names = j.groupBy("date", "title", "birth_year", "name").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.min_by("album_url", F.col("event_id")).alias("_album"))
-    if materialized:
-        names = materialize(names)
     grp = names.groupBy("date", "title").agg(
         F.sum("n").cast("bigint").alias("headcount"),
         F.min_by("_album", F.struct(*_name_order())).alias("album_url"),
@@ -110,17 +107,18 @@ def milestones(summary: DataFrame) -> DataFrame:
 
 
 def inactivity_warnings(summary: DataFrame) -> DataFrame:
-    """Members with a warning status, one row each (the list is these rows in label order)."""
-    return summary.filter(F.col("status").isin(*WARN_STATUSES)).select("status", "user_no", "member_label")
+    """Members with a warning status, one row each, in label order."""
+    return (summary.filter(F.col("status").isin(*WARN_STATUSES)).select("status", "user_no", "member_label")
+            .orderBy("member_label", "user_no"))
 
 
 def score_table(summary: DataFrame) -> DataFrame:
-    """This month's and cumulative points of every non-ex member (NULL -> 0)."""
+    """This month's and cumulative points of every non-ex member (NULL -> 0), in label order."""
     return non_ex_summary(summary).select(
         "user_no", "member_label",
         F.coalesce(F.col("gained_score"), F.lit(0)).cast("bigint").alias("gained_score"),
         F.coalesce(F.col("current_point"), F.lit(0)).cast("bigint").alias("current_point"),
-        "status")
+        "status").orderBy("member_label", "user_no")
 
 
 def _pad(c: Column, width: int = 20) -> Column:
@@ -151,16 +149,18 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
     Columns (section, part, k1, k2, k3, line); the text is the concatenation
     of `line` in that order. `plain` drops the '**' markup.
 
-    Plan: the summary and the month's attendee counts are each computed once
-    and checkpointed; every per-member fragment (milestones, first
-    attendance, warnings, score table) then comes from one pass over the
-    summary, every per-activity fragment from one pass over the group table,
-    and the end-of-list / empty-section markers from two small aggregates.
+    Plan (lazy): every per-member fragment (milestones, first attendance,
+    warnings, score table) comes from one pass over the summary, every
+    per-activity fragment from one pass over the group table; the
+    end-of-list and empty-section markers from one aggregate over the
+    summary (its values enter the pass as scalars) and one over the groups.
+    No value grows with the data: an attendee name that occurs very often is
+    written in fragments of at most `NAMES_PER_FRAGMENT` names.
     """
     spark = summary.sparkSession
     br = L.BR + _NL
-    s = materialize(summary.select("user_no", F.col("name").alias("_name"), "member_label", "status",
-                                   "gained_score", "current_point", "first_date"))
+    s = summary.select("user_no", F.col("name").alias("_name"), "member_label", "status",
+                       "gained_score", "current_point", "first_date")
     grp, names = digest_parts(a, at, m, month)
     out = []
 
@@ -190,25 +190,26 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
     ]))
     nm = F.coalesce(F.col("name"), F.lit("None"))
     nk = name_key()
-    text = F.concat(F.repeat(F.concat(nm, F.lit(", ")), (F.col("n") - 1).cast("int")), nm,
-                    F.when(nk == F.col("_last"), F.lit(br)).otherwise(F.lit(", ")))
-    named = names.join(grp.select("date", "title", "_first", "_last"), ["date", "title"])
-    out.append(_explode(named, [_frag(1, 1, text, gkey, F.lit("1"), nk)]))
+    named = (names.join(grp.select("date", "title", "_first", "_last"), ["date", "title"])
+             .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / NAMES_PER_FRAGMENT)))))
+    left = F.col("n") - F.col("_chunk") * NAMES_PER_FRAGMENT  # names from this fragment on
+    text = F.concat(F.repeat(F.concat(nm, F.lit(", ")), (F.least(left, F.lit(NAMES_PER_FRAGMENT)) - 1).cast("int")), nm,
+                    F.when((nk == F.col("_last")) & (left <= NAMES_PER_FRAGMENT), F.lit(br)).otherwise(F.lit(", ")))
+    part_key = F.concat(nk, F.lit(GROUP_KEY_SEP), _pad(F.col("_chunk"), 10))
+    out.append(_explode(named, [_frag(1, 1, text, gkey, F.lit("1"), part_key)]))
 
     # 2.–5. per member: one pass over the summary
     label = F.col("member_label")
     upad = _pad(F.col("user_no"))
-    wkey = F.concat(label, F.lit("\u0000"), upad)
-    lasts = (s.filter(F.col("status").isin(*WARN_STATUSES))
-             .groupBy("status").agg(F.max(wkey).alias("_wlast")))
-    # `lasts` has at most one row per warning status (a proven bound), so it
-    # is broadcast: a shuffle join on `status` would put every member with the
-    # same status (nearly all of them 'active') into one task.
-    sj = s.join(F.broadcast(lasts), "status", "left")
+    wkey = F.concat(label, F.lit(GROUP_KEY_SEP), upad)
     curr = F.coalesce(F.col("current_point"), F.lit(0)).cast("bigint")
     gained = F.coalesce(F.col("gained_score"), F.lit(0)).cast("bigint")
     crossed = [(curr >= t) & (curr - gained < t) for t, _ in L.MILESTONES]
     first_in_month = X.in_month(F.col("first_date"), month)
+    marks = s.agg(
+        F.sum(sum(F.when(c, 1).otherwise(0) for c in crossed)).alias("_ms"),
+        F.count_if(first_in_month).alias("_fa"),
+        *[F.max(F.when(F.col("status") == status, wkey)).alias(f"_{status}") for status in WARN_STATUSES])
     frags = [
         _frag(2, 1, F.concat(fmt(L.RPT_AWARD_LINE, label=label, points=curr, message=F.lit(msg)), F.lit(br)),
               label, upad, F.lit(str(i)), when=cond)
@@ -218,28 +219,24 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
                                       F.lit(br)),
                        F.coalesce(F.col("_name"), F.lit("")), upad, when=first_in_month))
     for part, status, end in ((2, "dormant_warn", br), (5, "new_warn", br + _NL)):
-        sep = F.when(wkey == F.col("_wlast"), F.lit(end)).otherwise(F.lit(", "))
+        sep = F.when(wkey == marks.select(f"_{status}").scalar(), F.lit(end)).otherwise(F.lit(", "))
         frags.append(_frag(4, part, F.concat(label, sep), label, upad, when=F.col("status") == status))
     frags.append(_frag(5, 1, F.concat(fmt(L.RPT_SCORE_LINE, label=label, gained=gained, current=curr,
                                           status=F.coalesce(F.col("status"), F.lit("None"))), F.lit(br)),
                        label, upad, when=~F.col("status").eqNullSafe("exmember")))
-    out.append(_explode(sj, frags))
+    out.append(_explode(s, frags))
 
-    # end-of-section markers from two small aggregates
-    counts = s.agg(
-        F.sum(sum(F.when(c, 1).otherwise(0) for c in crossed)).alias("_ms"),
-        F.count_if(first_in_month).alias("_fa"),
-        F.count_if(F.col("status") == "dormant_warn").alias("_dw"),
-        F.count_if(F.col("status") == "new_warn").alias("_nw"))
-    out.append(_explode(counts, [
+    # end-of-section markers
+    out.append(_explode(marks, [
         _frag(2, 2, F.when(F.coalesce(F.col("_ms"), F.lit(0)) == 0, F.lit(L.RPT_NONE_APPLICABLE + br + _NL))
               .otherwise(F.lit(_NL))),
         _frag(3, 2, F.when(F.col("_fa") == 0, F.lit(L.RPT_NONE + br + _NL)).otherwise(F.lit(_NL))),
-        _frag(4, 3, F.lit(L.RPT_NONE + br), when=F.col("_dw") == 0),
-        _frag(4, 6, F.lit(L.RPT_NONE + br + _NL), when=F.col("_nw") == 0),
+        _frag(4, 3, F.lit(L.RPT_NONE + br), when=F.col("_dormant_warn").isNull()),
+        _frag(4, 6, F.lit(L.RPT_NONE + br + _NL), when=F.col("_new_warn").isNull()),
     ]))
-    out.append(_explode(grp.agg(F.count(F.lit(1)).alias("_c")),
-                        [_frag(1, 2, F.lit(L.RPT_NO_ACTIVITY + br + _NL), when=F.col("_c") == 0)]))
+    # records of activities without a title are activity all the same
+    records = activity_attendees(a, at, m, month).agg(F.count(F.lit(1)).alias("_c"))
+    out.append(_explode(records, [_frag(1, 2, F.lit(L.RPT_NO_ACTIVITY + br + _NL), when=F.col("_c") == 0)]))
 
     res = out[0]
     for df in out[1:]:
@@ -281,3 +278,17 @@ def briefing_context(a: DataFrame, n: int = 3) -> DataFrame:
     head = fmt(L.BRIEFING_HEAD + _NL, date=F.concat(F.col("_m"), F.lit("-01")))
     return g.select(F.col("_m").alias("month"),
                     F.concat(head, F.array_join(F.transform("_l", lambda x: x["t"]), "")).alias("text"))
+
+
+def next_briefing(a: DataFrame, as_of, n: int = 3) -> DataFrame:
+    """R6, the original's own form: one text for the next n activities from `as_of`, dated `as_of`.
+
+    No row if nothing is ahead. The collected list holds at most n entries.
+    """
+    top = next_activities(a, as_of, n)
+    line = fmt(L.BRIEFING_LINE + _NL, title=F.coalesce(F.col("title"), F.lit("None")),
+               date=F.date_format("date", "yyyy-MM-dd"),
+               host=F.coalesce(F.col("host").cast("string"), F.lit("None")))
+    lines = top.agg(F.array_sort(F.collect_list(F.struct("date", "event_id", line.alias("t")))).alias("_l")).filter(F.size("_l") > 0)
+    head = fmt(L.BRIEFING_HEAD + _NL, date=F.date_format(X.as_date(as_of), "yyyy-MM-dd"))
+    return lines.select(F.concat(head, F.array_join(F.transform("_l", lambda x: x["t"]), "")).alias("text"))

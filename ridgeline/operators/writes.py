@@ -8,7 +8,7 @@ through the driver; the caller writes the returned frame to a new location
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -104,10 +104,22 @@ def apply_grid_edits(base: DataFrame, at: DataFrame, visible: DataFrame, edited:
     return new_base, new_at
 
 
+def save_members(base: DataFrame, visible: DataFrame, edited: DataFrame, key: str = "user_no",
+                 seq: str = "seq") -> DataFrame:
+    """W6 for the member grid: delete the removed members, then upsert.
+
+    Unlike the activity grid nothing cascades and no id is repaired.
+    """
+    return upsert_rows(delete_removed(base, visible, edited, key), edited.select(*base.columns, seq), key, seq)
+
+
+def save_counts(visible: DataFrame, edited: DataFrame, key: str) -> DataFrame:
+    """What a save reports: (saved, deleted), the edited rows and the distinct keys removed."""
+    saved = edited.agg(F.count(F.lit(1)).alias("saved"))
+    deleted = removed_keys(visible, edited, key).agg(F.count(F.lit(1)).alias("deleted"))
+    return saved.select("saved", deleted.scalar().alias("deleted"))
+
+
 def save_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a new base to a fresh location (never in place)."""
     df.write.mode("errorifexists").format(fmt).save(path)
-
-
-def read_saved(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)

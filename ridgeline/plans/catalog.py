@@ -61,12 +61,7 @@ def geo_dimension(spark: SparkSession, rows=None) -> DataFrame:
 # ---- sources ---------------------------------------------------------------
 
 def q_load_tables(spark, sf):
-    for name, df in tables.load_club(spark, sf).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(
-        "SELECT 'members' AS table_name, COUNT(*) AS n FROM members "
-        "UNION ALL SELECT 'activities', COUNT(*) FROM activities "
-        "UNION ALL SELECT 'attendance', COUNT(*) FROM attendance")
+    return tables.table_counts(tables.load_tables(spark, sf))
 
 
 def q_sql_param(spark, sf):
@@ -100,7 +95,7 @@ def q_forecast_rows(spark, sf):
 
 def q_json_rows(spark, sf):
     m, a, at = _club(spark, sf)
-    return feeds.json_rows(filters.month_filter(a, MONTH))
+    return feeds.json_rows(a)
 
 
 # ---- filters / sorts -------------------------------------------------------
@@ -171,6 +166,11 @@ def q_member_roster(spark, sf):
     return filters.member_roster(m)
 
 
+def q_full_roster(spark, sf):
+    m, a, at = _club(spark, sf)
+    return filters.full_roster(m)
+
+
 def q_recent_activities(spark, sf):
     m, a, at = _club(spark, sf)
     return filters.recent_activities(a)
@@ -190,7 +190,7 @@ def q_upcoming_with_host(spark, sf):
 
 def q_activity_attendees(spark, sf):
     m, a, at = _club(spark, sf)
-    return joins.activity_attendees(a, at, m, MONTH).drop("event_id", "user_no")
+    return joins.activity_attendees(a, at, m, MONTH).drop("event_id", "user_no").orderBy(*joins.attendee_order())
 
 
 def q_birth_year_attendance(spark, sf):
@@ -365,8 +365,27 @@ def q_extract_event_id_pages(spark, sf):
 def q_apply_grid_edits(spark, sf):
     m, a, at = _club(spark, sf)
     visible, edited = inputs.activity_grid(a, MONTH)
-    new_acts, _new_at = writes.apply_grid_edits(a, at, visible, edited)
-    return new_acts
+    return writes.apply_grid_edits(a, at, visible, edited)[0]
+
+
+def q_apply_grid_edits_attendance(spark, sf):
+    """W6's second result: the attendance after the save."""
+    m, a, at = _club(spark, sf)
+    visible, edited = inputs.activity_grid(a, MONTH)
+    return writes.apply_grid_edits(a, at, visible, edited)[1]
+
+
+def q_save_members(spark, sf):
+    m, a, at = _club(spark, sf)
+    return writes.save_members(m, *inputs.member_grid(m))
+
+
+def q_save_counts(spark, sf):
+    """What the two grids report after a save."""
+    m, a, at = _club(spark, sf)
+    members = writes.save_counts(*inputs.member_grid(m), "user_no").select(F.lit("members").alias("grid"), "saved", "deleted")
+    acts = writes.save_counts(*inputs.activity_grid(a, MONTH), "event_id").select(F.lit("activities").alias("grid"), "saved", "deleted")
+    return members.unionByName(acts)
 
 
 # ---- report ------------------------------------------------------------------------
@@ -406,6 +425,11 @@ def q_briefing_context(spark, sf):
     return report.briefing_context(a, 3)
 
 
+def q_next_briefing(spark, sf):
+    m, a, at = _club(spark, sf)
+    return report.next_briefing(a, AS_OF, 3)
+
+
 QUERIES: dict[str, Query] = {
     # sources
     "load_tables": q_load_tables,
@@ -427,6 +451,7 @@ QUERIES: dict[str, Query] = {
     "activity_match_counts": q_activity_match_counts,
     "non_null_sample": q_non_null_sample,
     "member_roster": q_member_roster,
+    "full_roster": q_full_roster,
     "recent_activities": q_recent_activities,
     "next_activities": q_next_activities,
     # joins
@@ -465,6 +490,9 @@ QUERIES: dict[str, Query] = {
     "extract_event_id": q_extract_event_id,
     "extract_event_id_pages": q_extract_event_id_pages,
     "apply_grid_edits": q_apply_grid_edits,
+    "apply_grid_edits_attendance": q_apply_grid_edits_attendance,
+    "save_members": q_save_members,
+    "save_counts": q_save_counts,
     # report
     "activity_digest": q_activity_digest,
     "milestones": q_milestones,
@@ -473,4 +501,5 @@ QUERIES: dict[str, Query] = {
     "report_lines": q_report_lines,
     "report_markup": q_report_markup,
     "briefing_context": q_briefing_context,
+    "next_briefing": q_next_briefing,
 }

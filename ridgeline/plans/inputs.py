@@ -16,6 +16,7 @@ VISIBLE_AREA = "NATION_3"
 EDIT_SUFFIX = " (edited)"
 SECOND_EDIT_SUFFIX = " (v2)"
 NEW_KEY_OFFSET = 1_000_000
+POSITION_STEP = 10**12
 
 
 def member_grid(m: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,32 +24,38 @@ def member_grid(m: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     visible = members of one area; edited = visible without keys % 7 == 0,
     names suffixed where key % 5 == 0, plus new rows (key + 1,000,000) copied
-    from keys % 6 == 0, all with seq 1, and a second edit (seq 2) of keys
-    % 10 == 0.
+    from keys % 6 == 0, and a second edit of keys % 10 == 0. `seq` is the
+    row's position: all rows as shown, then the new ones, then the second edits.
+    Each visible row makes its one to three rows in one pass.
     """
     visible = m.filter(F.col("area") == VISIBLE_AREA)
     k = F.col("user_no")
-    kept = visible.filter(k % 7 != 0).withColumn(
-        "name", F.when(k % 5 == 0, F.concat(F.col("name"), F.lit(EDIT_SUFFIX))).otherwise(F.col("name")))
-    added = kept.filter(k % 6 == 0).withColumn("user_no", k + NEW_KEY_OFFSET)
-    second = kept.filter(k % 10 == 0).withColumn("name", F.concat(F.col("name"), F.lit(SECOND_EDIT_SUFFIX)))
-    edited = (kept.withColumn("seq", F.lit(1))
-              .unionByName(added.withColumn("seq", F.lit(1)))
-              .unionByName(second.withColumn("seq", F.lit(2))))
-    return visible, edited
+    name = F.when(k % 5 == 0, F.concat(F.col("name"), F.lit(EDIT_SUFFIX))).otherwise(F.col("name"))
+
+    def variant(order: int, key, text):
+        return F.struct(key.alias("user_no"), text.alias("name"), (k + order * POSITION_STEP).alias("seq"))
+
+    variants = F.filter(F.array(
+        variant(0, k, name), F.when(k % 6 == 0, variant(1, k + NEW_KEY_OFFSET, name)),
+        F.when(k % 10 == 0, variant(2, k, F.concat(name, F.lit(SECOND_EDIT_SUFFIX))))), lambda v: v.isNotNull())
+    edited = visible.filter(k % 7 != 0).withColumn("_v", F.explode(variants))
+    return visible, edited.select(*[F.col(f"_v.{c}") if c in ("user_no", "name") else F.col(c) for c in m.columns], "_v.seq")
 
 
 def activity_grid(a: DataFrame, month: str) -> tuple[DataFrame, DataFrame]:
-    """(visible, edited) for the activity grid: keys are text.
+    """(visible, edited) for the activity grid: keys are text, `seq` is the position.
 
-    visible = activities of the month; edited = visible without keys % 9 == 0,
-    with the key blanked where key % 6 == 2 (the album URL still carries it).
+    visible = activities of the month; edited = visible without keys % 9 == 0.
+    The key is blanked where key % 6 == 2 (the album URL still carries it) and
+    where key % 12 == 4 (the URL has no digits, so it cannot be repaired), and
+    keys % 30 == 11 are given one of four new ids, which therefore collide.
     """
     visible = month_filter(a, month)
     k = F.col("event_id")
-    edited = (visible.filter(k % 9 != 0)
-              .withColumn("event_id", F.when(k % 6 == 2, F.lit("")).otherwise(k.cast("string")))
-              .withColumn("seq", F.lit(1)))
+    new_id = (F.when((k % 6 == 2) | (k % 12 == 4), F.lit(""))
+              .when(k % 30 == 11, F.concat(F.lit("900000000"), (k % 4).cast("string")))
+              .otherwise(k.cast("string")))
+    edited = visible.filter(k % 9 != 0).select(new_id.alias("event_id"), *[c for c in a.columns if c != "event_id"], k.alias("seq"))
     return visible.withColumn("event_id", k.cast("string")), edited
 
 

@@ -101,8 +101,3 @@ def scratch_table(df: DataFrame, purpose: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Compute `df` once; see `scratch_table`."""
-    return scratch_table(df, "materialized")

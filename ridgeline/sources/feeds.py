@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,17 +28,33 @@ def ordered_columns(columns: Sequence[str], preferred: Sequence[str], drop: Sequ
     return [c for c in preferred if c in cols] + [c for c in cols if c not in preferred]
 
 
-# NULL is written as \N so that it stays distinct from the empty string.
+# NULL is written as \N. In texts the escape character and line breaks are
+# written as \\, \n and \r, so that no text equals the mark, every record is
+# one line (files stay splittable) and reading gives back the same text.
 NULL_MARK = "\\N"
+_CSV = {"header": True, "nullValue": NULL_MARK, "escape": '"', "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False}
+
+
+def _escaped(c: Column) -> Column:
+    for raw, mark in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(raw), F.lit(mark))
+    return c
+
+
+def _unescaped(c: Column) -> Column:
+    def breaks(part: Column) -> Column:
+        return F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+
+    return F.array_join(F.transform(F.split(c, r"\\\\"), breaks), "\\")
 
 
 def export_csv(t: DataFrame, path: str, preferred: Sequence[str] = (), drop: Sequence[str] = ()) -> None:
     """S3: whole-table CSV backup with a header, written by every task in parallel."""
     cols = ordered_columns(t.columns, preferred, drop)
-    (t.select(*cols).write.mode("errorifexists")
-     .option("header", True).option("nullValue", NULL_MARK)
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .csv(path))
+    texts = {f.name for f in t.schema.fields if isinstance(f.dataType, T.StringType)}
+    (t.select(*[_escaped(F.col(c)).alias(c) if c in texts else F.col(c) for c in cols])
+     .write.mode("errorifexists").options(**_CSV).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, preferred: Sequence[str] = (),
@@ -50,12 +66,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, preferred: Se
     result comes back in the schema's own order.
     """
     order = ordered_columns(schema.fieldNames(), preferred, drop)
-    file_schema = T.StructType([schema[c] for c in order])
-    df = (spark.read.schema(file_schema).option("header", True)
-          .option("nullValue", NULL_MARK)
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .csv(path))
-    return df.select(*[c for c in schema.fieldNames() if c in order])
+    df = spark.read.schema(T.StructType([schema[c] for c in order])).options(**_CSV).csv(path)
+    return df.select(*[_unescaped(F.col(c)).alias(c) if isinstance(schema[c].dataType, T.StringType) else F.col(c)
+                       for c in schema.fieldNames() if c in order])
 
 
 FORECAST_SCHEMA = T.StructType([T.StructField("daily", T.StructType([

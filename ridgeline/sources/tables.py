@@ -13,6 +13,7 @@ column (`save_attendance_by_month`); month filters then prune directories.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,60 +55,50 @@ ATTENDANCE_SCHEMA = T.StructType([
 ])
 
 
-# Lazy plans (no data) memoised per (application, directory, name): file
-# listing, footer reads and expression building happen once per session.
-_PLANS: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    df = _PLANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = build()
-        _PLANS[key] = df
-    return df
-
-
-def clear_plans() -> None:
-    """Forget memoised plans (e.g. after the files under a directory change)."""
-    _PLANS.clear()
+# Declared schemas of the base tables: reading one starts no job.
+BASE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _memo(spark, sf_dir, name,
-                 lambda: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
+    """A base table with its declared schema. Files are listed anew on each call,
+    so rows that are appended later are seen."""
+    return spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-# A dimension is broadcast explicitly only below this many rows.
-BROADCAST_MAX_ROWS = 100_000
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """`broadcast(df)` when it has at most `max_rows` rows, else `df` unchanged.
-
-    The check is Spark's incremental `take` of at most `max_rows + 1`
-    one-column rows: it scans one partition, then more only while rows are
-    missing, so it stays cheap on a large table (unlike `limit().count()`,
-    which starts a task per split). Beyond the bound the planner's own choice
-    (a shuffle join) stands. The hint also holds where automatic broadcasts
-    are switched off, which keeps a tiny dimension from turning into a shuffle
-    on its few key values.
-    """
-    probe = df.select(F.lit(1).alias("_one")).take(max_rows + 1)
-    return F.broadcast(df) if len(probe) <= max_rows else df
+# Texts that a line-based export must not lose: every kind of line break, the
+# escape character, the quote, and a text that looks like the NULL mark.
+LINE_BREAKS = "\n\r\\n\r\n\"\\,"
+NULL_LOOKALIKE = "\\N"
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").alias("c")
-    # nation is the 25-row TPC-H dimension: broadcast behind a size check. A
-    # shuffle join on the nation key would put all customers into at most 25
-    # partitions.
-    n = broadcast_if_small(read_table(spark, sf_dir, "nation")).alias("n")
+    # nation's file is a few KB, which the planner sees and broadcasts by its
+    # own size check
+    n = read_table(spark, sf_dir, "nation").alias("n")
     k = F.col("c.c_custkey")
     seg = F.col("c.c_mktsegment")
     nname = F.col("n.n_name")
     gender = F.when(k % 11 == 0, "M")
-    for rem, g in ((1, " male "), (2, "남"), (3, "F"), (4, "Woman"), (5, "여성"),
+    for rem, g in ((1, " male "), (2, "남\u3000"), (3, "F"), (4, "Woman"), (5, "\u00a0여성\u2009"),
                    (6, "w"), (7, "Man"), (8, "x"), (9, "female")):
         gender = gender.when(k % 11 == rem, g)
     df = c.join(n, F.col("c.c_nationkey") == F.col("n.n_nationkey"), "left").select(
@@ -122,7 +113,8 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(seg == "BUILDING", "admin")
         .otherwise("member").alias("role"),
         F.when(k % 23 == 0, F.lit(None)).otherwise((k % 120).cast("int")).alias("point"),
-        F.when(k % 3 == 0, F.lit(None)).otherwise(F.concat(seg, F.lit(" "), nname)).alias("description"),
+        F.when(k % 3 == 0, F.lit(None)).when(k % 10 == 1, F.lit(NULL_LOOKALIKE))
+        .otherwise(F.concat(seg, F.when(k % 10 == 2, F.lit(LINE_BREAKS)).otherwise(F.lit(" ")), nname)).alias("description"),
         F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.lit(""))
         .otherwise(F.concat(F.lit("https://img.test/"), k.cast("string"))).alias("profile_image_url"),
         F.date_sub(F.lit(AS_OF), (k % 2400).cast("int")).alias("created_at"),
@@ -140,28 +132,35 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 2, F.concat(F.lit("https://album.test/post/"), ks, F.lit("/")))
         .when(k % 6 == 3, F.concat(F.lit("album"), ks))
         .when(k % 6 == 4, F.lit("https://album.test/none"))
-        .otherwise(F.concat(F.lit(" https://album.test/post/"), ks, F.lit(" ")))
+        .otherwise(F.concat(F.lit("\u2003https://album.test/post/"), ks, F.lit("\u00a0\t")))
     )
     return o.select(
         k.alias("event_id"),
         F.col("o_orderdate").cast("date").alias("date"),
-        F.concat(F.lit("Route "), (k % 40).cast("string")).alias("title"),
+        F.when(k % 43 != 0, F.concat(F.lit("Route "), (k % 40).cast("string"))).alias("title"),
         F.when(k % 37 == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("host"),
         F.when(k % 41 == 0, F.lit(None)).otherwise((1 + k % 5).cast("int")).alias("score"),
         album.alias("album_url"),
     )
 
 
+# Attendees with these keys are nobody's member key: members whose key is a
+# multiple of 13 never came, and the records of strangers stay in the table.
+STRANGER_OFFSET = 1_000_000_000
+
+
 def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
-    return li.filter(F.col("l_partkey") % 13 != 0).select(
-        F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("user_no"))
+    k = F.col("l_partkey")
+    return li.select(F.col("l_orderkey").alias("event_id"),
+                     F.when(k % 13 == 0, k + STRANGER_OFFSET).otherwise(k).alias("user_no"))
 
 
 def load_club(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The three entities by name (lazy plans, memoised per session)."""
-    return {name: _memo(spark, sf_dir, "@" + name, lambda f=f: f(spark, sf_dir))
-            for name, f in (("members", members), ("activities", activities), ("attendance", attendance))}
+    """The three entities by name (lazy plans), cast to their schemas."""
+    return {"members": conform(members(spark, sf_dir), MEMBERS_SCHEMA),
+            "activities": conform(activities(spark, sf_dir), ACTIVITIES_SCHEMA),
+            "attendance": conform(attendance(spark, sf_dir), ATTENDANCE_SCHEMA)}
 
 
 def load_tables(spark: SparkSession, sf_dir: str, register: bool = False) -> dict[str, DataFrame]:
@@ -174,8 +173,14 @@ def load_tables(spark: SparkSession, sf_dir: str, register: bool = False) -> dic
     return out
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n): the rows of each table, one pass each."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast an external frame (e.g. user edits) to an entity schema by name.
+    """Cast a frame (a table or user edits) to an entity schema by name.
 
     Missing columns become NULL; extra columns are kept after the schema's.
     """
