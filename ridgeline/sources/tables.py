@@ -13,6 +13,7 @@ column (`save_attendance_by_month`); month filters then prune directories.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -247,3 +248,20 @@ def read_attendance_by_month(spark: SparkSession, path: str) -> DataFrame:
 
     schema = T.StructType(ATTENDANCE_SCHEMA.fields + [T.StructField(ACTIVITY_MONTH, T.StringType())])
     return spark.read.schema(schema).parquet(path)
+
+
+def rewrite_attendance_month(spark: SparkSession, path: str, month: str,
+                             change: Callable[[DataFrame], DataFrame]) -> None:
+    """Save an edit of one month's attendance in a table written by `save_attendance_by_month`.
+
+    `change` gets the month's records (event_id, user_no), for instance to
+    apply `writes.cascade_delete` or `writes.replace_attendance`, and returns
+    the new ones. Only this month's files are read and written; the result is
+    computed completely before they are replaced.
+    """
+    from ..operators.filters import ACTIVITY_MONTH
+    from ..session import scratch_table
+
+    rows = read_attendance_by_month(spark, path).filter(F.col(ACTIVITY_MONTH) == F.lit(month))
+    staged = scratch_table(conform(change(rows.drop(ACTIVITY_MONTH)), ATTENDANCE_SCHEMA), "attendance-month")
+    staged.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{ACTIVITY_MONTH}={month}")
