@@ -17,6 +17,7 @@ QUERIES = {
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
 ORACLE: dict[str, str] = {
+    "op8_parity_sketch": paritysketch.OP8_SQL,
     "op9_tool_links": chat.OP9_SQL,
     "op3_line_windows": linededup.OP3_SQL,
     "op6_prefix_windows": decontaminate.OP6_SQL,
