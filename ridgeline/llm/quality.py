@@ -172,12 +172,13 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[dict[str, np.ndarray], flo
     """The forest and its threshold, or None without labelled good rows."""
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     rows = stats.filter(~F.col("base_failed")).join(marks, "doc_id")
-    sample = C.hash_sample(rows.filter("_quality = 1"), MAX_TRAIN, "doc_id", C.KEY).select(*FEATURES).orderBy(*FEATURES).collect()  # about MAX_TRAIN rows
+    sample = C.hash_sample(rows.filter("_quality = 1"), MAX_TRAIN, "doc_id", C.KEY).select(*FEATURES).collect()  # about MAX_TRAIN rows
     if not sample:
         return None
     bounds = rows.agg(*[F.min(f) for f in FEATURES], *[F.max(f) for f in FEATURES]).first()
     low, high = np.array(bounds[:len(FEATURES)], float), np.array(bounds[len(FEATURES):], float)
-    forest = grow_forest(np.array(sample, float), low, high)
+    good = np.array(sample, float)
+    forest = grow_forest(good[np.lexsort(good.T)], low, high)  # the same forest in whatever order the rows come
     scored = score(rows.select("_quality", *FEATURES), forest, ["_quality"])
     bins = (scored.groupBy(F.round("path_length", 2).alias("path"))
             .agg(F.count_if(F.col("_quality") == 1).alias("good"), F.count_if(F.col("_quality") != 1).alias("bad")).collect())
