@@ -39,7 +39,7 @@ TARGETS = {"clean": 0.90, "toxic": 0.02, "junk": 0.08}
 WORD_BUCKETS, END_BUCKETS = 1 << 15, 1 << 10
 LEAST_Z, LEAST_RATIO = 8.0, 2.0  # a bucket speaks for or against a domain from this deviation on
 MAX_TRAIN = 10_000
-ROUNDS, TOLERANCE, STEP = 60, 5e-4, 1.5  # tolerance: of all target tokens
+ROUNDS, TOLERANCE, STEP = 60, 1e-4, 1.5  # tolerance: of all target tokens
 
 
 def domain() -> Column:
@@ -158,7 +158,7 @@ def fit_rates(members: DataFrame, known: list[str], targets: dict[str, float], b
     while len(steps) < ROUNDS and np.abs(gap).max() > TOLERANCE * wanted.sum():
         steps.append((STEP * (inverse @ gap)).tolist())
         before, gap = gap, sums(steps, False) - wanted
-        if np.abs(gap - before).max() <= TOLERANCE * wanted.sum() / 5:  # the bounds allow no more
+        if np.abs(gap - before).max() <= TOLERANCE * wanted.sum() / 10:  # the bounds allow no more
             break
     return steps, dict(zip(known, wanted.tolist(), strict=True))
 
