@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,13 +120,15 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> tuple[list[str], DataFrame
         sums.select("doc_id", C.KEY, "copies", "tokens", *[(x / total).alias(f"p{k}") for k, x in enumerate(powers)]), "mix-posteriors")
 
 
+def moved(r: Column, step: list[float], max_rate: float) -> Column:
+    """A rate after one more round, from the columns p0, p1, ..."""
+    move = sum((F.col(f"p{k}") * F.lit(float(y)) for k, y in enumerate(step)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(max_rate), r - move))
+
+
 def rate(steps: list[list[float]], max_rate: float) -> Column:
-    """The rate after the given rounds, from the columns p0, p1, ..."""
-    r = F.lit(1.0)
-    for step in steps:
-        move = sum((F.col(f"p{k}") * F.lit(float(y)) for k, y in enumerate(step)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), F.least(F.lit(max_rate), r - move))
-    return r
+    """The rate after the given rounds; every rate starts at 1."""
+    return reduce(lambda r, step: moved(r, step, max_rate), steps, F.lit(1.0))
 
 
 def fit_rates(members: DataFrame, known: list[str], targets: dict[str, float], budget: float | None = None,
@@ -138,13 +141,13 @@ def fit_rates(members: DataFrame, known: list[str], targets: dict[str, float], b
     size = len(known)
     tokens = F.col("tokens") * F.col("copies")
 
-    def sums(steps: list[list[float]], gram: bool) -> np.ndarray:
-        r = rate(steps, max_rate)
+    def sums(r: Column, gram: bool) -> np.ndarray:
         cols = [F.sum(r * tokens * F.col(f"p{k}")) for k in range(size)]
         cols += [F.sum(tokens * F.col(f"p{k}") * F.col(f"p{j}")) for k in range(size) for j in range(size)] if gram else []
         return np.array([x or 0.0 for x in members.agg(*cols).first()])
 
-    first = sums([], True)
+    r = F.lit(1.0)
+    first = sums(r, True)
     expected, gram = first[:size], first[size:].reshape(size, size)
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in known])
     if share.sum() == 0 or expected.sum() == 0:
@@ -157,7 +160,8 @@ def fit_rates(members: DataFrame, known: list[str], targets: dict[str, float], b
     gap = expected - wanted
     while len(steps) < ROUNDS and np.abs(gap).max() > TOLERANCE * wanted.sum():
         steps.append((STEP * (inverse @ gap)).tolist())
-        before, gap = gap, sums(steps, False) - wanted
+        r = moved(r, steps[-1], max_rate)
+        before, gap = gap, sums(r, False) - wanted
         if np.abs(gap - before).max() <= TOLERANCE * wanted.sum() / 10:  # the bounds allow no more
             break
     return steps, dict(zip(known, wanted.tolist(), strict=True))
