@@ -4,11 +4,13 @@ A classifier trained on the labelled table (multinomial naive Bayes over hashed
 words and word endings) gives each document a posterior over domains. Document
 rates between 0 and `max_rate` are then fitted so that the expected tokens of
 each domain, sum of rate * tokens * posterior, match the targets: projected
-gradient on least squares, weighted by the inverse of the domains' Gram matrix,
-for which steps below 2 converge. A rate depends on its document only through the
-posterior and the gradients of the rounds, one number per domain and round, so
-the rates are an expression: each round is one aggregation over the table of
-posteriors, nothing per document is kept, and the driver sees a few sums.
+gradient on least squares, weighted by the inverse of the domains' Gram matrix
+(a step of 1 is then safe); step lengths are the ratio of the last change of the
+rates to that of the gradient (Barzilai and Borwein). A rate depends on its
+document only through the posterior and the gradients of the rounds, one number
+per domain and round, so the rates are an expression: each round is one
+aggregation over the table of posteriors, nothing per document is kept, and the
+driver sees a few sums.
 
 The model is fitted on a bounded sample of labelled rows (about `MAX_TRAIN`, those
 with the smallest id hashes); its size is fixed by the number of buckets, so it
@@ -40,7 +42,8 @@ TARGETS = {"clean": 0.90, "toxic": 0.02, "junk": 0.08}
 WORD_BUCKETS, END_BUCKETS = 1 << 15, 1 << 10
 LEAST_Z, LEAST_RATIO = 8.0, 2.0  # a bucket speaks for or against a domain from this deviation on
 MAX_TRAIN = 10_000
-ROUNDS, TOLERANCE, STEP = 60, 1e-4, 1.5  # tolerance: of all target tokens
+ROUNDS, TOLERANCE = 60, 1e-4  # tolerance: of all target tokens
+FIRST_STEP, LEAST_STEP, MOST_STEP = 1.5, 1.0, 100.0
 
 
 def domain() -> Column:
@@ -141,13 +144,12 @@ def fit_rates(members: DataFrame, known: list[str], targets: dict[str, float], b
     size = len(known)
     tokens = F.col("tokens") * F.col("copies")
 
-    def sums(r: Column, gram: bool) -> np.ndarray:
+    def sums(r: Column, *more: Column) -> np.ndarray:
         cols = [F.sum(r * tokens * F.col(f"p{k}")) for k in range(size)]
-        cols += [F.sum(tokens * F.col(f"p{k}") * F.col(f"p{j}")) for k in range(size) for j in range(size)] if gram else []
-        return np.array([x or 0.0 for x in members.agg(*cols).first()])
+        return np.array([x or 0.0 for x in members.agg(*cols, *more).first()])
 
     r = F.lit(1.0)
-    first = sums(r, True)
+    first = sums(r, *[F.sum(tokens * F.col(f"p{k}") * F.col(f"p{j}")) for k in range(size) for j in range(size)])
     expected, gram = first[:size], first[size:].reshape(size, size)
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in known])
     if share.sum() == 0 or expected.sum() == 0:
@@ -157,13 +159,17 @@ def fit_rates(members: DataFrame, known: list[str], targets: dict[str, float], b
         budget = expected[known.index(hold)] / share[known.index(hold)]
     wanted = share * (expected.sum() if budget is None else budget)
     inverse, steps = np.linalg.pinv(gram, rcond=1e-9), []
-    gap = expected - wanted
+    gap, step = expected - wanted, FIRST_STEP
     while len(steps) < ROUNDS and np.abs(gap).max() > TOLERANCE * wanted.sum():
-        steps.append((STEP * (inverse @ gap)).tolist())
-        r = moved(r, steps[-1], max_rate)
-        before, gap = gap, sums(r, False) - wanted
-        if np.abs(gap - before).max() <= TOLERANCE * wanted.sum() / 10:  # the bounds allow no more
+        steps.append((step * (inverse @ gap)).tolist())
+        last, r = r, moved(r, steps[-1], max_rate)
+        found = sums(r, F.sum(tokens * (r - last) * (r - last)))
+        change = found[:size] - wanted - gap
+        gap = gap + change
+        if np.abs(change).max() <= TOLERANCE * wanted.sum() / 10:  # the bounds allow no more
             break
+        curvature = change @ inverse @ change
+        step = float(np.clip(found[size] / curvature, LEAST_STEP, MOST_STEP)) if curvature > 0 else FIRST_STEP
     return steps, dict(zip(known, wanted.tolist(), strict=True))
 
 
