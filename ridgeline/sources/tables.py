@@ -84,84 +84,64 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Texts that a line-based export must not lose: every kind of line break, the
-# escape character, the quote, and a text that looks like the NULL mark.
-LINE_BREAKS = "\n\r\\n\r\n\"\\,"
-NULL_LOOKALIKE = "\\N"
+# The derivations as SQL expressions, one per column and with the schema's types
+# (FIXTURES.md has them as whole statements). Descriptions hold what a
+# line-based export must not lose: every kind of line break, the escape
+# character, the quote, and a text that looks like the NULL mark.
+_MEMBER_COLUMNS = (
+    "c_custkey AS user_no",
+    "concat('Member ', CAST(c_custkey - CASE WHEN c_custkey % 7 = 4 THEN 4 ELSE 0 END AS STRING)) AS name",
+    "CASE WHEN c_custkey % 29 <> 0 THEN CAST(1955 + c_custkey % 46 AS INT) END AS birth_year",
+    "CASE c_custkey % 11 WHEN 0 THEN 'M' WHEN 1 THEN ' male ' WHEN 2 THEN '남\u3000' WHEN 3 THEN 'F' WHEN 4 THEN 'Woman' "
+    "WHEN 5 THEN '\u00a0여성\u2009' WHEN 6 THEN 'w' WHEN 7 THEN 'Man' WHEN 8 THEN 'x' WHEN 9 THEN 'female' END AS gender",
+    "CASE WHEN c_custkey % 17 <> 0 THEN n_name END AS area",
+    "CASE WHEN c_custkey % 31 = 0 THEN NULL WHEN c_mktsegment = 'HOUSEHOLD' THEN 'exmember' WHEN c_mktsegment = 'MACHINERY' THEN 'staff' "
+    "WHEN c_mktsegment = 'BUILDING' THEN 'admin' ELSE 'member' END AS role",
+    "CASE WHEN c_custkey % 23 <> 0 THEN CAST(c_custkey % 120 AS INT) END AS point",
+    "CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN concat(char(92), 'N') ELSE concat(c_mktsegment, "
+    "CASE WHEN c_custkey % 10 = 2 THEN concat(char(10), char(13), char(92), 'n', char(13), char(10), '\"', char(92), ',') ELSE ' ' END, "
+    "n_name) END AS description",
+    "CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '' ELSE concat('https://img.test/', CAST(c_custkey AS STRING)) END "
+    "AS profile_image_url",
+    f"date_sub(DATE '{AS_OF}', CAST(c_custkey % 2400 AS INT)) AS created_at",
+)
+_ACTIVITY_COLUMNS = (
+    "o_orderkey AS event_id",
+    "CAST(o_orderdate AS DATE) AS date",
+    "CASE WHEN o_orderkey % 43 <> 0 THEN concat('Route ', CAST(o_orderkey % 40 AS STRING)) END AS title",
+    "CASE WHEN o_orderkey % 37 <> 0 THEN o_custkey END AS host",
+    "CASE WHEN o_orderkey % 41 <> 0 THEN CAST(1 + o_orderkey % 5 AS INT) END AS score",
+    "CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('https://album.test/post/', CAST(o_orderkey AS STRING), '/') "
+    "WHEN 3 THEN concat('album', CAST(o_orderkey AS STRING)) WHEN 4 THEN 'https://album.test/none' "
+    "ELSE concat('\u2003https://album.test/post/', CAST(o_orderkey AS STRING), '\u00a0', char(9)) END AS album_url",
+)
+# Attendees with these keys are nobody's member key: members whose key is a
+# multiple of 13 never came, and the records of strangers stay in the table.
+STRANGER_OFFSET = 1_000_000_000
+_ATTENDANCE_COLUMNS = (
+    "l_orderkey AS event_id",
+    f"CASE WHEN l_partkey % 13 = 0 THEN l_partkey + {STRANGER_OFFSET} ELSE l_partkey END AS user_no",
+)
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "customer").alias("c")
+    c, n = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation")
     # nation's file is a few KB, which the planner sees and broadcasts by its
     # own size check
-    n = read_table(spark, sf_dir, "nation").alias("n")
-    k = F.col("c.c_custkey")
-    seg = F.col("c.c_mktsegment")
-    nname = F.col("n.n_name")
-    gender = F.when(k % 11 == 0, "M")
-    for rem, g in ((1, " male "), (2, "남\u3000"), (3, "F"), (4, "Woman"), (5, "\u00a0여성\u2009"),
-                   (6, "w"), (7, "Man"), (8, "x"), (9, "female")):
-        gender = gender.when(k % 11 == rem, g)
-    df = c.join(n, F.col("c.c_nationkey") == F.col("n.n_nationkey"), "left").select(
-        k.alias("user_no"),
-        F.concat(F.lit("Member "), (k - F.when(k % 7 == 4, 4).otherwise(0)).cast("string")).alias("name"),
-        F.when(k % 29 == 0, F.lit(None)).otherwise((1955 + k % 46).cast("int")).alias("birth_year"),
-        gender.alias("gender"),
-        F.when(k % 17 == 0, F.lit(None)).otherwise(nname).alias("area"),
-        F.when(k % 31 == 0, F.lit(None))
-        .when(seg == "HOUSEHOLD", "exmember")
-        .when(seg == "MACHINERY", "staff")
-        .when(seg == "BUILDING", "admin")
-        .otherwise("member").alias("role"),
-        F.when(k % 23 == 0, F.lit(None)).otherwise((k % 120).cast("int")).alias("point"),
-        F.when(k % 3 == 0, F.lit(None)).when(k % 10 == 1, F.lit(NULL_LOOKALIKE))
-        .otherwise(F.concat(seg, F.when(k % 10 == 2, F.lit(LINE_BREAKS)).otherwise(F.lit(" ")), nname)).alias("description"),
-        F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.lit(""))
-        .otherwise(F.concat(F.lit("https://img.test/"), k.cast("string"))).alias("profile_image_url"),
-        F.date_sub(F.lit(AS_OF), (k % 2400).cast("int")).alias("created_at"),
-    )
-    return df
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").selectExpr(*_MEMBER_COLUMNS)
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    ks = k.cast("string")
-    album = (
-        F.when(k % 6 == 0, F.lit(None))
-        .when(k % 6 == 1, F.lit(""))
-        .when(k % 6 == 2, F.concat(F.lit("https://album.test/post/"), ks, F.lit("/")))
-        .when(k % 6 == 3, F.concat(F.lit("album"), ks))
-        .when(k % 6 == 4, F.lit("https://album.test/none"))
-        .otherwise(F.concat(F.lit("\u2003https://album.test/post/"), ks, F.lit("\u00a0\t")))
-    )
-    return o.select(
-        k.alias("event_id"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        F.when(k % 43 != 0, F.concat(F.lit("Route "), (k % 40).cast("string"))).alias("title"),
-        F.when(k % 37 == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("host"),
-        F.when(k % 41 == 0, F.lit(None)).otherwise((1 + k % 5).cast("int")).alias("score"),
-        album.alias("album_url"),
-    )
-
-
-# Attendees with these keys are nobody's member key: members whose key is a
-# multiple of 13 never came, and the records of strangers stay in the table.
-STRANGER_OFFSET = 1_000_000_000
+    return read_table(spark, sf_dir, "orders").selectExpr(*_ACTIVITY_COLUMNS)
 
 
 def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
-    k = F.col("l_partkey")
-    return li.select(F.col("l_orderkey").alias("event_id"),
-                     F.when(k % 13 == 0, k + STRANGER_OFFSET).otherwise(k).alias("user_no"))
+    return read_table(spark, sf_dir, "lineitem").selectExpr(*_ATTENDANCE_COLUMNS)
 
 
 def load_club(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The three entities by name (lazy plans), cast to their schemas."""
-    return {"members": conform(members(spark, sf_dir), MEMBERS_SCHEMA),
-            "activities": conform(activities(spark, sf_dir), ACTIVITIES_SCHEMA),
-            "attendance": conform(attendance(spark, sf_dir), ATTENDANCE_SCHEMA)}
+    """The three entities by name (lazy plans), with the types of their schemas."""
+    return {"members": members(spark, sf_dir), "activities": activities(spark, sf_dir), "attendance": attendance(spark, sf_dir)}
 
 
 def load_tables(spark: SparkSession, sf_dir: str, register: bool = False) -> dict[str, DataFrame]:

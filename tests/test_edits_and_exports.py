@@ -45,6 +45,12 @@ def test_declared_schemas_are_the_files_schemas(spark, sf_small):
         assert tables.read_table(spark, sf_small, name).dtypes == spark.read.parquet(f"{sf_small}/{name}.parquet").dtypes
 
 
+def test_entities_have_the_types_of_their_schemas(spark, sf_small):
+    c = tables.load_club(spark, sf_small)
+    for name, schema in (("members", tables.MEMBERS_SCHEMA), ("activities", tables.ACTIVITIES_SCHEMA), ("attendance", tables.ATTENDANCE_SCHEMA)):
+        assert c[name].dtypes == [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+
 def test_csv_gives_back_every_text(spark, tmp_path):
     texts = ["line1\nline2", "a\r\nb\rc", "\\N", "\\", "\\n", "\\\\n\n\\", "", " lead and trail ", '"q",;', "\\\"", None, "\t", "é　"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "k bigint, t string, z string")
