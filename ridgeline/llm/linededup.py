@@ -12,8 +12,11 @@ occurrences has one row per window on its other side, so a hot window's
 occurrences can be split over tasks. Texts are read for the hashes and, by a
 join on row keys, for the documents that lose lines.
 
-Input cases: a null text stays null and has no lines; a text with fewer lines
-has no window; windows without a word are ignored. Rows that agree in doc_id and
+Input cases: a null text stays null and has no lines; a text with fewer lines is
+one window of all its lines, so a later copy of it loses them all and stays as
+an empty text (`short=False`: it has no window and never loses anything, which
+is what OP3_SQL states and the registered query returns); windows without a word
+are ignored. Rows that agree in doc_id and
 text are one occurrence and lose the same lines. Long texts are handled like
 others. A null doc_id comes first. Other columns are kept by `drop_repeats` and
 ignored otherwise.
@@ -29,32 +32,32 @@ from . import common as C
 LINES = 3
 
 
-def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """doc_id, row key, line (of the first, from 0) and hash of each window that has a word."""
+def line_windows(docs: DataFrame, lines: int = LINES, short: bool = True) -> DataFrame:
+    """doc_id, row key, line (of the first, from 0), size (in lines) and hash of each window that has a word."""
     split = docs.filter("text IS NOT NULL").select("doc_id", C.text_key().alias(C.KEY), F.split("text", "\n").alias("lines"))
-    starts = F.sequence(F.lit(1), F.size("lines") - (lines - 1))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("lines") - (lines - 1), F.lit(1)))
     window = F.array_join(F.slice("lines", F.col("line"), lines), "\n")
-    return (split.filter(F.size("lines") >= lines).select("doc_id", C.KEY, "lines", F.explode(starts).alias("line"))
-            .select("doc_id", C.KEY, (F.col("line") - 1).alias("line"), window.alias("window"))
+    return (split.filter(F.size("lines") >= (1 if short else lines)).select("doc_id", C.KEY, "lines", F.explode(starts).alias("line"))
+            .select("doc_id", C.KEY, (F.col("line") - 1).alias("line"), F.least(F.size("lines"), F.lit(lines)).alias("size"), window.alias("window"))
             .filter(F.col("window").rlike(r"[^\x20\x09-\x0D]"))
-            .select("doc_id", C.KEY, "line", F.unhex(F.md5("window")).alias("hash")))
+            .select("doc_id", C.KEY, "line", "size", F.unhex(F.md5("window")).alias("hash")))
 
 
-def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
+def repeated_lines(docs: DataFrame, lines: int = LINES, short: bool = True) -> DataFrame:
     """doc_id, row key and the line numbers (sorted array `gone`) that later occurrences cover, where there are any."""
-    found = line_windows(docs, lines)
+    found = line_windows(docs, lines, short)
     first = (found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", C.KEY, "line")).alias("first"))
              .filter("n > 1").select("hash", "first"))
     same_row = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col(C.KEY) == F.col(f"first.{C.KEY}"))
     later = found.join(first, "hash").filter(~same_row | (F.col("line") >= F.col("first.line") + lines))
-    covered = later.select("doc_id", C.KEY, F.explode(F.sequence(F.col("line"), F.col("line") + (lines - 1))).alias("line"))
+    covered = later.select("doc_id", C.KEY, F.explode(F.sequence(F.col("line"), F.col("line") + F.col("size") - 1)).alias("line"))
     return covered.groupBy("doc_id", C.KEY).agg(F.array_sort(F.collect_set("line")).alias("gone"))  # lines of one text
 
 
-def drop_repeats(docs: DataFrame, lines: int = LINES) -> DataFrame:
+def drop_repeats(docs: DataFrame, lines: int = LINES, short: bool = True) -> DataFrame:
     """docs with later occurrences cut out of text, and n_lines and n_gone (in place of columns so named)."""
     gone = C.free_name(docs, "gone")
-    joined = C.with_decisions(docs, repeated_lines(docs, lines).withColumnRenamed("gone", gone), "left")
+    joined = C.with_decisions(docs, repeated_lines(docs, lines, short).withColumnRenamed("gone", gone), "left")
     split = F.split("text", "\n")
     # the lines that go are looked up in a map, so that a text costs as much as it is long
     mapped = F.map_from_arrays(F.col(gone), F.transform(gone, lambda x: F.lit(True)))
@@ -66,7 +69,7 @@ def drop_repeats(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = drop_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"), short=False)
     return out.select("doc_id", "n_lines", "n_gone", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from ridgeline.llm.registry import ORACLE, QUERIES
 
 from oracle_check import compare, duck
-from ridgeline.llm import common, mixing, paritysketch, quality
+from ridgeline.llm import common, linededup, mixing, paritysketch, quality
 
 LABELS = [(7, 1, 0), (8, 1, 0), (9, 0, 0), (10, 1, 1), (5, None, 0), (None, 1, 1), (6, 1, 0), (6, 1, 0)]
 BENCHMARK = [(0, "alder1"), (1, None), (2, ""), (None, "other text with the same id"), (3, "other text with the same id"), (4, "one two three four")]
@@ -77,3 +77,11 @@ def test_no_labels_means_base_rules_and_rate_one(spark, tables, awkward):
     assert all(r.kept == (not r.base_failed) for r in verdicts)
     assert {r.rate for r in mixing.mix(docs, labels, mixing.TARGETS).collect()} == {1.0}
     assert paritysketch.keep_one(docs).filter("doc_id in (7, 8, 9)").count() == 1
+
+
+def test_texts_of_one_or_two_lines_are_windows(spark, tables):
+    texts = ["one line", "one line", "a\nb", "a\nb", "a\nb\nc", "x\na\nb\nc", " \n", " \n", None]
+    out = linededup.drop_repeats(common.table(spark, tables(documents=list(enumerate(texts))), "documents")).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_gone) for r in out} == {
+        0: ("one line", 1, 0), 1: ("", 1, 1), 2: ("a\nb", 2, 0), 3: ("", 2, 2), 4: ("a\nb\nc", 3, 0), 5: ("x", 4, 3),
+        6: (" \n", 2, 0), 7: (" \n", 2, 0), 8: (None, 0, 0)}
