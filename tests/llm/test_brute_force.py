@@ -116,6 +116,21 @@ def test_op5_words_beyond_the_frequent_ones_are_joined(spark, sf_small, monkeypa
     assert all(got[d][0] == n and math.isclose(got[d][1], s, rel_tol=1e-9) for d, (n, s) in want.items())
 
 
+@pytest.mark.parametrize("frequent", [1 << 20, 40, 0])
+def test_op5_contexts_of_five_bytes_looked_up_or_joined(spark, tables, monkeypatch, frequent):
+    monkeypatch.setattr(lmscore, "FREQUENT_GRAMS", frequent)
+    texts = [prose(i, 40) for i in range(20)] + [None, "", "a", "xyxyxyz", "never é seen \U0001F600", prose(3, 40)[:60] + "Q" + prose(4, 40)]
+    folder = tables(documents=list(enumerate(texts)))
+    got = {r.doc_id: (r.held_out, r.score) for r in E.queries()["op5_ppm"](spark, folder).collect()}
+    model = Trie(5)
+    for i, t in enumerate(texts):
+        if not got[i][0]:
+            model.learn(t)
+    assert 0 < sum(held for held, _ in got.values()) < len(texts)
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i][1], model.score(t), rel_tol=1e-9), i
+
+
 def test_ppm_probabilities_add_up_and_adaptive_learns(spark, tables):
     model = Trie()
     for t in ("abracadabra", "abc", ""):
