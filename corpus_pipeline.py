@@ -8,7 +8,7 @@ columns of documents.
 2. near_duplicates: of each group of near copies the smallest doc_id stays.
 3. decontaminate: rows contaminated with benchmark passages go.
 4. mix: rows are drawn so that expected domain tokens match the target weights
-   as far as no row is repeated; the clean domain keeps what it has.
+   as far as no row is repeated; rows that are most likely clean all stay.
 5. shard: the rows get shards and positions.
 
 Input cases: the stages' operators define them; an empty table passes through

@@ -134,22 +134,30 @@ def rate(steps: list[list[float]], max_rate: float) -> Column:
     return reduce(lambda r, step: moved(r, step, max_rate), steps, F.lit(1.0))
 
 
+def most_likely(known: list[str]) -> Column:
+    """The domain with the largest posterior, from the columns p0, p1, ..."""
+    return F.array_max(F.array(*[F.struct(F.col(f"p{k}").alias("p"), F.lit(d).alias("d")) for k, d in enumerate(known)]))["d"]
+
+
 def fit_rates(members: DataFrame, known: list[str], targets: dict[str, float], budget: float | None = None,
               hold: str | None = None, max_rate: float = 1e9) -> tuple[list[list[float]], dict[str, float]]:
     """The gradient steps and the token targets by domain.
 
     Targets are shares of `budget` tokens: by default as many as there are, or
-    with `hold` so many that this domain's target is what it has now.
+    with `hold` so many that this domain's target is what it has now. Documents
+    whose most likely domain is `hold` then keep rate 1, and the rates of the
+    others are fitted to the targets of the other domains.
     """
     size = len(known)
     tokens = F.col("tokens") * F.col("copies")
 
-    def sums(r: Column, *more: Column) -> np.ndarray:
+    def sums(rows: DataFrame, r: Column, *more: Column) -> np.ndarray:
         cols = [F.sum(r * tokens * F.col(f"p{k}")) for k in range(size)]
-        return np.array([x or 0.0 for x in members.agg(*cols, *more).first()])
+        return np.array([x or 0.0 for x in rows.agg(*cols, *more).first()])
 
-    r = F.lit(1.0)
-    first = sums(r, *[F.sum(tokens * F.col(f"p{k}") * F.col(f"p{j}")) for k in range(size) for j in range(size)])
+    r, free, rest, fitted = F.lit(1.0), members, np.zeros(size), np.ones(size)
+    products = [F.sum(tokens * F.col(f"p{k}") * F.col(f"p{j}")) for k in range(size) for j in range(size)]
+    first = sums(members, r, *products)
     expected, gram = first[:size], first[size:].reshape(size, size)
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in known])
     if share.sum() == 0 or expected.sum() == 0:
@@ -157,14 +165,17 @@ def fit_rates(members: DataFrame, known: list[str], targets: dict[str, float], b
     share = share / share.sum()
     if hold in known and share[known.index(hold)] > 0:
         budget = expected[known.index(hold)] / share[known.index(hold)]
+        free = members.filter(most_likely(known) != hold)
+        first, fitted[known.index(hold)] = sums(free, r, *products), 0.0
+        rest, gram = expected - first[:size], first[size:].reshape(size, size) * np.outer(fitted, fitted)
     wanted = share * (expected.sum() if budget is None else budget)
     inverse, steps = np.linalg.pinv(gram, rcond=1e-9), []
-    gap, step = expected - wanted, FIRST_STEP
+    gap, step = (expected - wanted) * fitted, FIRST_STEP
     while len(steps) < ROUNDS and np.abs(gap).max() > TOLERANCE * wanted.sum():
         steps.append((step * (inverse @ gap)).tolist())
         last, r = r, moved(r, steps[-1], max_rate)
-        found = sums(r, F.sum(tokens * (r - last) * (r - last)))
-        change = found[:size] - wanted - gap
+        found = sums(free, r, F.sum(tokens * (r - last) * (r - last)))
+        change = (found[:size] + rest - wanted) * fitted - gap
         gap = gap + change
         if np.abs(change).max() <= TOLERANCE * wanted.sum() / 10:  # the bounds allow no more
             break
@@ -184,9 +195,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: f
     steps, _ = fit_rates(members, known, targets, budget, hold, max_rate)
     chance = F.pmod(F.xxhash64(F.lit("mix"), C.KEY), F.lit(1 << 30)) / F.lit(float(1 << 30))
     p = [F.col(f"p{k}") for k in range(len(known))]
-    best = F.array_max(F.array(*[F.struct(x.alias("p"), F.lit(d).alias("d")) for x, d in zip(p, known, strict=True)]))["d"]
-    return members.withColumn("rate", rate(steps, max_rate)).select(
-        "doc_id", C.KEY, "copies", "tokens", best.alias("domain"),
+    rates = rate(steps, max_rate)
+    if hold in known and targets.get(hold, 0.0) > 0:
+        rates = F.when(most_likely(known) == hold, min(1.0, max_rate)).otherwise(rates)
+    return members.withColumn("rate", rates).select(
+        "doc_id", C.KEY, "copies", "tokens", most_likely(known).alias("domain"),
         *[(p[known.index(d)] if d in known else F.lit(0.0)).alias(f"p_{d}") for d in DOMAINS],
         "rate", F.floor(F.col("rate") + chance).cast("int").alias("draws"))
 

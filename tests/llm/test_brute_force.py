@@ -276,6 +276,25 @@ def test_mixing_rates_equal_a_direct_least_squares_fit(spark):
     assert np.allclose((rates * t) @ p, [wanted[d] for d in mixing.DOMAINS], atol=2e-4 * t.sum())
 
 
+def test_held_domain_keeps_all_its_rows_and_the_others_meet_their_targets(spark):
+    import numpy as np
+    import corpus_pipeline as P
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
+    out = mixing.mix(docs, labels, P.TARGETS, hold="clean", max_rate=1.0).collect()
+    assert all(r.rate == 1 and r.draws == 1 for r in out if r.domain == "clean")
+    clean = {r.doc_id for r in labels.collect() if (r.quality, r.toxic) == (1, 0)}
+    drawn = {r.doc_id for r in P.stage_mix(spark, docs, folder).collect()}
+    assert not [r.doc_id for r in out if r.doc_id in clean and r.domain == "clean" and r.doc_id not in drawn]
+    p, t = np.array([[r.p_clean, r.p_toxic, r.p_junk] for r in out]), np.array([r.tokens * r.copies for r in out])
+    got, budget = np.array([r.rate for r in out]) * t @ p, (t @ p)[0] / P.TARGETS["clean"]
+    free = np.array([r.domain != "clean" for r in out])
+    for k, d in ((1, "toxic"), (2, "junk")):
+        least = (t * ~free) @ p[:, k]
+        assert abs(got[k] - np.clip(P.TARGETS[d] * budget, least, (t @ p)[k])) < 1e-3 * budget, d
+
+
 CALL = '<tool_call>{"id":"%s","name":"%s","arguments":%s%s}</tool_call>'
 RESULT = '<tool_result>{"id":"%s","content":%s}</tool_result>'
 
