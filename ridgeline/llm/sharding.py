@@ -107,22 +107,38 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return m.filter(F.col("version") == version).select("virtual_slot", "shard")
 
 
+def newest_map(spark: SparkSession, path: str, n_slots: int) -> tuple[int, list[int]] | None:
+    """The newest version stored at path and its number, or None where no map is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    version = spark.read.parquet(path).agg(F.max("version")).first()[0]
+    shard_of = {r["virtual_slot"]: r["shard"] for r in load_map(spark, path, version).collect()}  # n_slots rows
+    if sorted(shard_of) != list(range(n_slots)):
+        raise ValueError(f"the map at {path} does not have the slots 0 to {n_slots - 1}")
+    return version, [shard_of[s] for s in range(n_slots)]
+
+
 def assign_shards(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
     """Every record with its shard under the rebalanced map and its position there.
 
     `slot` numbers the records of a shard from 0 without gaps: records before
     the virtual slot (from the slot counts) and the record's rank within it.
     The window's groups are virtual slots, so thousands share the work.
-    `path`: the map's versions (0: initial, 1: rebalanced) are stored there.
+    `path`: the map's versions (0: initial, 1: rebalanced) are stored there. If
+    it holds a map, the newest version is edited and stored as the next one;
+    slots of shards that are no longer there are first dealt out in turn.
     """
     spark, recs = docs.sparkSession, records(docs, n_slots)
     sizes = {r["virtual_slot"]: r for r in slot_sizes(recs).collect()}  # at most n_slots rows
-    first = initial_map(n_slots, n_shards)
+    stored = newest_map(spark, path, n_slots) if path else None
+    version, first = stored or (0, initial_map(n_slots, n_shards))
+    first = [shard if shard < n_shards else s % n_shards for s, shard in enumerate(first)]
     second = rebalance(first, [sizes[s]["bytes"] if s in sizes else 0 for s in range(n_slots)], n_shards)
-    versions = map_table(spark, {0: first, 1: second})
+    versions = map_table(spark, {version + 1: second} if stored else {version: first, version + 1: second})
     if path:
         save_map(versions, path)
-        current = load_map(spark, path, 1)
+        current = load_map(spark, path, version + 1)
     else:
         current = versions.filter("version = 1").select("virtual_slot", "shard")
     before, start = [0] * n_shards, []

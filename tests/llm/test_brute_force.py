@@ -246,6 +246,20 @@ def test_slot_map_edits_and_versions(spark, tmp_path):
     assert sharding.load_map(spark, str(tmp_path / "m"), 0).count() == 4096
 
 
+def test_assign_shards_edits_a_stored_map(spark, sf_small, tmp_path):
+    docs, path = common.table(spark, sf_small, "documents"), str(tmp_path / "m")
+    n = docs.count()
+    maps = []
+    for shards in (8, 9, 3):
+        out = sharding.assign_shards(docs, shards, path=path).collect()
+        assert len(out) == n and {r.shard for r in out} == set(range(shards))
+        maps.append({r.virtual_slot: r.shard for r in sharding.load_map(spark, path).collect()})
+        assert all(maps[-1][r.virtual_slot] == r.shard for r in out)
+    stored = Counter((r.version, r.virtual_slot) for r in spark.read.parquet(path).collect())
+    assert set(stored) == {(v, s) for v in range(4) for s in range(4096)} and set(stored.values()) == {1}
+    assert sum(maps[0][s] == maps[1][s] for s in range(4096)) > 4096 * 0.6
+
+
 def test_op1_targets_and_rates(spark):
     folder = "/root/testdata/sf0.01"
     docs = dict(documents(spark, folder))
