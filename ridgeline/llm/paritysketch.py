@@ -375,7 +375,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     labelled = (plain.join(stars, plain["class"] == stars["u"], "left")
                 .select("doc_id", C.KEY, "n", F.when(F.col("n") > 0, F.coalesce("v", "class")).alias("label")))
     least = labelled.filter("label IS NOT NULL").groupBy("label").agg(
-        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", C.KEY))).alias("component"))
+        F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", C.KEY))), F.min(F.struct("doc_id", C.KEY))).alias("component"))
     return (labelled.join(least, "label", "left")
             .select("doc_id", C.KEY, "n", F.coalesce("component", F.struct("doc_id", C.KEY)).alias("component")))
 

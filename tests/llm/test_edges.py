@@ -79,6 +79,16 @@ def test_no_labels_means_base_rules_and_rate_one(spark, tables, awkward):
     assert paritysketch.keep_one(docs).filter("doc_id in (7, 8, 9)").count() == 1
 
 
+def test_keep_one_of_near_copies_without_ids(spark, tables):
+    text = " ".join(f"word{i}" for i in range(100))
+    near = [(None, text + f" end{k}") for k in range(4)]
+    other = [(None, "quite another text of seven words"), (3, text.replace("word", "x")), (None, text.replace("word", "x") + " end")]
+    docs = common.table(spark, tables(documents=near + other), "documents")
+    kept = [(r.doc_id, r.text) for r in paritysketch.keep_one(docs).collect()]
+    assert len(kept) == 3 and len(set(kept) & set(near)) == 1 and other[1] in kept and other[0] in kept
+    assert {r.doc_id for r in paritysketch.near_duplicates(docs).select("component.doc_id").collect()} == {None, 3}
+
+
 def test_texts_of_one_or_two_lines_are_windows(spark, tables):
     texts = ["one line", "one line", "a\nb", "a\nb", "a\nb\nc", "x\na\nb\nc", " \n", " \n", None]
     out = linededup.drop_repeats(common.table(spark, tables(documents=list(enumerate(texts))), "documents")).collect()
