@@ -83,6 +83,29 @@ def test_cluster_conf_sizes_partitions_from_the_largest_shuffle():
     assert int(cluster_conf(1)["spark.sql.shuffle.partitions"]) == 200
 
 
+def test_cluster_settings_are_accepted_and_keep_results(spark, sf_small):
+    from oracle_check import compare, duck
+
+    from ridgeline.session import cluster_conf
+
+    conf = cluster_conf(64 * 1024 ** 3)  # 256 shuffle partitions, so that the run is short
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+            assert spark.conf.get(k) == v
+        con = duck(sf_small)
+        for name in ("member_summary", "first_attendance"):
+            ok, msg = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], sf_small)
+            assert ok, msg
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def test_day_partitioned_activities_prune_directories(spark, sf_small):
     from ridgeline.operators import filters
     from ridgeline.session import shared_dir
