@@ -14,9 +14,7 @@ join on row keys, for the documents that lose lines.
 
 Input cases: a null text stays null and has no lines; a text with fewer lines is
 one window of all its lines, so a later copy of it loses them all and stays as
-an empty text (`short=False`: it has no window and never loses anything, which
-is what OP3_SQL states and the registered query returns); windows without a word
-are ignored. Rows that agree in doc_id and
+an empty text; windows without a word are ignored. Rows that agree in doc_id and
 text are one occurrence and lose the same lines. Long texts are handled like
 others. A null doc_id comes first. Other columns are kept by `drop_repeats` and
 ignored otherwise.
@@ -32,20 +30,20 @@ from . import common as C
 LINES = 3
 
 
-def line_windows(docs: DataFrame, lines: int = LINES, short: bool = True) -> DataFrame:
+def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """doc_id, row key, line (of the first, from 0), size (in lines) and hash of each window that has a word."""
     split = docs.filter("text IS NOT NULL").select("doc_id", C.text_key().alias(C.KEY), F.split("text", "\n").alias("lines"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("lines") - (lines - 1), F.lit(1)))
     window = F.array_join(F.slice("lines", F.col("line"), lines), "\n")
-    return (split.filter(F.size("lines") >= (1 if short else lines)).select("doc_id", C.KEY, "lines", F.explode(starts).alias("line"))
+    return (split.select("doc_id", C.KEY, "lines", F.explode(starts).alias("line"))
             .select("doc_id", C.KEY, (F.col("line") - 1).alias("line"), F.least(F.size("lines"), F.lit(lines)).alias("size"), window.alias("window"))
             .filter(F.col("window").rlike(r"[^\x20\x09-\x0D]"))
             .select("doc_id", C.KEY, "line", "size", F.unhex(F.md5("window")).alias("hash")))
 
 
-def repeated_lines(docs: DataFrame, lines: int = LINES, short: bool = True) -> DataFrame:
+def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """doc_id, row key and the line numbers (sorted array `gone`) that later occurrences cover, where there are any."""
-    found = line_windows(docs, lines, short)
+    found = line_windows(docs, lines)
     first = (found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", C.KEY, "line")).alias("first"))
              .filter("n > 1").select("hash", "first"))
     same_row = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col(C.KEY) == F.col(f"first.{C.KEY}"))
@@ -54,10 +52,10 @@ def repeated_lines(docs: DataFrame, lines: int = LINES, short: bool = True) -> D
     return covered.groupBy("doc_id", C.KEY).agg(F.array_sort(F.collect_set("line")).alias("gone"))  # lines of one text
 
 
-def drop_repeats(docs: DataFrame, lines: int = LINES, short: bool = True) -> DataFrame:
+def drop_repeats(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """docs with later occurrences cut out of text, and n_lines and n_gone (in place of columns so named)."""
     gone = C.free_name(docs, "gone")
-    joined = C.with_decisions(docs, repeated_lines(docs, lines, short).withColumnRenamed("gone", gone), "left")
+    joined = C.with_decisions(docs, repeated_lines(docs, lines).withColumnRenamed("gone", gone), "left")
     split = F.split("text", "\n")
     # the lines that go are looked up in a map, so that a text costs as much as it is long
     mapped = F.map_from_arrays(F.col(gone), F.transform(gone, lambda x: F.lit(True)))
@@ -69,22 +67,22 @@ def drop_repeats(docs: DataFrame, lines: int = LINES, short: bool = True) -> Dat
 
 
 def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"), short=False)
+    out = drop_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_gone", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 w AS (
-  SELECT doc_id, i, array_to_string(lines[i + 1:i + 3], chr(10)) AS win
-  FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS i FROM d WHERE len(lines) >= 3)
+  SELECT doc_id, i, least(len(lines), 3) AS size, array_to_string(lines[i + 1:i + 3], chr(10)) AS win
+  FROM (SELECT doc_id, lines, unnest(range(0, greatest(len(lines) - 2, 1))) AS i FROM d WHERE text IS NOT NULL)
 ), v AS (SELECT * FROM w WHERE regexp_matches(win, '[^\x20\x09-\x0D]')),
 r AS (
-  SELECT doc_id, i, first_value(doc_id) OVER o AS d0, first_value(i) OVER o AS i0
+  SELECT doc_id, i, size, first_value(doc_id) OVER o AS d0, first_value(i) OVER o AS i0
   FROM v WINDOW o AS (PARTITION BY win ORDER BY doc_id NULLS FIRST, i)
 ), gone AS (
   SELECT doc_id, list(DISTINCT p) AS gone
-  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE doc_id IS DISTINCT FROM d0 OR i >= i0 + 3) GROUP BY doc_id
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM r WHERE doc_id IS DISTINCT FROM d0 OR i >= i0 + 3) GROUP BY doc_id
 ), t AS (
   SELECT d.doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(gone), 0) AS n_gone,
     CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, k: NOT list_contains(gone, k - 1)), chr(10)) END AS text

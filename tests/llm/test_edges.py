@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 import __spark_entry__ as E
@@ -91,7 +92,14 @@ def test_keep_one_of_near_copies_without_ids(spark, tables):
 
 def test_texts_of_one_or_two_lines_are_windows(spark, tables):
     texts = ["one line", "one line", "a\nb", "a\nb", "a\nb\nc", "x\na\nb\nc", " \n", " \n", None]
-    out = linededup.drop_repeats(common.table(spark, tables(documents=list(enumerate(texts))), "documents")).collect()
+    folder = tables(documents=list(enumerate(texts)))
+    out = linededup.drop_repeats(common.table(spark, folder, "documents")).collect()
+    gone = {r.doc_id: (r.n_lines, r.n_gone) for r in E.queries()["op3_line_windows"](spark, folder).collect()}
+    assert gone == {r.doc_id: (r.n_lines, r.n_gone) for r in out}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    ok, msg = compare(spark, con, "op3_line_windows", E.queries()["op3_line_windows"], E.oracle_sql()["op3_line_windows"], folder)
+    assert ok, msg
     assert {r.doc_id: (r.text, r.n_lines, r.n_gone) for r in out} == {
         0: ("one line", 1, 0), 1: ("", 1, 1), 2: ("a\nb", 2, 0), 3: ("", 2, 2), 4: ("a\nb\nc", 3, 0), 5: ("x", 4, 3),
         6: (" \n", 2, 0), 7: (" \n", 2, 0), 8: (None, 0, 0)}
