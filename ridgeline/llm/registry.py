@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, linededup, lmscore, mixing, paritysketch, quality, secretscan, sharding
+from . import chat, decontaminate, hardneg, langid, linededup, lmscore, mixing, paritysketch, quality, secretscan, sharding, vectorcodes
 
 QUERIES = {
     "op9_tool_links": chat.op9_tool_links,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_parity_sketch": paritysketch.op8_parity_sketch,
     "op7_isolation_rules": quality.op7_isolation_rules,
     "op10_virtual_slots": sharding.op10_virtual_slots,
+    "op11_hard_negatives": hardneg.op11_hard_negatives,
+    "op12_cover_tree_codes": vectorcodes.op12_cover_tree_codes,
 }
 ORACLE: dict[str, str] = {
     "op8_parity_sketch": paritysketch.OP8_SQL,
     "op9_tool_links": chat.OP9_SQL,
     "op3_line_windows": linededup.OP3_SQL,
     "op6_prefix_windows": decontaminate.OP6_SQL,
+    "op11_hard_negatives": hardneg.OP11_SQL,
+    "op12_cover_tree_codes": vectorcodes.OP12_SQL,
 }
