@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hardneg, langid, linededup, lmscore, mixing, paritysketch, quality, secretscan, sharding, vectorcodes
+from . import chat, decontaminate, hardneg, langid, linededup, lmscore, minhash, mixing, paritysketch, quality, secretscan, sharding, vectorcodes
 
 QUERIES = {
     "op9_tool_links": chat.op9_tool_links,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_virtual_slots": sharding.op10_virtual_slots,
     "op11_hard_negatives": hardneg.op11_hard_negatives,
     "op12_cover_tree_codes": vectorcodes.op12_cover_tree_codes,
+    "op13_bayes_minhash": minhash.op13_bayes_minhash,
 }
 ORACLE: dict[str, str] = {
     "op8_parity_sketch": paritysketch.OP8_SQL,
@@ -25,4 +26,5 @@ ORACLE: dict[str, str] = {
     "op6_prefix_windows": decontaminate.OP6_SQL,
     "op11_hard_negatives": hardneg.OP11_SQL,
     "op12_cover_tree_codes": vectorcodes.OP12_SQL,
+    "op13_bayes_minhash": minhash.OP13_SQL,
 }
