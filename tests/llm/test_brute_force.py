@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import __spark_entry__ as E
-from ridgeline.llm import chat, common, components, lmscore, mixing, paritysketch, secretscan, sharding
+from ridgeline.llm import chat, common, components, lmscore, minhash, mixing, paritysketch, secretscan, sharding
 from ridgeline.llm.lmscore import Trie
 
 from planted import prose
@@ -28,13 +28,13 @@ def documents(spark, folder):
     return [(r.doc_id, r.text) for r in common.table(spark, folder, "documents").select("doc_id", "text").collect()]
 
 
-def shingle_set(text):
+def shingle_set(text, k=5):
     w = words((text or "").translate(LOWER))
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def near_components(docs):
-    sets, parent, shared, common_n = {d: shingle_set(t) for d, t in docs}, {}, defaultdict(list), Counter()
+def near_components(docs, k=5):
+    sets, parent, shared, common_n = {d: shingle_set(t, k) for d, t in docs}, {}, defaultdict(list), Counter()
 
     def find(x):
         while parent.get(x, x) != x:
@@ -63,21 +63,65 @@ def test_op8_on_the_smallest_tables(spark, sf_small):
     assert got == near_components(documents(spark, sf_small))
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_op8_near_copies_of_all_sizes_and_split_buckets(spark, tables, monkeypatch, block):
-    monkeypatch.setattr(paritysketch, "BLOCK", block)
+def near_copies():
+    """Near copies of texts of many lengths, cuts near the threshold, and a chain that is linked step by step only."""
     docs, n = [], 0
     for size in (3, 5, 6, 9, 26, 27, 80, 81, 100, 240, 243, 800, 2500):
         text = prose(size, size)
         for k in range(6):
             docs.append((n, mutated(text, (0, 0.005, 0.01, 0.02, 0.03, 0.04)[k], size * 10 + k)))
             n += 1
-        docs.append((n, " ".join(words(text)[: max(1, int(size * 0.82))])))  # near the threshold by length
+        docs.append((n, " ".join(words(text)[: max(1, int(size * 0.82))])))
         n += 1
     chain = words(prose(99, 120))
-    for k in range(8):  # linked step by step only
+    for k in range(8):
         docs.append((n, " ".join(chain[3 * k:] + [f"tail{j}" for j in range(3 * k)])))
         n += 1
+    return docs
+
+
+@pytest.mark.parametrize("limit", [2048, 2])
+def test_op13_near_copies_of_all_sizes_and_hot_buckets(spark, tables, monkeypatch, limit):
+    monkeypatch.setattr(minhash.near_duplicates, "__defaults__", (4, 80, limit))
+    docs = near_copies()
+    docs += [(1000 + i, " ".join(words(prose(7, 60))[:45] + [f"own{i}x{j}" for j in range(9)])) for i in range(30)]  # alike, but not enough
+    docs += [(2000 + i, mutated(prose(8, 200), 0.025, i)) for i in range(40)]  # a group around the threshold
+    folder = tables(documents=docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in E.queries()["op13_bayes_minhash"](spark, folder).collect()}
+    assert got == near_components(docs, 4)
+
+
+def test_op13_on_the_smallest_tables(spark, sf_small):
+    out = E.queries()["op13_bayes_minhash"](spark, sf_small).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == near_components(documents(spark, sf_small), 4)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+
+
+def test_sequential_verification_bounds():
+    import numpy as np
+
+    for n in (32, 64, 96, 128):  # against the Beta posterior, integrated numerically
+        x = np.linspace(0, 1, 200001)
+        for miss in (1e-6, 1e-3):
+            least = minhash.least_matches(n, 80, miss)
+            for m, reaches in ((least - 1, False), (least, True)):
+                logs = m * np.log(np.maximum(x, 1e-300)) + (n - m) * np.log(np.maximum(1 - x, 1e-300))
+                density = np.exp(logs - logs.max())
+                assert (density[x >= 0.8].sum() / density.sum() >= miss) == reaches
+    r = np.random.default_rng(1)
+    misses = 0
+    for _ in range(2000):  # pairs of similarity 0.8: the estimate drops none of them
+        base = r.integers(0, 2 ** 63, 90).astype(np.uint64)
+        sets = [np.sort(np.concatenate([base[:80], r.integers(0, 2 ** 63, 10).astype(np.uint64)])) for _ in range(2)]
+        signed = np.concatenate([minhash.signatures(s, np.zeros(90, np.int64), 1) for s in sets])
+        misses += len(minhash.plausible(signed, np.array([90, 90]), np.array([0]), np.array([1]), 80)) == 0
+    assert misses == 0
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_op8_near_copies_of_all_sizes_and_split_buckets(spark, tables, monkeypatch, block):
+    monkeypatch.setattr(paritysketch, "BLOCK", block)
+    docs = near_copies()
     folder = tables(documents=docs)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in E.queries()["op8_parity_sketch"](spark, folder).collect()}
     assert got == near_components(docs)
