@@ -180,10 +180,10 @@ def top_hosts(a: DataFrame, m: DataFrame, month: str, n: int = 3) -> DataFrame:
             .limit(n))
 
 
-def top_attendees(a: DataFrame, at: DataFrame, m: DataFrame, month: str, n: int = 3) -> DataFrame:
-    """Highest Σ score of the month, grouped by (name, image)."""
+def top_attendees(a: DataFrame, at: DataFrame, m: DataFrame, month: str, n: int = 3, prune: bool = False) -> DataFrame:
+    """Highest Σ score of the month, grouped by (name, image). `prune`: see `joins.activity_attendees`."""
     acts = month_filter(a, month).select("event_id", "score")
-    per_user = (month_attendance(at, month).join(acts, "event_id")
+    per_user = (month_attendance(at, month, acts if prune else None).join(acts, "event_id")
                 .groupBy("user_no").agg(F.sum("score").alias("_s")))
     j = per_user.join(m.select("user_no", "name", "profile_image_url"), "user_no")
     g = j.groupBy("name", "profile_image_url").agg(F.sum("_s").cast("bigint").alias("score"))

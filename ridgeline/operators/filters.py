@@ -55,17 +55,47 @@ def month_filter(a: DataFrame, month: str | None, date_col: str = "date") -> Dat
 ACTIVITY_MONTH = "activity_month"
 
 
-def month_attendance(at: DataFrame, month: str | None) -> DataFrame:
+def month_attendance(at: DataFrame, month: str | None, acts: DataFrame | None = None) -> DataFrame:
     """Attendance records that can belong to the month's activities.
 
     Attendance stored with its activity's month (`tables.save_attendance_by_month`)
     has an `activity_month` partition column: filtering it prunes the scan to
-    one month's files before any join. Plain attendance is returned as it is;
-    the join with the month's activities then does the filtering.
+    one month's files before any join. Of plain attendance, a bitmap of the keys of
+    `acts` (the month's activities) drops nearly all other records at the scan;
+    without `acts` it is returned as it is. The exact join follows in any case.
     """
     if month and month != "all" and ACTIVITY_MONTH in at.columns:
         return at.filter(F.col(ACTIVITY_MONTH) == F.lit(month))
-    return at
+    return at if acts is None else prune_by_keys(at, acts)
+
+
+# Bits of a bitmap row, and rows of the id bitmap: 256 rows of 4 KB, whatever the ids.
+_BITMAP_BITS = 32768
+BITMAP_ROWS = 256
+
+
+def id_bitmap(keys: DataFrame, key: str = "event_id") -> DataFrame:
+    """(row, bits): the hashes of the keys as bits of a table of at most `BITMAP_ROWS` x 4 KB."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAP_ROWS * _BITMAP_BITS))
+    return (keys.select(F.floor(place / _BITMAP_BITS).cast("int").alias("row"), (place % _BITMAP_BITS).alias("_bit"))
+            .groupBy("row").agg(F.bitmap_construct_agg("_bit").alias("bits")))
+
+
+def prune_by_keys(rows: DataFrame, keys: DataFrame, key: str = "event_id") -> DataFrame:
+    """Rows whose key may be among `keys`: all that are, and few others.
+
+    The bitmap (1 MB at most, so it is broadcast) is tested where the rows are
+    scanned, before any exchange; the exact join follows. With many more keys
+    than bits it lets most rows through and changes nothing else. Rows without
+    a key go. The keys must have the same type on both sides.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAP_ROWS * _BITMAP_BITS))
+    marked = rows.withColumns({"_row": F.floor(place / _BITMAP_BITS).cast("int"), "_bit": (place % _BITMAP_BITS).cast("int")})
+    found = marked.filter(F.col(key).isNotNull()).join(
+        F.broadcast(id_bitmap(keys, key).withColumnRenamed("row", "_row").withColumnRenamed("bits", "_bits")), "_row")
+    # bitmap_construct_agg sets bit (p % 8) of byte (p / 8)
+    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    return found.filter(F.getbit(byte, F.col("_bit") % 8) == 1).select(*rows.columns)
 
 
 def facet_values(t: DataFrame, facets: Mapping[str, Column]) -> DataFrame:

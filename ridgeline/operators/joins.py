@@ -40,13 +40,15 @@ def upcoming_with_host(a: DataFrame, m: DataFrame, as_of, n: int = 3) -> DataFra
     )
 
 
-def activity_attendees(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> DataFrame:
+def activity_attendees(a: DataFrame, at: DataFrame, m: DataFrame, month: str, prune: bool = False) -> DataFrame:
     """One row per attendance record of the month, with member details.
 
     Listed by `attendee_order`; consumers that only aggregate skip the sort.
+    `prune`: drop other months' records by a bitmap before they are shuffled
+    (for plain attendance with a month too large to broadcast).
     """
     acts = month_filter(a, month).select("event_id", "date", "title", "album_url")
-    j = month_attendance(at, month).join(acts, "event_id").join(m.select("user_no", "birth_year", "name"), "user_no")
+    j = month_attendance(at, month, acts if prune else None).join(acts, "event_id").join(m.select("user_no", "birth_year", "name"), "user_no")
     return j.select("event_id", "user_no", "date", "title", "album_url", "birth_year", "name")
 
 

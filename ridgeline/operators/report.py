@@ -43,16 +43,17 @@ def _name_order() -> list[Column]:
             F.col("name").isNull().alias("_nn"), F.col("name").alias("_n")]
 
 
-def activity_digest(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> DataFrame:
+def activity_digest(a: DataFrame, at: DataFrame, m: DataFrame, month: str, prune: bool = False) -> DataFrame:
     """The month's attendance grouped by (date, title).
 
     One row per (date, title, birth_year, name) with its multiplicity `n`;
     `headcount` (all records of the group) and `album_url` (the URL of the
     group's first record in birth-year, name order) repeat on each row. The
     attendee list is these rows in (birth_year, name) order, NULLs last —
-    built by two partial aggregations, never as one collected list.
+    built by two partial aggregations, never as one collected list. `prune`: see
+    `joins.activity_attendees`.
     """
-    grp, names = digest_parts(a, at, m, month)
+    grp, names = digest_parts(a, at, m, month, prune)
     return names.join(grp, ["date", "title"]).select(
         "date", "title", "headcount", "album_url", "birth_year", "name", "n")
 
@@ -68,7 +69,7 @@ def name_key() -> Column:
                     F.coalesce(F.col("name"), F.lit("")))
 
 
-def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> tuple[DataFrame, DataFrame]:
+def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str, prune: bool = False) -> tuple[DataFrame, DataFrame]:
     """(per-group headcount / album URL / first and last name keys, per-group name multiplicities).
 
     The month's attendance is reduced once to (date, title, birth_year, name)
@@ -76,7 +77,7 @@ def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str) -> tuple
     derived from those counts (both plans share the exchange below them).
     Activities without a title make no group.
     """
-    j = activity_attendees(a, at, m, month).filter(F.col("title").isNotNull())
+    j = activity_attendees(a, at, m, month, prune).filter(F.col("title").isNotNull())
     names = j.groupBy("date", "title", "birth_year", "name").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.min_by("album_url", F.col("event_id")).alias("_album"))

@@ -16,10 +16,10 @@ from ..functions import expr as X
 from ..functions import lookups as L
 from ..operators import aggs, filters, joins, report, writes
 from ..session import shared_dir
-from ..sources import feeds, tables
+from ..sources import feeds, tables, versions
 from ..sources.tables import AS_OF, FIRST_MONTH, MONTH
 from . import inputs
-from .summary import member_summary
+from .summary import member_summary, score_state, summary_of, update_scores, visits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -193,6 +193,12 @@ def q_activity_attendees(spark, sf):
     return joins.activity_attendees(a, at, m, MONTH).drop("event_id", "user_no").orderBy(*joins.attendee_order())
 
 
+def q_activity_attendees_pruned(spark, sf):
+    """J2 on plain attendance, other months dropped by a bitmap before the exchange."""
+    m, a, at = _club(spark, sf)
+    return joins.activity_attendees(a, at, m, MONTH, prune=True).drop("event_id", "user_no").orderBy(*joins.attendee_order())
+
+
 def q_birth_year_attendance(spark, sf):
     m, a, at = _club(spark, sf)
     return joins.birth_year_attendance(m, a, at, MONTH)
@@ -296,6 +302,11 @@ def q_top_attendees(spark, sf):
     return aggs.top_attendees(a, at, m, MONTH, 3)
 
 
+def q_top_attendees_pruned(spark, sf):
+    m, a, at = _club(spark, sf)
+    return aggs.top_attendees(a, at, m, MONTH, 3, prune=True)
+
+
 def q_popular_activities(spark, sf):
     m, a, at = _club(spark, sf)
     return aggs.popular_activities(a, at, MONTH, 3)
@@ -345,11 +356,7 @@ def q_cascade_delete(spark, sf):
 def q_replace_attendance(spark, sf):
     m, a, at = _club(spark, sf)
     batch, picked = inputs.attendance_selection(a, at, m, MONTH)
-    lab = filters.current_members(m).withColumn(
-        "label", X.option_label(F.col("birth_year"), F.col("name"), F.col("area")))
-    keys = joins.label_to_key(lab, "label", "user_no", joins.roster_order())
-    sel = picked.join(keys, "label").select("event_id", "user_no")
-    return writes.replace_attendance(at, batch, sel)
+    return writes.replace_attendance(at, batch, _selections(m, picked))
 
 
 def q_extract_event_id(spark, sf):
@@ -388,6 +395,68 @@ def q_save_counts(spark, sf):
     return members.unionByName(acts)
 
 
+# Saves on the versioned store: they write when they are called (as the exports do),
+# to a fresh folder that is removed when the application ends.
+
+def _store(spark: SparkSession, sf: str) -> versions.ClubStore:
+    m, a, at = _club(spark, sf)
+    store = versions.ClubStore(spark, shared_dir(spark, "club"))
+    store.create(a, at)
+    return store
+
+
+def _grid_saved(spark: SparkSession, sf: str) -> versions.ClubStore:
+    m, a, at = _club(spark, sf)
+    store = _store(spark, sf)
+    versions.save_activity_grid(store, store.latest(), *inputs.activity_grid(a, MONTH))
+    return store
+
+
+def q_grid_saved_activities(spark, sf):
+    """W6 as one commit: the activities of the version after the save."""
+    return _grid_saved(spark, sf).read("activities")
+
+
+def q_grid_saved_attendance(spark, sf):
+    """W6 as one commit: the attendance of the same version."""
+    return _grid_saved(spark, sf).read("attendance").drop(filters.ACTIVITY_MONTH)
+
+
+def q_month_cascade_delete(spark, sf):
+    """W3 on the store: one month's folders read and written."""
+    m, a, at = _club(spark, sf)
+    store = _store(spark, sf)
+    versions.delete_activities(store, store.latest(), MONTH, writes.removed_keys(*inputs.activity_grid(a, MONTH), "event_id"))
+    return store.read("attendance").drop(filters.ACTIVITY_MONTH)
+
+
+def _selections(m: DataFrame, picked: DataFrame) -> DataFrame:
+    lab = filters.current_members(m).withColumn(
+        "label", X.option_label(F.col("birth_year"), F.col("name"), F.col("area")))
+    keys = joins.label_to_key(lab, "label", "user_no", joins.roster_order())
+    return picked.join(keys, "label").select("event_id", "user_no")
+
+
+def q_month_replace_attendance(spark, sf):
+    """W4 on the store: one month's folders read and written."""
+    m, a, at = _club(spark, sf)
+    store = _store(spark, sf)
+    batch, picked = inputs.attendance_selection(a, at, m, MONTH)
+    versions.save_attendance(store, store.latest(), MONTH, batch, _selections(m, picked))
+    return store.read("attendance").drop(filters.ACTIVITY_MONTH)
+
+
+def q_summary_after_save(spark, sf):
+    """J8 kept up to date: the figures per member before a W4 save, updated by what the save changed."""
+    m, a, at = _club(spark, sf)
+    batch, picked = inputs.attendance_selection(a, at, m, MONTH)
+    chosen = _selections(m, picked)
+    now = writes.replace_attendance(at, batch, chosen)
+    state = score_state(a, at, AS_OF)
+    changed = update_scores(state, visits(a, chosen.distinct()), visits(a, at.join(batch, "event_id", "left_semi")), visits(a, now), AS_OF)
+    return summary_of(m, changed, AS_OF)
+
+
 # ---- report ------------------------------------------------------------------------
 
 def q_activity_digest(spark, sf):
@@ -395,6 +464,11 @@ def q_activity_digest(spark, sf):
     return report.activity_digest(a, at, m, MONTH)
 
 
+def q_activity_digest_pruned(spark, sf):
+    m, a, at = _club(spark, sf)
+    return report.activity_digest(a, at, m, MONTH, prune=True)
+
+
 def q_milestones(spark, sf):
     return report.milestones(_summary(spark, sf))
 
@@ -430,6 +504,9 @@ def q_next_briefing(spark, sf):
     return report.next_briefing(a, AS_OF, 3)
 
 
+# Queries that write when they are called: exports and saves.
+WRITING = ("export_csv", "export_activities_csv", "grid_saved_activities", "grid_saved_attendance", "month_cascade_delete", "month_replace_attendance")
+
 QUERIES: dict[str, Query] = {
     # sources
     "load_tables": q_load_tables,
@@ -457,6 +534,7 @@ QUERIES: dict[str, Query] = {
     # joins
     "upcoming_with_host": q_upcoming_with_host,
     "activity_attendees": q_activity_attendees,
+    "activity_attendees_pruned": q_activity_attendees_pruned,
     "birth_year_attendance": q_birth_year_attendance,
     "attending_members": q_attending_members,
     "area_geo": q_area_geo,
@@ -477,6 +555,7 @@ QUERIES: dict[str, Query] = {
     "annual_stats": q_annual_stats,
     "top_hosts": q_top_hosts,
     "top_attendees": q_top_attendees,
+    "top_attendees_pruned": q_top_attendees_pruned,
     "popular_activities": q_popular_activities,
     "first_attendance": q_first_attendance,
     "birth_years": q_birth_years,
@@ -493,8 +572,14 @@ QUERIES: dict[str, Query] = {
     "apply_grid_edits_attendance": q_apply_grid_edits_attendance,
     "save_members": q_save_members,
     "save_counts": q_save_counts,
+    "grid_saved_activities": q_grid_saved_activities,
+    "grid_saved_attendance": q_grid_saved_attendance,
+    "month_cascade_delete": q_month_cascade_delete,
+    "month_replace_attendance": q_month_replace_attendance,
+    "summary_after_save": q_summary_after_save,
     # report
     "activity_digest": q_activity_digest,
+    "activity_digest_pruned": q_activity_digest_pruned,
     "milestones": q_milestones,
     "inactivity_warnings": q_inactivity_warnings,
     "score_table": q_score_table,

@@ -78,26 +78,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path in the folder that driver and executors share.
+    """A fresh path in the folder that driver and executors share; it is removed when the application ends.
 
     It comes from the session: ``spark.checkpoint.dir``, and where that is
-    unset (tests, local runs) the warehouse folder.
+    unset the warehouse folder, but only with a local master (tests, local
+    runs): elsewhere that may be a folder of one machine, so it is refused.
     """
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-            or spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/data"
 
 
 def scratch_table(df: DataFrame, purpose: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it from there.
 
     This computes `df` and cuts its lineage: later stages read columnar files
-    that every executor sees, so a lost executor costs a re-read. The folder
-    is removed when the application ends.
+    that every executor sees, so a lost executor costs a re-read.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
