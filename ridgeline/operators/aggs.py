@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -109,15 +109,23 @@ def gender_raw_counts(m: DataFrame) -> DataFrame:
     return m.groupBy("gender").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 
-def latest_months(a: DataFrame, n: int = 6) -> DataFrame:
-    """Activities per month, the newest n months that have rows."""
+def _rows(weight: str | None) -> Column:
+    """How many activities a group's rows stand for: one each, or (rows of a rollup) as many as `weight` says."""
+    return (F.count(F.lit(1)) if weight is None else F.sum(weight)).cast("bigint")
+
+
+def latest_months(a: DataFrame, n: int = 6, weight: str | None = None) -> DataFrame:
+    """Activities per month, the newest n months that have rows.
+
+    `a` may be a rollup (`rollup.read_rollup`) with its counts in `weight`; so it may for A8 and A9.
+    """
     return (a.groupBy(X.month_text("date").alias("month"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+            .agg(_rows(weight).alias("cnt"))
             .orderBy(F.col("month").desc_nulls_last())
             .limit(n))
 
 
-def monthly_trend(a: DataFrame, as_of, months: int = 5) -> DataFrame:
+def monthly_trend(a: DataFrame, as_of, months: int = 5, weight: str | None = None) -> DataFrame:
     """Activities per month for the current and previous months-1 months, up to as_of.
 
     Empty months are absent. The window bounds are literals, so they reach
@@ -127,12 +135,12 @@ def monthly_trend(a: DataFrame, as_of, months: int = 5) -> DataFrame:
     lo = _months_back(asof, months - 1)
     per = (a.filter((F.col("date") >= F.lit(lo)) & (F.col("date") <= F.lit(asof)))
            .groupBy(X.month_text("date").alias("month"))
-           .agg(F.count(F.lit(1)).cast("bigint").alias("count")))
+           .agg(_rows(weight).alias("count")))
     return per.select("month", "count",
                       X.ratio(F.col("count"), F.max("count").over(Window.partitionBy())).alias("ratio")).orderBy("month")
 
 
-def annual_stats(a: DataFrame, as_of) -> DataFrame:
+def annual_stats(a: DataFrame, as_of, weight: str | None = None) -> DataFrame:
     """12-month mean (also as one-decimal text), peak month (ties -> latest),
     low month (ties -> earliest), current month.
 
@@ -143,7 +151,7 @@ def annual_stats(a: DataFrame, as_of) -> DataFrame:
     cur = X.month_of(asof)
     per = (a.filter((F.col("date") >= F.lit(lo)) & (F.col("date") <= F.lit(asof)))
            .groupBy(X.month_text("date").alias("month"))
-           .agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
+           .agg(_rows(weight).alias("cnt")))
     agg = per.agg(
         F.avg("cnt").alias("_avg"),
         F.max(F.struct("cnt", "month")).alias("_peak"),

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import lookups as L
-from ..operators import aggs, filters, joins, report, writes
+from ..operators import aggs, filters, joins, report, rollup, trigrams, writes
 from ..session import shared_dir
-from ..sources import feeds, tables, versions
+from ..sources import checked, feeds, tables, versions
 from ..sources.tables import AS_OF, FIRST_MONTH, MONTH
 from . import inputs
 from .summary import member_summary, score_state, summary_of, update_scores, visits
@@ -88,6 +88,35 @@ def q_export_activities_csv(spark, sf):
     return feeds.read_csv(spark, path, tables.ACTIVITIES_SCHEMA, preferred=L.ACTIVITY_COLUMN_ORDER)
 
 
+def q_conformed_members(spark, sf):
+    """S1 with rejects: the rows of a raw member table that fit the schema."""
+    m, a, at = _club(spark, sf)
+    return checked.conform_checked(inputs.raw_members(m), tables.MEMBERS_SCHEMA)[0]
+
+
+def q_member_rejects(spark, sf):
+    """S1 with rejects: each value of the other rows that does not fit, beside the row's raw key and name."""
+    m, a, at = _club(spark, sf)
+    return checked.conform_checked(inputs.raw_members(m), tables.MEMBERS_SCHEMA)[1].select("user_no", "name", "column_name", "raw_value", "reason")
+
+
+def q_restored_members(spark, sf):
+    """S3 that proves itself: exported with figures of each file, checked, and read back."""
+    m, a, at = _club(spark, sf)
+    path = shared_dir(spark, "checked-members")
+    checked.export_checked(m, path, preferred=L.MEMBER_COLUMN_ORDER)
+    return checked.restore_checked(spark, path, tables.MEMBERS_SCHEMA, preferred=L.MEMBER_COLUMN_ORDER)
+
+
+def q_export_check(spark, sf):
+    """What the check of an export says: all rows found, and all files as they were written."""
+    m, a, at = _club(spark, sf)
+    path = shared_dir(spark, "checked-activities")
+    checked.export_checked(a, path, preferred=L.ACTIVITY_COLUMN_ORDER)
+    files = checked.check_export(spark, path, tables.ACTIVITIES_SCHEMA, preferred=L.ACTIVITY_COLUMN_ORDER)
+    return files.agg(F.sum("expected").alias("expected"), F.sum("found").alias("found"), F.bool_and("ok").alias("ok"))
+
+
 def q_forecast_rows(spark, sf):
     ev = tables.read_table(spark, sf, "events")
     return feeds.forecast_rows(feeds.forecast_payloads(ev))
@@ -119,6 +148,14 @@ def q_text_search(spark, sf):
     return filters.text_search(m, ["name", "description"], MEMBER_PATTERN)
 
 
+def q_text_search_indexed(spark, sf):
+    """P4 by trigram postings, which are stored first."""
+    m, a, at = _club(spark, sf)
+    cols, path = ["name", "description"], shared_dir(spark, "postings")
+    trigrams.save_postings(m, "user_no", cols, path)
+    return trigrams.search_indexed(m, spark.read.parquet(path), "user_no", cols, MEMBER_PATTERN)
+
+
 def q_activity_search(spark, sf):
     m, a, at = _club(spark, sf)
     return filters.text_search(filters.month_filter(a, MONTH), ["title"], TITLE_PATTERN)
@@ -292,6 +329,27 @@ def q_annual_stats(spark, sf):
     return aggs.annual_stats(a, AS_OF)
 
 
+def _rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Activities counted per day in two batches, the second one late."""
+    m, a, at = _club(spark, sf)
+    path, late = shared_dir(spark, "rollup"), F.col("event_id") % 10 == 0
+    rollup.add_batch(a.filter(~late), path, "first")
+    rollup.add_batch(a.filter(late), path, "late")
+    return rollup.read_rollup(spark, path)
+
+
+def q_rollup_latest_months(spark, sf):
+    return aggs.latest_months(_rollup(spark, sf), 6, weight="n")
+
+
+def q_rollup_monthly_trend(spark, sf):
+    return aggs.monthly_trend(_rollup(spark, sf), AS_OF, 5, weight="n")
+
+
+def q_rollup_annual_stats(spark, sf):
+    return aggs.annual_stats(_rollup(spark, sf), AS_OF, weight="n")
+
+
 def q_top_hosts(spark, sf):
     m, a, at = _club(spark, sf)
     return aggs.top_hosts(a, m, MONTH, 3)
@@ -505,7 +563,8 @@ def q_next_briefing(spark, sf):
 
 
 # Queries that write when they are called: exports and saves.
-WRITING = ("export_csv", "export_activities_csv", "grid_saved_activities", "grid_saved_attendance", "month_cascade_delete", "month_replace_attendance")
+WRITING = ("export_csv", "export_activities_csv", "grid_saved_activities", "grid_saved_attendance", "month_cascade_delete", "month_replace_attendance",
+           "restored_members", "export_check", "text_search_indexed", "rollup_latest_months", "rollup_monthly_trend", "rollup_annual_stats")
 
 QUERIES: dict[str, Query] = {
     # sources
@@ -513,6 +572,10 @@ QUERIES: dict[str, Query] = {
     "sql_param": q_sql_param,
     "export_csv": q_export_csv,
     "export_activities_csv": q_export_activities_csv,
+    "conformed_members": q_conformed_members,
+    "member_rejects": q_member_rejects,
+    "restored_members": q_restored_members,
+    "export_check": q_export_check,
     "forecast_rows": q_forecast_rows,
     "json_rows": q_json_rows,
     # filters and sorts
@@ -520,6 +583,7 @@ QUERIES: dict[str, Query] = {
     "non_ex_summary": q_non_ex_summary,
     "facet_filter": q_facet_filter,
     "text_search": q_text_search,
+    "text_search_indexed": q_text_search_indexed,
     "activity_search": q_activity_search,
     "month_filter": q_month_filter,
     "facet_values": q_facet_values,
@@ -553,6 +617,9 @@ QUERIES: dict[str, Query] = {
     "latest_months": q_latest_months,
     "monthly_trend": q_monthly_trend,
     "annual_stats": q_annual_stats,
+    "rollup_latest_months": q_rollup_latest_months,
+    "rollup_monthly_trend": q_rollup_monthly_trend,
+    "rollup_annual_stats": q_rollup_annual_stats,
     "top_hosts": q_top_hosts,
     "top_attendees": q_top_attendees,
     "top_attendees_pruned": q_top_attendees_pruned,

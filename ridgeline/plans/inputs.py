@@ -83,3 +83,16 @@ def blanked_activity_ids(a: DataFrame) -> DataFrame:
         k.alias("orig_id"),
         F.when(k % 2 == 0, F.lit("")).otherwise(k.cast("string")).alias("event_id"),
         "album_url")
+
+
+def raw_members(m: DataFrame) -> DataFrame:
+    """Members as texts, as a hand-kept file would have them: some values do not fit their types."""
+    k = F.col("user_no")
+    wrong = {
+        "user_no": F.when(k % 103 == 0, F.lit(None)).when(k % 101 == 0, F.concat(F.lit("k-"), k.cast("string"))),
+        "birth_year": F.when(k % 53 == 0, F.lit("99999999999")).when(k % 19 == 0, F.lit("unknown")),
+        "point": F.when(k % 61 == 0, F.lit("12 points")).when(k % 67 == 0, F.lit("")),
+        "created_at": F.when(k % 47 == 0, F.lit("2001-13-40")),
+    }
+    return m.select(*[(F.when(wrong[c].isNotNull() | ((k % 103 == 0) & F.lit(c == "user_no")), wrong[c]).otherwise(F.col(c).cast("string"))
+                       if c in wrong else F.col(c).cast("string")).alias(c) for c in m.columns])

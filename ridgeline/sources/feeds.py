@@ -58,17 +58,19 @@ def export_csv(t: DataFrame, path: str, preferred: Sequence[str] = (), drop: Seq
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, preferred: Sequence[str] = (),
-             drop: Sequence[str] = ()) -> DataFrame:
+             drop: Sequence[str] = (), with_file: str | None = None) -> DataFrame:
     """Read an export back with its declared schema (no inference pass).
 
     `preferred` / `drop` must be those of the export: CSV columns are bound
     by position, so the schema is laid out in the file's column order; the
-    result comes back in the schema's own order.
+    result comes back in the schema's own order. `with_file` names a further
+    column with the name of the row's file.
     """
     order = ordered_columns(schema.fieldNames(), preferred, drop)
     df = spark.read.schema(T.StructType([schema[c] for c in order])).options(**_CSV).csv(path)
     return df.select(*[_unescaped(F.col(c)).alias(c) if isinstance(schema[c].dataType, T.StringType) else F.col(c)
-                       for c in schema.fieldNames() if c in order])
+                       for c in schema.fieldNames() if c in order],
+                     *([F.col("_metadata.file_name").alias(with_file)] if with_file else []))
 
 
 FORECAST_SCHEMA = T.StructType([T.StructField("daily", T.StructType([

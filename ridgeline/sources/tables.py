@@ -13,6 +13,7 @@ column (`save_attendance_by_month`); month filters then prune directories.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -175,6 +176,31 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols, *extra)
 
 
+def save_table_once(df: DataFrame, path: str) -> bool:
+    """Write `df` as Parquet to `path` unless it is there already; False if it was.
+
+    The rows are written beside it and the folder is then renamed, so that a
+    write that stops halfway leaves nothing at `path`.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return False
+    draft = hadoop.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+    df.write.parquet(draft.toString())
+    context = hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(draft, target, spark._sc._gateway.new_array(hadoop.Options.Rename, 0))
+    except Exception:
+        files.delete(draft, True)
+        if files.exists(target):  # another writer was faster
+            return False
+        raise
+    return True
+
+
 def save_by_date(df: DataFrame, path: str, date_col: str = "date", key: str = "event_id",
                  max_records_per_file: int = 5_000_000) -> None:
     """Store a dated entity partitioned by day, for repeated runs.
