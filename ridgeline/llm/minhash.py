@@ -13,13 +13,18 @@ so a Beta distribution); the pair is dropped as soon as the posterior probabilit
 it reaches the threshold is below `MISS`. Survivors are verified on their whole sets.
 
 *Links without all pairs.* First every member of a bucket meets the bucket's first
-member, then its last one where the two are not yet connected; that is one pair for
-each membership. The links give components. Buckets whose members are all in one
-component have nothing left to find. In the others, pairs of members of different
-components are compared as well, so no link that joins components is left out. Buckets
-beyond `LIMIT` members are cut anew on each of the other bands, which a linked pair
-shares with one of them all but surely (a miss of 7e-8), and buckets that stay beyond
-it are split into blocks whose pairs are separate units of work.
+member; that is one pair for each membership. Buckets whose members are all linked with
+one hub have nothing left to find. In the others, members with different hubs are
+compared as well, so no link that joins components is left out: a task that holds
+a bucket runs the sequential test on its signatures and names the members that have a
+plausible partner; another holds their sets, counts all their intersections as one
+matrix product, and hands on a spanning forest of the links. Rows are named in
+proportion to members, never to pairs.
+
+*Large buckets.* Beyond `LIMIT` members, or `SHINGLES` shingles, a bucket is split
+into blocks whose pairs are separate units of work. Beyond `RECUT` times that it is cut
+anew on each of the other bands first: a linked pair shares one of them all but surely
+(a miss of 7e-8), and unlike sets that share one band seldom share another.
 
 Input cases: a null text, or one without words, has an empty set and stands alone; a
 text with fewer words than a shingle is one shingle. Very long texts are hashed whole.
@@ -46,7 +51,9 @@ from .paritysketch import chunk_sets, verified
 SHINGLE, PERCENT = 4, 80
 HASHES, ROWS, BATCH = 128, 4, 32  # values of a signature, of a band, and of a batch
 MISS = 1e-6  # posterior probability of the threshold below which a pair is dropped
-LIMIT = 2048
+LIMIT, SHINGLES = 4096, 1 << 22  # members and shingles of a unit of work, at most about
+RECUT = 16
+COLUMNS = 1024  # shingles that a matrix product takes at once
 SEEN = 1 << 20  # set hashes a task remembers, so that it signs equal sets once
 
 _FACTORS = T.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -86,13 +93,18 @@ def least_matches(n: int, percent: int, miss: float) -> int:
     return n
 
 
-def plausible(signed: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray, percent: int, miss: float = MISS) -> np.ndarray:
+def batch_bounds(percent: int, miss: float = MISS) -> list[int]:
+    """The least matches after each batch."""
+    return [least_matches(n, percent, miss) for n in range(BATCH, HASHES + 1, BATCH)]
+
+
+def plausible(signed: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
     """Which of the pairs (u, v) of rows of `signed` may reach the threshold, by their sizes and the batches of their signatures."""
     alive = np.flatnonzero(100 * np.minimum(size[u], size[v]) >= percent * np.maximum(size[u], size[v]))
     matches = np.zeros(len(u), np.int64)
-    for lo in range(0, HASHES, BATCH):
+    for lo, least in zip(range(0, HASHES, BATCH), bounds, strict=True):
         matches[alive] += (signed[u[alive], lo:lo + BATCH] == signed[v[alive], lo:lo + BATCH]).sum(axis=1)
-        alive = alive[matches[alive] >= least_matches(lo + BATCH, percent, miss)]
+        alive = alive[matches[alive] >= least]
     return alive
 
 
@@ -126,24 +138,28 @@ def matrix(signed: pa.Array) -> np.ndarray:
 
 
 def band_members(info: DataFrame) -> DataFrame:
-    """(key, class): each class with the key of each of its bands."""
+    """(key, class, n): each class with its size and the key of each of its bands."""
     def run(batches):
         for batch in batches:
             keys = band_keys(matrix(batch.column("signature")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("class").to_numpy(), keys.shape[1])), pa.array(keys.ravel())], names=["class", "key"])
+            at = np.repeat(np.arange(len(keys)), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("class").take(pa.array(at)), batch.column("n").take(pa.array(at))], names=["key", "class", "n"])
 
-    return info.select("class", "signature").mapInArrow(run, "class bigint, key bigint").select("key", "class")
+    return info.select("class", "n", "signature").mapInArrow(run, "key bigint, class bigint, n bigint")
 
 
 def buckets(members: DataFrame) -> DataFrame:
-    """unit, class, m, lo and hi (first and last class) of the buckets with two members at least; equal member lists once.
+    """unit, class, n, m, s (members and shingles in all) and hub (class and n of the first member).
 
-    Buckets are counted and compared by fixed-size aggregates, which combine before the shuffle.
+    Buckets with one member are left out, and of buckets with equal members one is
+    kept. They are counted and compared by fixed-size aggregates, which combine
+    before the shuffle.
     """
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("class").alias("lo"), F.max("class").alias("hi"),
-                                         F.bit_xor(F.xxhash64("class")).alias("mark")).filter("m > 1")
-    units = counted.groupBy("m", "lo", "hi", "mark").agg(F.min("key").alias("unit"))
-    return members.join(units, members["key"] == units["unit"]).select("unit", "class", "m", "lo", "hi")
+    counted = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), F.min(F.struct("class", "n")).alias("hub"),
+        F.bit_xor(F.xxhash64("class")).alias("mark")).filter("m > 1")
+    units = counted.groupBy("m", "s", "hub", "mark").agg(F.min("key").alias("unit"))
+    return members.join(units, members["key"] == units["unit"]).select("unit", "class", "n", "m", "s", "hub")
 
 
 def survivors(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
@@ -152,9 +168,10 @@ def survivors(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             n, both = len(batch), matrix(pa.concat_arrays([batch.column("su"), batch.column("sv")]))
             size = np.concatenate([batch.column("nu").to_numpy(), batch.column("nv").to_numpy()])
-            keep = pa.array(plausible(both, size, np.arange(n), np.arange(n, 2 * n), percent))
+            keep = pa.array(plausible(both, size, np.arange(n), np.arange(n, 2 * n), percent, bounds))
             yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("u", "v")], names=["u", "v"])
 
+    bounds = batch_bounds(percent)
     side = lambda x: info.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
@@ -174,37 +191,87 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.mapInArrow(run, "class bigint, set array<bigint>").dropDuplicates(["class"])
 
 
-def split_hot(hot: DataFrame, members: DataFrame, limit: int) -> DataFrame:
-    """(unit, class) in place of the buckets `hot` (unit, class) beyond the limit: cut anew on the other bands, then in pairs of blocks."""
-    again = hot.join(members, "class").filter("key <> unit").select(F.xxhash64("unit", "key").alias("key"), "class").distinct()
-    cut = buckets(again)
-    blocks = F.ceil(F.col("m") / limit).cast("int")
-    block = F.pmod(F.xxhash64("class"), blocks)
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    split = (cut.filter(F.col("m") > limit).select("unit", "class", block.alias("block"), other.alias("other"), blocks.alias("blocks"))
-             .select(F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "class"))
-    return cut.filter(F.col("m") <= limit).select("unit", "class").union(split)
+def split_large(large: DataFrame, bands: DataFrame, limit: int, shingles: int) -> DataFrame:
+    """(unit, class) in place of the large buckets (unit, class, n, m, s): cut anew if very large, then pairs of blocks."""
+    very = (F.col("m") > RECUT * limit) | (F.col("s") > RECUT * shingles)
+    again = large.filter(very).select("unit", "class").join(bands, "class").filter("key <> unit")
+    cut = buckets(again.select(F.xxhash64("unit", "key").alias("key"), "class", "n").distinct())
+    both = large.filter(~very).select("unit", "class", "m", "s").union(cut.select("unit", "class", "m", "s"))
+    blocks = F.ceil(F.greatest(F.col("m") / limit, F.col("s") / shingles)).cast("int")
+    block = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    dealt = both.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "class")
 
 
-def unit_pairs(units: DataFrame, percent: int) -> DataFrame:
-    """Pairs u < v of different labels within the units (unit, class, label, n, signature) that sequential verification leaves."""
+def open_members(units: DataFrame, percent: int) -> DataFrame:
+    """(unit, class) of the members that have a plausible partner of another label in their unit (unit, class, label, n, signature)."""
     def run(table: pa.Table) -> pa.Table:
-        cls, label, size = (table.column(c).to_numpy() for c in ("class", "label", "n"))
+        label, size = table.column("label").to_numpy(), table.column("n").to_numpy()
         signed = matrix(table.column("signature").combine_chunks())
         names, count = np.unique(label, return_counts=True)
-        few = np.flatnonzero(label != names[count.argmax()])  # one side of each pair is outside the most frequent label
-        u, v = [], []
-        for x in few.tolist():
-            others = np.flatnonzero((label != label[x]) & ((np.arange(len(cls)) > x) | (label == names[count.argmax()])))
-            found = others[plausible(signed, size, np.full(len(others), x), others, percent)]
-            u.append(np.minimum(cls[x], cls[found]))
-            v.append(np.maximum(cls[x], cls[found]))
-        return pa.table({"u": np.concatenate([np.zeros(0, np.int64), *u]), "v": np.concatenate([np.zeros(0, np.int64), *v])})
+        most = label == names[count.argmax()]
+        found = np.zeros(len(label), bool)
+        for x in np.flatnonzero(~most).tolist():  # one side of each pair is outside the most frequent label
+            others = np.flatnonzero((label != label[x]) & ((np.arange(len(label)) > x) | most))
+            partners = others[plausible(signed, size, np.full(len(others), x), others, percent, bounds)]
+            found[partners] = True
+            found[x] |= len(partners) > 0
+        return table.select(["unit", "class"]).filter(pa.array(found))
+
+    bounds = batch_bounds(percent)
+    return units.select("unit", "class", "label", "n", "signature").groupBy("unit").applyInArrow(run, "unit bigint, class bigint")
+
+
+def common_shingles(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many values each two of the sets share; the sets (of distinct values) follow one another in `values`."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1  # a shingle of one set adds to no pair
+    row, column = row[shared], column[shared]
+    column = np.unique(column, return_inverse=True)[1]
+    out = np.zeros((len(sizes), len(sizes)), np.float32)  # counts below 2**24 are exact
+    for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        has = np.zeros((len(sizes), COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - lo] = 1
+        used = np.unique(row[a:b])
+        out[np.ix_(used, used)] += has[used] @ has[used].T
+    return out
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric boolean matrix."""
+    left, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        if left[root]:
+            left[root], todo = False, [root]
+            while todo:
+                x = todo.pop()
+                near = np.flatnonzero(linked[x] & left)
+                left[near] = False
+                out += [(x, y) for y in near.tolist()]
+                todo += near.tolist()
+    return out
+
+
+def unit_links(units: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (u, v) of the links within each unit (unit, class, set), by whole sets."""
+    def run(table: pa.Table) -> pa.Table:
+        sets = table.column("set").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        common = common_shingles(sets.flatten().to_numpy(), size).astype(np.int64)
+        pairs = forest(100 * common >= percent * (size[:, None] + size - common))
+        cls = table.column("class").to_numpy()
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.table({"u": cls[at[:, 0]], "v": cls[at[:, 1]]})
 
-    return units.groupBy("unit").applyInArrow(run, "u bigint, v bigint").distinct()
+    return units.select("unit", "class", "set").groupBy("unit").applyInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, limit: int = LIMIT, shingles: int = SHINGLES) -> DataFrame:
     """doc_id, row key, n (set size) and component: the struct (doc_id, row key) of the smallest document reachable."""
     rows = scratch_table(describe(docs, k), "minhash-rows")
     info = scratch_table(rows.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", C.KEY)).alias("rep"), F.max("n").alias("n"), F.max("signature").alias("signature")),
@@ -212,32 +279,33 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, l
     bands = scratch_table(band_members(info), "minhash-bands")
     members = scratch_table(buckets(bands), "minhash-buckets")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        left = scratch_table(survivors(pairs, info, percent), "minhash-candidates")
-        sets = class_sets(docs, info.join(left.select("u").union(left.select("v")).distinct().withColumnRenamed("u", "class"), "class", "left_semi"), k)
-        return scratch_table(verified(left, scratch_table(sets, "minhash-sets"), percent), "minhash-links")
+    def sets_of(classes: DataFrame) -> DataFrame:
+        return scratch_table(class_sets(docs, info.select("class", "rep").join(classes.distinct(), "class", "left_semi"), k), "minhash-sets")
 
-    def labelled(units: DataFrame, stars: DataFrame) -> DataFrame:
-        return (units.join(stars.select(F.col("u").alias("class"), F.col("v").alias("label")), "class", "left")
-                .withColumn("label", F.coalesce("label", "class")))
+    near = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
+    pairs = members.filter((F.col("class") != F.col("hub.class")) & near).select(F.col("hub.class").alias("u"), F.col("class").alias("v")).distinct()
+    pairs = scratch_table(survivors(pairs, info, percent), "minhash-candidates")
+    links = scratch_table(verified(pairs, sets_of(pairs.select(F.col("u").alias("class")).union(pairs.select("v"))), percent), "minhash-links")
+    # a class and the smallest hub that it is linked with, or that hub's: enough to see most buckets connected without finding components
+    one = links.groupBy(F.col("v").alias("class")).agg(F.min("u").alias("hub"))
+    further = one.select(F.col("class").alias("hub"), F.col("hub").alias("label"))
+    labels = scratch_table(one.join(further, "hub", "left").select("class", F.coalesce("label", "hub").alias("label")), "minhash-labels")
 
     def unfinished(units: DataFrame) -> DataFrame:
-        mixed = units.groupBy("unit").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("unit")
-        return units.join(mixed, "unit", "left_semi")
-
-    stars = components(links(members.filter("class <> lo").select(F.col("lo").alias("u"), F.col("class").alias("v")).distinct()))
-    open_ = scratch_table(unfinished(labelled(members.filter("m > 2"), stars)), "minhash-open")
-    ends = open_.filter("class = hi").select("unit", F.col("label").alias("other"))
-    last = links(open_.join(ends, "unit").filter("label <> other AND class <> lo").select(F.col("class").alias("u"), F.col("hi").alias("v")).distinct())
-    stars = components(stars.union(last))
-    open_ = scratch_table(unfinished(labelled(open_.filter("m > 3").drop("label"), stars)), "minhash-open")
-    units = open_.filter(F.col("m") <= limit).select("unit", "class", "label")
-    hot = scratch_table(open_.filter(F.col("m") > limit).select("unit", "class"), "minhash-hot")
-    if hot.limit(1).count():
-        units = units.union(unfinished(labelled(split_hot(hot, bands, limit), stars)).select(units.columns))
-    rest = scratch_table(unit_pairs(units.join(info.select("class", "n", "signature"), "class"), percent), "minhash-rest")
-    if rest.limit(1).count():
-        stars = components(stars.union(links(rest)))
+        """The units whose members are not known to be connected, with each member's hub (or itself) as `label`."""
+        labelled = units.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        mixed = labelled.groupBy("unit").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("unit")
+        return labelled.join(mixed, "unit", "left_semi")
+
+    open_ = scratch_table(unfinished(members.filter("m > 2")), "minhash-open")  # two members have met
+    is_large = (F.col("m") > limit) | (F.col("s") > shingles)
+    units = open_.filter(~is_large).select("unit", "class", "label")
+    large = open_.filter(is_large).select("unit", "class", "n", "m", "s")
+    if large.limit(1).count():
+        units = units.union(unfinished(split_large(large, bands, limit, shingles)).select(units.columns))
+    left = scratch_table(open_members(units.join(info.select("class", "n", "signature"), "class"), percent), "minhash-open-members")
+    more = unit_links(left.join(sets_of(left.select("class")), "class"), percent)
+    stars = components(links.union(more))
     plain = rows.select("doc_id", C.KEY, "n", "class")
     found = (plain.join(stars, plain["class"] == stars["u"], "left")
              .select("doc_id", C.KEY, "n", F.when(F.col("n") > 0, F.coalesce("v", "class")).alias("label")))
