@@ -13,7 +13,10 @@ Documents are never shuffled: both passes over them join their words with a
 table derived from the benchmark, which is broadcast. Its size is checked: the
 windows are dealt into blocks of `BLOCK_BYTES` of words on average, and each
 block is joined by itself, so a larger benchmark means more passes, not a larger
-broadcast. What is shuffled are a row per document and its occurrences.
+broadcast. A window stands in it once, under a hash of its words, however many
+items share it; which items have which window is a table of rows, which meets the
+documents' distinct sets of windows by a shuffle join. What is shuffled besides are a
+row per document and its occurrences.
 
 Input cases: a null or empty text has no words, and a null or empty item no
 windows. Rows that repeat get the same result. An item without id can hit words
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import scratch_table
 from . import common as C
 
 WINDOW = 13
@@ -43,50 +47,54 @@ def words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(win, items): each distinct window, an array of words, and the ids of the items that have it."""
+    """(item_id, wid, win): the windows of each item, arrays of words, and a 128-bit hash of their words."""
     w = benchmark.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     return (w.select("item_id", "words", F.explode(starts).alias("at"))
             .select("item_id", F.slice("words", F.col("at"), window).alias("win"))
-            .groupBy("win").agg(F.collect_set("item_id").alias("items")))
+            .select("item_id", F.unhex(F.md5(F.array_join("win", " "))).alias("wid"), "win"))
 
 
 def _filed(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(word, offset, len, win, items): each window under the word of it that is rarest in the documents."""
+    """(word, offset, len, win, wid): each window under the word of it that is rarest in the documents.
+
+    `windows` (a block, so its words are few enough to be sent to all tasks) has each window once.
+    """
     vocabulary = windows.select(F.explode("win").alias("word")).distinct()
     counts = (docs.select(F.explode(words(F.col("text"))).alias("word"))
               .join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    spread = windows.select("win", "items", F.posexplode("win").alias("offset", "word"))
-    ranked = spread.join(counts, "word", "left").withColumn(
-        "rank", F.row_number().over(W.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "word", "offset")))
+    spread = windows.select("wid", "win", F.posexplode("win").alias("offset", "word"))
+    ranked = spread.join(F.broadcast(counts), "word", "left")
     # a window with a word that no document has occurs nowhere
-    return ranked.filter("rank = 1 AND n > 0").select("word", "offset", F.size("win").alias("len"), "win", "items")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset"))
+    filed = ranked.groupBy("wid").agg(rarest.alias("r"), F.first("win").alias("win")).filter("r.n > 0")
+    return filed.select("r.word", "r.offset", F.size("win").alias("len"), "win", "wid")
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, row key, n_words, start, len and items of every window occurrence, and one row per document with len 0."""
-    windows = item_windows(benchmark, window)
-    size = windows.agg(F.sum(F.octet_length(F.concat_ws(" ", "win")) + 8 * F.size("items"))).first()[0] or 0
+    """doc_id, row key, n_words, start, len and wid of every window occurrence, and one row per document with len 0."""
+    windows = item_windows(benchmark, window).groupBy("wid").agg(F.first("win").alias("win"))
+    size = windows.agg(F.sum(F.octet_length(F.concat_ws(" ", "win")) + 32)).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     spaced = docs.select("doc_id", C.text_key().alias(C.KEY), words(F.col("text")).alias("words"))
     exploded = spaced.select("doc_id", C.KEY, "words", F.size("words").alias("n_words"),
                              F.posexplode(F.array_append("words", END)).alias("pos", "word"))
     end = (docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(0).alias("offset"), F.lit(0).alias("len"),
-                                             F.array().cast("array<string>").alias("win"), F.lit(None).cast(windows.schema["items"].dataType).alias("items")))
+                                             F.array().cast("array<string>").alias("win"), F.lit(None).cast("binary").alias("wid")))
     found = []
     for b in range(blocks):
-        part = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)
+        part = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == b)
         filed = _filed(part, docs)
         filed = F.broadcast(filed.union(end) if b == 0 else filed).alias("f")
         start = F.col("pos") - F.col("offset")
         same = (start >= 0) & (start + F.col("len") <= F.col("n_words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win"))
         found.append(exploded.join(filed, (exploded["word"] == F.col("f.word")) & ((F.col("len") == 0) | same))
-                     .select("doc_id", C.KEY, "n_words", start.alias("start"), "len", "items"))
+                     .select("doc_id", C.KEY, "n_words", start.alias("start"), "len", "wid"))
     return reduce(DataFrame.union, found)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, row key, copies, n_words, n_hit and items (sorted as strings) for each different (doc_id, text)."""
+    """doc_id, row key, copies, n_words, n_hit and wids (the windows that occur, sorted) for each different (doc_id, text)."""
     order = W.partitionBy("doc_id", C.KEY).orderBy("start", "len").rowsBetween(W.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
     # a row with len 0 starts behind the last word and covers nothing
@@ -94,7 +102,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return (occurrences(docs, benchmark, window, block_bytes).withColumn("new", new)
             .groupBy("doc_id", C.KEY).agg(
                 F.count_if(F.col("len") == 0).alias("copies"), F.max("n_words").cast("long").alias("n_words"), F.sum("new").cast("long").alias("n_hit"),
-                F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("items")))
+                F.array_sort(F.collect_set("wid")).alias("wids")))  # no more than a text has places
+
+
+def with_items(found: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`contamination` with items: the ids of the items whose windows occur, as sorted strings.
+
+    Documents with the same windows have the same items, so each distinct set of
+    windows is joined with the windows' items once, however many documents have it.
+    """
+    marked = found.withColumn("_set", F.when(F.size("wids") > 0, F.md5(F.array_join(F.transform("wids", F.hex), " "))))
+    sets = marked.filter("_set IS NOT NULL").select("_set", "wids").dropDuplicates(["_set"]).select("_set", F.explode("wids").alias("wid"))
+    of_window = item_windows(benchmark, window).filter("item_id IS NOT NULL").select("wid", F.col("item_id").cast("string").alias("item")).distinct()
+    items = sets.join(of_window, "wid").groupBy("_set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return marked.join(items, "_set", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("_set", "wids")
 
 
 def is_contaminated() -> Column:
@@ -108,7 +129,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op6_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    benchmark = C.table(spark, sf_dir, "benchmark")
+    found = with_items(scratch_table(contamination(C.table(spark, sf_dir, "documents"), benchmark), "contamination"), benchmark)
     rows = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
