@@ -80,9 +80,10 @@ def near_copies():
     return docs
 
 
-@pytest.mark.parametrize("limit", [2048, 2])
-def test_op13_near_copies_of_all_sizes_and_hot_buckets(spark, tables, monkeypatch, limit):
-    monkeypatch.setattr(minhash.near_duplicates, "__defaults__", (4, 80, limit))
+@pytest.mark.parametrize("limit, shingles, recut", [(4096, 1 << 22, 16), (2, 1 << 22, 16), (3, 400, 1)])
+def test_op13_near_copies_of_all_sizes_and_hot_buckets(spark, tables, monkeypatch, limit, shingles, recut):
+    monkeypatch.setattr(minhash.near_duplicates, "__defaults__", (4, 80, limit, shingles))
+    monkeypatch.setattr(minhash, "RECUT", recut)
     docs = near_copies()
     docs += [(1000 + i, " ".join(words(prose(7, 60))[:45] + [f"own{i}x{j}" for j in range(9)])) for i in range(30)]  # alike, but not enough
     docs += [(2000 + i, mutated(prose(8, 200), 0.025, i)) for i in range(40)]  # a group around the threshold
@@ -114,10 +115,31 @@ def test_sequential_verification_bounds():
         base = r.integers(0, 2 ** 63, 90).astype(np.uint64)
         sets = [np.sort(np.concatenate([base[:80], r.integers(0, 2 ** 63, 10).astype(np.uint64)])) for _ in range(2)]
         signed = np.concatenate([minhash.signatures(s, np.zeros(90, np.int64), 1) for s in sets])
-        misses += len(minhash.plausible(signed, np.array([90, 90]), np.array([0]), np.array([1]), 80)) == 0
+        misses += len(minhash.plausible(signed, np.array([90, 90]), np.array([0]), np.array([1]), 80, minhash.batch_bounds(80))) == 0
     assert misses == 0
 
 
+def test_common_shingles_and_forests():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 3000, n)) for n in (0, 1, 5, 900, 1000, 1100, 2900, 2)]
+    common = minhash.common_shingles(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for i, a in enumerate(sets):
+        assert common[i, i] <= len(a)  # a shingle of one set is not counted
+        assert all(common[i, j] == len(np.intersect1d(a, b)) for j, b in enumerate(sets) if i != j)
+    linked = r.random((60, 60)) < 0.02
+    linked |= linked.T
+    pairs = minhash.forest(linked)
+    assert all(linked[x, y] for x, y in pairs)
+    group = {i: i for i in range(60)}
+    for x, y in pairs:  # no cycle, and every link within one tree
+        assert group[x] != group[y]
+        old = group[y]
+        group = {k: group[x] if v == old else v for k, v in group.items()}
+    assert all(group[x] == group[y] for x, y in zip(*np.nonzero(linked), strict=True))
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_op8_near_copies_of_all_sizes_and_split_buckets(spark, tables, monkeypatch, block):
     monkeypatch.setattr(paritysketch, "BLOCK", block)
@@ -212,6 +234,43 @@ def test_op4(spark, sf_small, tables):
             assert set(digest.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def linked_spans(text):
+    """Base spans, and by nested loops the weak parts near a part of another role, one of the two being a secret."""
+    parts = []  # start, kind's place, end, kind, role, weak
+    for place, (kind, role, pattern, least, group) in enumerate(secretscan.KINDS):
+        for m in re.finditer(pattern, text, re.A):
+            weak = place >= secretscan.BASE or len(m[group]) < least
+            if not (weak and kind == "access"):
+                parts.append((m.start(), place, m.end(), kind, role, weak))
+    near = lambda a, b: max(a[0] - b[2], b[0] - a[2]) <= secretscan.SCOPE
+    told = [a for a in parts if not a[5] or any(near(a, b) and a[4] != b[4] and "secret" in (a[4], b[4]) for b in parts)]
+    return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind, *_ in sorted(told))
+
+
+def test_op4_linked_spans_equal_nested_loops(spark, sf_small, tables):
+    r = random.Random(6)
+    pieces = ["user=bob", "login: a.b@c", "key=abcd", "pwd = 12", "pass='longer1'", "https://h.example/x", "password=ab1", "token: abcdefgh1", "AKIA" + "Z" * 14, "AKIA12", "0a" * 17,
+              "é" * 9, "\n", "word " * 12, "x" * 290, "postgres://u@h/db", "😀"]
+    texts = [r.choice([" ", ", ", ""]).join(r.choice(pieces) for _ in range(r.randrange(1, 40))) for _ in range(150)]
+    for folder in (sf_small, tables(documents=list(enumerate(texts)))):
+        docs = dict(documents(spark, folder))
+        for row in E.queries()["op4_linked_credentials"](spark, folder).collect():
+            assert row.spans == linked_spans(docs[row.doc_id] or ""), docs[row.doc_id]
+
+
+def test_op4_cost_grows_with_the_matches(spark, tables):
+    import time
+
+    took = []
+    for n in (1000, 64_000, 128_000):  # the first run compiles
+        folder = tables(documents=[(1, "key=abcd " * n + "https://h.example/x")])
+        began = time.time()
+        row = E.queries()["op4_linked_credentials"](spark, folder).collect()[0]
+        took.append(time.time() - began)
+        assert row.spans.count("value:") == 34 and row.spans.endswith(f"endpoint:{9 * n}:{9 * n + 19}")
+    assert took[2] < 2.5 * took[1] + 2, took
+
+
 def test_op4_links_weak_parts_only_with_complements(spark, tables):
     folder = tables(documents=list(enumerate(SECRET_TEXTS)))
     got = {r.doc_id: r.spans for r in E.queries()["op4_linked_credentials"](spark, folder).collect()}
@@ -382,6 +441,83 @@ def test_tool_links_order_validation_and_json(spark):
     assert len(out) == 11
 
 
+def part_orders(spark, rows):
+    """conv_id -> [(kind, id)] in order, with the parts' ranks and problems."""
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    order = defaultdict(list)
+    for r in sorted(out, key=lambda r: (str(r.conv_id), r.order_rank, r.turn or 0, r.part)):
+        order[r.conv_id].append((r.kind, r.call_id))
+    return order, {(r.conv_id, r.kind, r.call_id): (r.order_rank, "cycle" in (r.problem or "")) for r in out}
+
+
+def ask(i, *after):
+    return CALL % (i, "reply", '{"prompt":"p","turn":1}', ',"after":[%s]' % ",".join(f'"{a}"' for a in after) if after else "")
+
+
+def test_a_cycle_does_not_disturb_the_rest_of_its_conversation(spark):
+    rows = [(1, 0, "a", ask("x", "y")), (1, 1, "a", ask("y", "x")), (1, 2, "t", RESULT % ("z", "1")), (1, 3, "a", ask("z")),
+            (1, 4, "t", RESULT % ("x", "1")), (1, 5, "a", ask("down", "y")), (1, 6, "t", RESULT % ("down", "1")), (1, None, "a", ask("free"))]
+    order, at = part_orders(spark, rows)
+    assert {k[1:] for k, (_, cycle) in at.items() if cycle} == {("call", "x"), ("result", "x"), ("call", "y")}
+    assert at[1, "call", "z"][0] == 3 and at[1, "result", "z"][0] == 4
+    one = order[1]
+    assert one.index(("call", "z")) < one.index(("result", "z")) and one.index(("call", "y")) < one.index(("call", "down")) < one.index(("result", "down"))
+    assert at[1, "call", "free"] == (0, False)
+
+
+def test_ranks_are_the_least_that_follow_all_links(spark):
+    r = random.Random(8)
+    rows = []
+    for conv in range(25):
+        turns = list(range(r.randrange(2, 14)))
+        r.shuffle(turns)
+        for i, t in enumerate(turns):  # calls wait for calls with a smaller number, so there is no cycle
+            rows.append((conv, t, "a", ask(str(i), *{str(r.randrange(i)) for _ in range(r.randrange(3)) if i})))
+            if r.random() < 0.7:
+                rows.append((conv, r.randrange(14), "t", RESULT % (i, "1")))
+    rows += [(99, 40 - i, "a", ask(str(i), str(i - 1))) for i in range(40)]  # a chain that stands the wrong way round
+    _, at = part_orders(spark, rows)
+    for conv in {row[0] for row in rows}:
+        place, links = {}, []
+        for c, t, role, text in rows:
+            if c == conv:
+                i = re.search('"id":"([^"]+)"', text)[1]
+                place["call" if role == "a" else "result", i] = (t, 0, len(place))
+        for c, _, role, text in rows:
+            if c == conv and role == "a":
+                i = re.search('"id":"([^"]+)"', text)[1]
+                links += [(("call", i), ("result", i))] * (("result", i) in place)
+                links += [(("result", a) if ("result", a) in place else ("call", a), ("call", i)) for a in re.findall('"([^"]+)"', (re.search(r'"after":\[(.*?)\]', text) or ["", ""])[1])]
+        links = [(p, x) for p, x in links if p in place]  # what no call has is not waited for
+        rank = {x: p[0] for x, p in place.items()}
+        for _ in range(len(rank) + 1):
+            for p, x in links:
+                rank[x] = max(rank[x], rank[p] + (place[p][0] > place[x][0]))
+        if all(place[p][0] != place[x][0] for p, x in links):  # ties of turns are broken by row numbers, which the test does not know
+            assert {x: at[conv, x[0], x[1]][0] for x in place} == rank, conv
+        for p, x in links:
+            assert (at[conv, p[0], p[1]][0], place[p][0]) <= (at[conv, x[0], x[1]][0], place[x][0])
+    assert not any(cycle for _, cycle in at.values())
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(chat, "scratch_table", lambda df, name, own=chat.scratch_table: written.append(name) or own(df, name))
+    counts = []
+    for n in (4, 64):
+        written.clear()
+        _, at = part_orders(spark, [(1, n - i, "a", ask(str(i), str(i - 1))) for i in range(n)])
+        assert [at[1, "call", str(i)][0] for i in range(n)] == [n + i for i in range(n)]
+        counts.append(len(written))
+    assert counts[1] <= counts[0] + 5
+
+
+def test_a_very_long_message_is_one_part(spark):
+    text = "word " * 300_000
+    out = chat.format_chat(spark.createDataFrame([(1, 0, "u", text), (1, 1, "a", CALL % ("l", "reply", '{"prompt":"%s","turn":1}' % text, ""))], "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert len(out) == 2 and all(len(r.json) > len(text) for r in out) and {r.problem for r in out} == {None, "no result"}
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     docs = dict(documents(spark, folder))

@@ -14,7 +14,8 @@ from ridgeline.llm import common, linededup, mixing, paritysketch, quality
 LABELS = [(7, 1, 0), (8, 1, 0), (9, 0, 0), (10, 1, 1), (5, None, 0), (None, 1, 1), (6, 1, 0), (6, 1, 0)]
 BENCHMARK = [(0, "alder1"), (1, None), (2, ""), (None, "other text with the same id"), (3, "other text with the same id"), (4, "one two three four")]
 CONVERSATIONS = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "again"), (None, 0, "user", "x"), (2, None, "system", ""),
-                 (3, 0, None, "a <b> \"c\" \\ \n é"), (3, 0, None, "a <b> \"c\" \\ \n é"), (4, 5, "user", "</tool_call> alone")]
+                 (3, 0, None, "a <b> \"c\" \\ \n é"), (3, 0, None, "a <b> \"c\" \\ \n é"), (4, 5, "user", "</tool_call> alone"),
+                 (6, None, "user", "no turn"), (6, None, "assistant", "no turn either")]
 CLASHING = {"_text_key": "a", "slot": "b", "shard": "c", "n": "d", "class": "e", "kept": "f", "draws": "g", "_key0": "h", "row": "i", "words": "j", "gone": "k"}
 
 
@@ -37,7 +38,8 @@ def test_awkward_rows_and_clashing_columns(spark, tables, awkward, name):
 
 def test_awkward_conversations(spark, tables):
     out = E.queries()["op9_tool_links"](spark, tables(conversations=CONVERSATIONS)).collect()
-    assert len(out) == len(CONVERSATIONS)
+    assert len(out) == len(CONVERSATIONS) + 1  # the result of conversation 6 stands behind a text
+    assert {r.order_rank for r in out if r.turn is None} == {0}
     by = {(r.conv_id, r.turn, r.kind): r for r in out}
     assert by[(1, 0, "call")].linked and by[(3, 0, "text")].json == '{"content":"a <b> \\"c\\" \\\\ \\n é","type":"text"}'
     assert sorted(r.problem or "" for r in out if r.conv_id == 1) == ["", "", "repeated result"]
