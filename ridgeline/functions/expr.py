@@ -49,8 +49,12 @@ def month_text(date_col: Column | str) -> Column:
 
 
 def full_trim(c: Column) -> Column:
-    """Strip leading and trailing white space of every kind, Unicode's included."""
-    return F.regexp_replace(c, f"^[{L.WHITE_SPACE}]+|[{L.WHITE_SPACE}]+$", "")
+    """Strip leading and trailing white space of every kind, Unicode's included.
+
+    Most texts have none: the regex runs only where the first or last character is white space.
+    """
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(f"[{L.WHITE_SPACE}]"), F.regexp_replace(c, f"^[{L.WHITE_SPACE}]+|[{L.WHITE_SPACE}]+$", "")).otherwise(c)
 
 
 def blank_to_null(c: Column) -> Column:

@@ -9,6 +9,7 @@ The complete report is the concatenation of ``report_lines().line`` in
 
 from __future__ import annotations
 
+import datetime as _dt
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import lookups as L
+from ..session import scratch_table
 from .filters import next_activities, non_ex_summary
 from .joins import activity_attendees
 
@@ -81,12 +83,16 @@ def digest_parts(a: DataFrame, at: DataFrame, m: DataFrame, month: str, prune: b
     names = j.groupBy("date", "title", "birth_year", "name").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.min_by("album_url", F.col("event_id")).alias("_album"))
-    grp = names.groupBy("date", "title").agg(
+    return _groups(names), names.drop("_album")
+
+
+def _groups(names: DataFrame) -> DataFrame:
+    """Headcount, album URL and first and last name keys of each group, from its name counts."""
+    return names.groupBy("date", "title").agg(
         F.sum("n").cast("bigint").alias("headcount"),
         F.min_by("_album", F.struct(*_name_order())).alias("album_url"),
         F.min(name_key()).alias("_first"),
         F.max(name_key()).alias("_last"))
-    return grp, names.drop("_album")
 
 
 def milestones(summary: DataFrame) -> DataFrame:
@@ -158,11 +164,57 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
     No value grows with the data: an attendee name that occurs very often is
     written in fragments of at most `NAMES_PER_FRAGMENT` names.
     """
+    # records of activities without a title are activity all the same
+    records = activity_attendees(a, at, m, month).agg(F.count(F.lit(1)).alias("_c"))
+    return _fragments(summary, *digest_parts(a, at, m, month), records, month, rules, club, plain)
+
+
+def attendance_facts(m: DataFrame, a: DataFrame, at: DataFrame, as_of, month: str) -> DataFrame:
+    """Every member with all that the report needs, from one join of attendance and activities.
+
+    Grouping sets reduce the joined records once: to a row per member (the
+    summary's figures) and a row per member and activity group (date, title) of
+    the month; records of other months make no groups. The result then meets the
+    members once. `_group` is true for rows of a group; a member without any
+    record has one row, without figures. Attendees that are no members go.
+    """
+    asof = _dt.date.fromisoformat(str(as_of))
+    here, upto = X.in_month("date", month), F.col("date") <= F.lit(asof)
+    in_cur = upto & X.in_month("date", X.month_of(asof))
+    visits = (at.select("event_id", "user_no").join(a.select("event_id", "date", "score", "title", "album_url"), "event_id")
+              .withColumns({"_here": F.coalesce(here, F.lit(False)), "_date": F.when(here, F.col("date")), "_title": F.when(here, F.col("title"))}))
+    keys = ["user_no", "_here", "_date", "_title"]
+    facts = visits.groupingSets([["user_no"], keys], *keys).agg(
+        (F.grouping("_here") == 0).alias("_group"),
+        F.sum(F.when(upto, F.col("score"))).alias("_total"), F.sum(F.when(in_cur, F.col("score"))).alias("_month"),
+        F.max(F.when(upto, F.col("date"))).alias("last_attended"), F.min("date").alias("first_date"),
+        F.count(F.lit(1)).alias("_n"), F.min_by("album_url", "event_id").alias("_album"), F.min("event_id").alias("_first_event"))
+    return m.join(facts.filter("NOT _group OR _here").drop("_here"), "user_no", "left")
+
+
+def monthly_report(m: DataFrame, a: DataFrame, at: DataFrame, as_of, month: str, rules: str = "", club: str = "산악회", plain: bool = True) -> DataFrame:
+    """R5 in one pass: `report_lines` of the summary at `as_of`, from `attendance_facts`, which are stored once.
+
+    The store is a folder of the session's shared storage, removed when the
+    application ends; the report's parts read it and nothing else.
+    """
+    from ..plans.summary import summary_columns
+
+    facts = scratch_table(attendance_facts(m, a, at, as_of, month), "report-facts")
+    groups = facts.filter("_group").select(F.col("_date").alias("date"), F.col("_title").alias("title"), "birth_year", "name", "_n", "_album", "_first_event")
+    names = groups.filter("title IS NOT NULL").groupBy("date", "title", "birth_year", "name").agg(
+        F.sum("_n").alias("n"), F.min_by("_album", "_first_event").alias("_album"))
+    names = scratch_table(names, "report-names")
+    summary = summary_columns(facts.filter("NOT coalesce(_group, false)"), as_of)
+    return _fragments(summary, _groups(names), names.drop("_album"), groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_c")), month, rules, club, plain)
+
+
+def _fragments(summary: DataFrame, grp: DataFrame, names: DataFrame, records: DataFrame, month: str, rules: str, club: str, plain: bool) -> DataFrame:
+    """The report's fragments from the summary, the groups and names of `digest_parts`, and the number of records `_c`."""
     spark = summary.sparkSession
     br = L.BR + _NL
     s = summary.select("user_no", F.col("name").alias("_name"), "member_label", "status",
                        "gained_score", "current_point", "first_date")
-    grp, names = digest_parts(a, at, m, month)
     out = []
 
     # constant lines
@@ -235,8 +287,6 @@ def report_lines(summary: DataFrame, a: DataFrame, at: DataFrame, m: DataFrame,
         _frag(4, 3, F.lit(L.RPT_NONE + br), when=F.col("_dormant_warn").isNull()),
         _frag(4, 6, F.lit(L.RPT_NONE + br + _NL), when=F.col("_new_warn").isNull()),
     ]))
-    # records of activities without a title are activity all the same
-    records = activity_attendees(a, at, m, month).agg(F.count(F.lit(1)).alias("_c"))
     out.append(_explode(records, [_frag(1, 2, F.lit(L.RPT_NO_ACTIVITY + br + _NL), when=F.col("_c") == 0)]))
 
     res = out[0]

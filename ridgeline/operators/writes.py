@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
 
@@ -53,9 +54,18 @@ def delete_removed(base: DataFrame, visible: DataFrame, edited: DataFrame, key:
 
 
 def cascade_delete(at: DataFrame, removed: DataFrame, key: str = "event_id") -> DataFrame:
-    """Drop attendance of removed activities (members do not cascade)."""
-    gone = removed.select(F.col(key).cast("string").alias("_k"))
-    return at.join(gone, _key_text(key) == F.col("_k"), "left_anti")
+    """Drop attendance of removed activities (members do not cascade).
+
+    Keys match as text. Where attendance holds whole numbers, only a removed key
+    that is a number as it would be written can match one, so the few removed
+    keys become numbers and attendance keeps its own type in the join.
+    """
+    text = F.col(key).cast("string")
+    if not isinstance(at.schema[key].dataType, T.IntegralType):
+        return at.join(removed.select(text.alias("_k")), _key_text(key) == F.col("_k"), "left_anti")
+    number = text.try_cast("bigint")
+    gone = removed.filter(number.cast("string") == text).select(number.alias("_k"))
+    return at.join(gone, F.col(key) == F.col("_k"), "left_anti")
 
 
 def replace_attendance(at: DataFrame, batch: DataFrame, selections: DataFrame) -> DataFrame:

@@ -541,15 +541,19 @@ def q_score_table(spark, sf):
 
 def q_report_lines(spark, sf):
     m, a, at = _club(spark, sf)
-    s = member_summary(m, a, at, AS_OF)
-    return report.report_lines(s, a, at, m, MONTH, rules=RULES_LINK)
+    return report.monthly_report(m, a, at, AS_OF, MONTH, rules=RULES_LINK)
 
 
 def q_report_markup(spark, sf):
     """R5, formatted output: the same report with its '**' emphasis kept."""
     m, a, at = _club(spark, sf)
-    s = member_summary(m, a, at, AS_OF)
-    return report.report_lines(s, a, at, m, MONTH, rules=RULES_LINK, plain=False)
+    return report.monthly_report(m, a, at, AS_OF, MONTH, rules=RULES_LINK, plain=False)
+
+
+def q_report_composed(spark, sf):
+    """R5 as a lazy composition of the summary and the digest (no stage is stored)."""
+    m, a, at = _club(spark, sf)
+    return report.report_lines(member_summary(m, a, at, AS_OF), a, at, m, MONTH, rules=RULES_LINK)
 
 
 def q_briefing_context(spark, sf):
@@ -564,7 +568,7 @@ def q_next_briefing(spark, sf):
 
 # Queries that write when they are called: exports and saves.
 WRITING = ("export_csv", "export_activities_csv", "grid_saved_activities", "grid_saved_attendance", "month_cascade_delete", "month_replace_attendance",
-           "restored_members", "export_check", "text_search_indexed", "rollup_latest_months", "rollup_monthly_trend", "rollup_annual_stats")
+           "report_lines", "report_markup", "restored_members", "export_check", "text_search_indexed", "rollup_latest_months", "rollup_monthly_trend", "rollup_annual_stats")
 
 QUERIES: dict[str, Query] = {
     # sources
@@ -652,6 +656,7 @@ QUERIES: dict[str, Query] = {
     "score_table": q_score_table,
     "report_lines": q_report_lines,
     "report_markup": q_report_markup,
+    "report_composed": q_report_composed,
     "briefing_context": q_briefing_context,
     "next_briefing": q_next_briefing,
 }

@@ -63,8 +63,12 @@ def member_summary(m: DataFrame, a: DataFrame, at: DataFrame, as_of) -> DataFram
 
 def summary_of(m: DataFrame, scores: DataFrame, as_of) -> DataFrame:
     """The summary from figures per member (`per_member_scores`, or a state that `update_scores` keeps up to date)."""
+    return summary_columns(m.join(scores, "user_no", "left"), as_of)
+
+
+def summary_columns(j: DataFrame, as_of) -> DataFrame:
+    """The summary from members that have met their figures."""
     asof = _dt.date.fromisoformat(str(as_of))
-    j = m.join(scores, "user_no", "left")
     last = F.col("last_attended")
     status = (
         F.when(F.col("role") == "exmember", F.lit("exmember"))
