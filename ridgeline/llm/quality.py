@@ -99,11 +99,11 @@ def statistics(docs: DataFrame) -> DataFrame:
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     return counts.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-        "f_words": F.log1p(n.cast("double")), "f_word_len": F.least(F.col("word_chars") / n, F.lit(40.0)),
-        "f_symbols": F.least(F.col("n_symbols") / n, F.lit(4.0)),
+        "f_words": F.log1p(n.cast("double")), "f_word_len": F.log1p(F.col("word_chars") / n),
+        "f_symbols": F.log1p(F.col("n_symbols") / n),
         "f_dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "f_repeat": F.col("n_repeat_words") / n, "f_upper": F.col("n_upper") / chars, "f_digits": F.col("n_digits") / chars,
-        "f_bare": F.col("n_bare") / n, "f_marks": F.least(F.col("n_marks") / n, F.lit(4.0)),
+        "f_bare": F.col("n_bare") / n, "f_marks": F.log1p(F.col("n_marks") / n),
         "f_line_words": F.log1p(F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)))})
 
 
