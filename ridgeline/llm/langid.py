@@ -12,7 +12,9 @@ All labelled rows train the model and all characters of every text count.
 Input cases: a null text, and one without a letter, is `und` with score 0, as
 is every text if nothing was learned. Rows with a null language don't train.
 Very long texts are one chunk each. Rows that repeat count as often as they
-occur and get equal predictions. Other columns are ignored.
+occur and get equal predictions. The matrix has a column for each language, so
+more than `LANGUAGES` different values of lang (a column that holds something else)
+are refused with a ValueError before anything is counted. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from . import textnp as T
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
+LANGUAGES = 512  # a matrix of 128 MB
 CHUNK_CHARS = 1 << 18
 
 
@@ -88,6 +91,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, log probabilities [bucket, language]) from the columns text and lang."""
+    n = docs.filter("text IS NOT NULL").agg(F.count_distinct("lang")).first()[0]
+    if n > LANGUAGES:
+        raise ValueError(f"lang has {n} different values; the model holds {LANGUAGES} languages at most")
     counts = count_grams(docs).toArrow()  # languages x BUCKETS rows at most, whatever the corpus
     langs = sorted(set(counts.column("lang").to_pylist()))
     where = {name: i for i, name in enumerate(langs)}
