@@ -159,19 +159,19 @@ def test_components_of_paths_stars_and_rings(spark):
 def test_op5_base_and_model(spark, sf_small):
     docs = documents(spark, sf_small)
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs}
-    count, model = Counter(), Trie()
+    count, model = Counter(), Trie(5)
     for d, t in docs:
         if not held[d]:
             count.update(words((t or "").translate(LOWER)) + ["\0end"])
             model.learn(t)
     total, different = sum(count.values()), len(count)
-    for i, r in enumerate(sorted(E.queries()["op5_ppm"](spark, sf_small).collect(), key=lambda r: r.doc_id)):
-        text = dict(docs)[r.doc_id]
+    text_of = dict(docs)
+    for r in E.queries()["op5_ppm"](spark, sf_small).collect():
+        text = text_of[r.doc_id]
         tokens = words((text or "").translate(LOWER)) + ["\0end"]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(tokens), sum(count[t] > 0 for t in tokens), total)
         assert math.isclose(r.base_score, sum(math.log10((count[t] + 1) / (total + different + 1)) for t in tokens), rel_tol=1e-9)
-        if i % 20 == 0:
-            assert math.isclose(r.score, model.score(text), rel_tol=1e-4)
+        assert math.isclose(r.score, model.score(text), rel_tol=1e-9)
 
 
 def test_op5_words_beyond_the_frequent_ones_are_joined(spark, sf_small, monkeypatch):
@@ -293,6 +293,46 @@ def test_op7_base_counts(spark, sf_small):
         assert not (r.base_failed and r.kept)
 
 
+def test_op7_verdict_equals_a_recursive_walk(spark, sf_small):
+    """Each document walks each tree by recursion over the stored arrays; the threshold is found by trying every value."""
+    import numpy as np
+    from ridgeline.llm import quality
+
+    stats = quality.statistics(common.table(spark, sf_small, "documents"))
+    labels = common.table(spark, sf_small, "labels")
+    forest, bound = quality.fit(stats, labels)
+
+    def walk(t, node, x):
+        f = forest["feature"][t, node]
+        return forest["path"][t, node] if f < 0 else walk(t, 2 * node + 1 + int(x[f] > forest["cut"][t, node]), x)
+
+    paths = {}
+    for r in stats.collect():
+        x = [r[c] for c in quality.FEATURES]
+        paths[r.doc_id] = float(np.mean([walk(t, 0, x) for t in range(len(forest["feature"]))]))
+    out = {r.doc_id: r for r in E.queries()["op7_isolation_rules"](spark, sf_small).collect()}
+    quality_of = {}
+    for r in labels.collect():
+        if r.quality is not None and r.doc_id is not None:
+            quality_of[r.doc_id] = min(r.quality, quality_of.get(r.doc_id, 9))
+    at = lambda d: math.floor(paths[d] * 100 + 0.5) / 100
+    sides = [[at(d) for d, q in quality_of.items() if d in out and not out[d].base_failed and (q == 1) == good] for good in (True, False)]
+    good, bad = (np.array(s) for s in sides)
+    allowed = [v for v in sorted({*good, *bad}) if (good < v).sum() <= (1 - quality.KEEP_GOOD) * len(good)]
+    assert math.isclose(bound, min(allowed, key=lambda v: (-(bad < v).sum(), v)))
+    for r in out.values():
+        assert math.isclose(r.path_length, paths[r.doc_id], rel_tol=1e-9)
+        assert r.kept == (not r.base_failed and at(r.doc_id) >= bound)
+
+
+def test_op7_statistics_have_no_upper_bound(spark, tables):
+    from ridgeline.llm import quality
+
+    texts = [" ".join(["x" * n] * 12) for n in (5, 50, 500)] + [" ".join(["#" * n] * 12) for n in (5, 50)]
+    got = {r.doc_id: r for r in quality.statistics(common.table(spark, tables(documents=list(enumerate(texts))), "documents")).collect()}
+    assert got[0].f_word_len < got[1].f_word_len < got[2].f_word_len and got[3].f_symbols < got[4].f_symbols
+
+
 def test_op7_follows_the_labels(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in common.table(spark, folder, "labels").collect()}
@@ -311,6 +351,51 @@ def test_op2_held_out_accuracy(spark):
     assert sum(held) / len(held) > 0.97
 
 
+def test_op2_equals_a_dictionary_bayes(spark, sf_small):
+    """The same model with dictionaries: n-grams by their characters, hashed to buckets one by one."""
+    import numpy as np
+    from ridgeline.llm import langid
+
+    known = {}
+
+    def bucket(gram):
+        if gram not in known:
+            points = np.array([ord(c) for c in gram], np.uint32)
+            known[gram] = [int(b[0]) for b, _ in langid._grams(points, np.array([0, len(points)])) if len(b) == 1][-1]
+        return known[gram]
+
+    def grams(text):
+        t = text.lower()
+        return [bucket(t[i:i + n]) for n in langid.ORDERS for i in range(len(t) - n + 1)]
+
+    rows = common.table(spark, sf_small, "documents").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    texts, counts = Counter(), defaultdict(Counter)
+    for r in rows:
+        if not held[r.doc_id] and r.text is not None and r.lang is not None:
+            texts[r.lang] += 1
+            counts[r.lang].update(grams(r.text))
+    size = {lang: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for lang, c in counts.items()}
+    text = {r.doc_id: r.text for r in rows}
+    for r in E.queries()["op2_ngram_bayes"](spark, sf_small).collect():
+        if text[r.doc_id] is None or not any(map(str.isalpha, text[r.doc_id])):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        found = grams(text[r.doc_id])
+        logs = {lang: math.log(texts[lang] / sum(texts.values())) + sum(math.log((counts[lang][g] + langid.SMOOTHING) / size[lang]) for g in found) for lang in sorted(texts)}
+        best = max(logs, key=logs.get)
+        assert r.lang_pred == best
+        assert math.isclose(r.score, 1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel_tol=1e-6)
+
+
+def test_op2_refuses_a_column_that_is_no_language(spark, tables, monkeypatch):
+    from ridgeline.llm import langid
+
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="4 different values"):
+        E.queries()["op2_ngram_bayes"](spark, tables(documents=[(i, "some text", f"x{i % 4}") for i in range(1, 40)]))
+
+
 def test_op2_undetermined(spark, tables):
     folder = tables(documents=[(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "de"), (4, "123 !?", "de"), (5, "é", None), (6, "der hund", None)])
     got = {r.doc_id: (r.lang_pred, r.score) for r in E.queries()["op2_ngram_bayes"](spark, folder).collect()}
