@@ -293,36 +293,39 @@ def test_op7_base_counts(spark, sf_small):
         assert not (r.base_failed and r.kept)
 
 
-def test_op7_verdict_equals_a_recursive_walk(spark, sf_small):
-    """Each document walks each tree by recursion over the stored arrays; the threshold is found by trying every value."""
+def plain_quality(spark, folder):
+    """(threshold, {doc_id: path length}, {doc_id: kept}): each document walks each tree by recursion over the stored
+    arrays, and the threshold is found by trying every value."""
     import numpy as np
     from ridgeline.llm import quality
 
-    stats = quality.statistics(common.table(spark, sf_small, "documents"))
-    labels = common.table(spark, sf_small, "labels")
-    forest, bound = quality.fit(stats, labels)
+    stats = quality.statistics(common.table(spark, folder, "documents"))
+    labels = common.table(spark, folder, "labels")
+    forest, _ = quality.fit(stats, labels)
 
     def walk(t, node, x):
         f = forest["feature"][t, node]
         return forest["path"][t, node] if f < 0 else walk(t, 2 * node + 1 + int(x[f] > forest["cut"][t, node]), x)
 
-    paths = {}
+    paths, failed, quality_of = {}, {}, {}
     for r in stats.collect():
         x = [r[c] for c in quality.FEATURES]
         paths[r.doc_id] = float(np.mean([walk(t, 0, x) for t in range(len(forest["feature"]))]))
-    out = {r.doc_id: r for r in E.queries()["op7_isolation_rules"](spark, sf_small).collect()}
-    quality_of = {}
+        failed[r.doc_id] = r.base_failed
     for r in labels.collect():
         if r.quality is not None and r.doc_id is not None:
             quality_of[r.doc_id] = min(r.quality, quality_of.get(r.doc_id, 9))
-    at = lambda d: math.floor(paths[d] * 100 + 0.5) / 100
-    sides = [[at(d) for d, q in quality_of.items() if d in out and not out[d].base_failed and (q == 1) == good] for good in (True, False)]
-    good, bad = (np.array(s) for s in sides)
+    at = {d: math.floor(x * 100 + 0.5) / 100 for d, x in paths.items()}
+    good, bad = (np.array([at[d] for d, q in quality_of.items() if d in at and not failed[d] and (q == 1) == side]) for side in (True, False))
     allowed = [v for v in sorted({*good, *bad}) if (good < v).sum() <= (1 - quality.KEEP_GOOD) * len(good)]
-    assert math.isclose(bound, min(allowed, key=lambda v: (-(bad < v).sum(), v)))
-    for r in out.values():
-        assert math.isclose(r.path_length, paths[r.doc_id], rel_tol=1e-9)
-        assert r.kept == (not r.base_failed and at(r.doc_id) >= bound)
+    bound = min(allowed, key=lambda v: (-(bad < v).sum(), v))
+    return bound, paths, {d: not failed[d] and at[d] >= bound for d in at}
+
+
+def test_op7_verdict_equals_a_recursive_walk(spark, sf_small):
+    _, paths, kept = plain_quality(spark, sf_small)
+    for r in E.queries()["op7_isolation_rules"](spark, sf_small).collect():
+        assert math.isclose(r.path_length, paths[r.doc_id], rel_tol=1e-9) and r.kept == kept[r.doc_id]
 
 
 def test_op7_statistics_have_no_upper_bound(spark, tables):
@@ -603,17 +606,97 @@ def test_a_very_long_message_is_one_part(spark):
     assert len(out) == 2 and all(len(r.json) > len(text) for r in out) and {r.problem for r in out} == {None, "no result"}
 
 
+def plain_posteriors(spark, docs, labels):
+    """Domains and {doc_id: posterior} by dictionaries; only the bucket of a word is asked of Spark."""
+    from pyspark.sql import functions as F
+
+    of = {d: words(t) for d, t in docs}
+    seen = sorted({w for ws in of.values() for w in ws})
+    frame = spark.createDataFrame([(w,) for w in seen] or [("",)], "w string").select(
+        "w", F.pmod(F.xxhash64("w"), F.lit(mixing.WORD_BUCKETS)).alias("word"), F.pmod(F.xxhash64(F.right("w", F.lit(2))), F.lit(mixing.END_BUCKETS)).alias("end"))
+    bucket = {r.w: (r.word, r.end) for r in frame.collect()}
+    marks = {}
+    for d, quality, toxic in labels:
+        if None not in (d, quality, toxic) and d in of:
+            q, t = marks.get(d, (quality, toxic))
+            marks[d] = min(q, quality), max(t, toxic)
+    domain = {d: "junk" if q == 0 else "toxic" if t == 1 else "clean" for d, (q, t) in marks.items()}
+    known = [x for x in mixing.DOMAINS if x in domain.values()]
+    texts = [sum(v == x for v in domain.values()) for x in known]
+    weights = []
+    for place in (0, 1):
+        n, having = defaultdict(lambda: [0] * len(known)), defaultdict(lambda: [0] * len(known))
+        for d, x in domain.items():
+            c = Counter(bucket[w][place] for w in of[d])
+            for b, k in c.items():
+                n[b][known.index(x)] += k
+                having[b][known.index(x)] += 1
+
+        def clear(b, having=having):
+            expected = [sum(having[b]) * t / sum(texts) for t in texts]
+            return any((h - e) ** 2 > mixing.LEAST_Z ** 2 * max(e, 1e-9) and abs(math.log((h + 1) / (e + 1))) > math.log(mixing.LEAST_RATIO) for h, e in zip(having[b], expected, strict=True))
+
+        own = {b: [x + 1 for x in n[b]] for b in list(n) if clear(b)}
+        own[None] = [1 + sum(n[b][k] for b in n if b not in own) for k in range(len(known))]
+        total = [sum(v[k] for v in own.values()) for k in range(len(known))]
+        weights.append({b: [math.log(x / t) - math.log(sum(v) / sum(total)) for x, t in zip(v, total, strict=True)] for b, v in own.items()})
+    out = {}
+    for d, ws in of.items():
+        score = [math.log(t / sum(texts)) for t in texts]
+        for w in ws:
+            for place in (0, 1):
+                score = [a + b for a, b in zip(score, weights[place].get(bucket[w][place], weights[place][None]), strict=True)]
+        powers = [math.exp(x - max(score)) for x in score]
+        out[d] = [x / sum(powers) for x in powers]
+    return known, out
+
+
+def test_op1_posteriors_equal_a_dictionary_bayes(spark, sf_small):
+    labels = [tuple(r) for r in common.table(spark, sf_small, "labels").select("doc_id", "quality", "toxic").collect()]
+    known, p = plain_posteriors(spark, documents(spark, sf_small), labels)
+    for r in E.queries()["op1_soft_mixing"](spark, sf_small).collect():
+        assert all(math.isclose(r[f"p_{x}"], p[r.doc_id][known.index(x)] if x in known else 0.0, rel_tol=1e-6, abs_tol=1e-12) for x in mixing.DOMAINS)
+        assert r.domain == known[max(range(len(known)), key=lambda k: (p[r.doc_id][k], known[k]))]
+
+
+def contaminated(text, windows):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    hit = {j for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i:i + n]) in windows for j in range(i, i + n)}
+    return len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
+    """Each stage by plain Python on what the one before it kept; of the mix stage, the gradient steps are the operator's."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
     folder = "/root/testdata/sf0.001"
     docs = dict(documents(spark, folder))
-    kept = {r.doc_id for r in E.queries()["op7_isolation_rules"](spark, folder).collect() if r.kept}
+    table = common.table(spark, folder, "documents")
+    kept = {d for d, ok in plain_quality(spark, folder)[2].items() if ok}
     near = near_components([(d, docs[d]) for d in sorted(kept)])
     kept = {d for d in kept if near[d][1] == d}
-    bad = {r.doc_id for r in E.queries()["op6_prefix_windows"](spark, folder).collect() if r.contaminated}
-    kept -= bad
+    windows = set()
+    for r in common.table(spark, folder, "benchmark").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").translate(LOWER))
+        windows |= {tuple(w[i:i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+    kept = {d for d in kept if not contaminated(docs[d], windows)}
+    # mix: posteriors by dictionaries, rates by the steps, and each row's chance
+    rows = table.filter(F.col("doc_id").isin(sorted(kept)))
+    labels = common.table(spark, folder, "labels")
+    known, p = plain_posteriors(spark, [(d, docs[d]) for d in sorted(kept)], [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()])
+    members = mixing.posteriors(rows, labels)[1]
+    steps, _ = mixing.fit_rates(members, known, P.TARGETS, None, "clean", 1.0)
+    chance = {r.doc_id: r.c for r in rows.select("doc_id", (F.pmod(F.xxhash64(F.lit("mix"), common.text_key()), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("c")).collect()}
+    drawn = set()
+    for d in kept:
+        rate = 1.0
+        for y in steps:
+            rate = max(0.0, min(1.0, rate - sum(a * b for a, b in zip(p[d], y, strict=True))))
+        if known[max(range(len(known)), key=lambda k: (p[d][k], known[k]))] == "clean":
+            rate = 1.0
+        if math.floor(rate + chance[d]) >= 1:
+            drawn.add(d)
     out = E.queries()["pipeline"](spark, folder).collect()
-    got = {r.doc_id for r in out}
-    assert got <= kept and len(got) == len(out)
-    labels = {r.doc_id: (r.quality, r.toxic) for r in common.table(spark, folder, "labels").collect()}
-    assert not [d for d in kept - got if labels.get(d) == (1, 0)] or len(kept - got) < 0.15 * len(kept)
+    assert sorted(r.doc_id for r in out) == sorted(drawn)
     assert all(r.text_crc32 == zlib.crc32((docs[r.doc_id] or "").encode()) for r in out)
