@@ -151,13 +151,15 @@ def band_members(info: DataFrame) -> DataFrame:
 def buckets(members: DataFrame) -> DataFrame:
     """unit, class, n, m, s (members and shingles in all) and hub (class and n of the first member).
 
-    Buckets with one member are left out, and of buckets with equal members one is
-    kept. They are counted and compared by fixed-size aggregates, which combine
-    before the shuffle.
+    Buckets with one member, nearly all of them, are left out first, by their counts
+    alone. Of buckets with equal members one is kept: they are compared by fixed-size
+    aggregates, which combine before the shuffle.
     """
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    members = scratch_table(members.join(shared, "key", "left_semi"), "minhash-shared")
     counted = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), F.min(F.struct("class", "n")).alias("hub"),
-        F.bit_xor(F.xxhash64("class")).alias("mark")).filter("m > 1")
+        F.bit_xor(F.xxhash64("class")).alias("mark"))
     units = counted.groupBy("m", "s", "hub", "mark").agg(F.min("key").alias("unit"))
     return members.join(units, members["key"] == units["unit"]).select("unit", "class", "n", "m", "s", "hub")
 
@@ -284,7 +286,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, l
 
     near = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
     pairs = members.filter((F.col("class") != F.col("hub.class")) & near).select(F.col("hub.class").alias("u"), F.col("class").alias("v")).distinct()
-    pairs = scratch_table(survivors(pairs, info, percent), "minhash-candidates")
+    pairs = scratch_table(survivors(scratch_table(pairs, "minhash-pairs"), info, percent), "minhash-candidates")
     links = scratch_table(verified(pairs, sets_of(pairs.select(F.col("u").alias("class")).union(pairs.select("v"))), percent), "minhash-links")
     # a class and the smallest hub that it is linked with, or that hub's: enough to see most buckets connected without finding components
     one = links.groupBy(F.col("v").alias("class")).agg(F.min("u").alias("hub"))
