@@ -111,8 +111,9 @@ def _ranks(edges: DataFrame) -> DataFrame | None:
         reach, hops = scratch_table(reach, "chat-reach"), 1
         while hops <= n and reach.filter("to IS NOT NULL").limit(1).count():
             next_ = reach.select(F.col("row").alias("at"), F.col("own").alias("its"), F.col("to").alias("on"), F.col("off").alias("more"))
-            reach = scratch_table(reach.join(next_, F.col("to") == F.col("at"), "left").select(
-                "row", F.greatest("own", F.col("its") + F.col("off")).alias("own"), F.col("on").alias("to"), (F.col("off") + F.col("more")).alias("off")), "chat-reach")
+            further = reach.filter("to IS NOT NULL").join(next_, F.col("to") == F.col("at"), "left").select(
+                "row", F.greatest("own", F.col("its") + F.col("off")).alias("own"), F.col("on").alias("to"), (F.col("off") + F.col("more")).alias("off"))
+            reach = scratch_table(further.union(reach.filter("to IS NULL")), "chat-reach")
             hops *= 2
         on_cycle = scratch_table(reach.filter("to IS NOT NULL").select(F.col("to").alias("row")).distinct(), "chat-cycle")
         if on_cycle.limit(1).count():  # after more hops than parts a pointer is on a circle
