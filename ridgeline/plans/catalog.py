@@ -114,7 +114,8 @@ def q_export_check(spark, sf):
     path = shared_dir(spark, "checked-activities")
     checked.export_checked(a, path, preferred=L.ACTIVITY_COLUMN_ORDER)
     files = checked.check_export(spark, path, tables.ACTIVITIES_SCHEMA, preferred=L.ACTIVITY_COLUMN_ORDER)
-    return files.agg(F.sum("expected").alias("expected"), F.sum("found").alias("found"), F.bool_and("ok").alias("ok"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return files.agg(total("expected"), total("found"), F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"))  # a table without rows: no file has any
 
 
 def q_forecast_rows(spark, sf):
