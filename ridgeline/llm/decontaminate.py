@@ -115,7 +115,10 @@ def with_items(found: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     sets = marked.filter("_set IS NOT NULL").select("_set", "wids").dropDuplicates(["_set"]).select("_set", F.explode("wids").alias("wid"))
     of_window = item_windows(benchmark, window).filter("item_id IS NOT NULL").select("wid", F.col("item_id").cast("string").alias("item")).distinct()
     items = sets.join(of_window, "wid").groupBy("_set").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return marked.join(items, "_set", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("_set", "wids")
+    none = F.array().cast("array<string>")
+    # documents without a window stay out of the join: their null sets would meet in one task
+    hit = marked.filter("_set IS NOT NULL").join(items, "_set", "left").withColumn("items", F.coalesce("items", none)).drop("_set", "wids")
+    return hit.unionByName(marked.filter("_set IS NULL").withColumn("items", none).drop("_set", "wids"))
 
 
 def is_contaminated() -> Column:
